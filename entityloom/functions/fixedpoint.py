@@ -7,6 +7,8 @@ slower). A sum that leaves the BIGINT range fails loudly under ANSI mode.
 
 The square of a scaled value is added up in two halves so that the running sums
 stay BIGINT; values whose square would not fit take a decimal side sum.
+
+All functions but ``to_units`` take and return SQL text over named columns.
 """
 
 from __future__ import annotations
@@ -24,53 +26,56 @@ def to_units(value: Column, scale: int) -> Column:
     return F.rint(scaled).cast("bigint")
 
 
-def from_units(units: Column, scale: int) -> Column:
-    return units.cast("double") / F.lit(10.0**scale)
+def power(scale: int) -> str:
+    return f"{10.0**scale:.1f}D"
+
+
+def from_units(units: str, scale: int) -> str:
+    return f"cast({units} AS double) / {power(scale)}"
 
 
-def square_parts(units: Column) -> dict[str, Column]:
+def square_sums(units: str) -> dict[str, str]:
     """Three aggregates whose combination is the exact sum of squares."""
-    small = F.when(F.abs(units) <= SQUARE_LIMIT, units)
-    square = small * small
-    wide = F.when(F.abs(units) > SQUARE_LIMIT, units).cast("decimal(19,0)")
+    small = f"CASE WHEN abs({units}) <= {SQUARE_LIMIT} THEN {units} * {units} END"
+    wide = f"cast({units} AS decimal(19,0))"
     return {
-        "hi": F.sum(F.shiftright(square, HALF_BITS)),
-        "lo": F.sum(square.bitwiseAND(F.lit((1 << HALF_BITS) - 1))),
-        "wide": F.sum(wide * wide),
+        "hi": f"sum(shiftright({small}, {HALF_BITS}))",
+        "lo": f"sum(({small}) & {(1 << HALF_BITS) - 1}L)",
+        "wide": f"sum(CASE WHEN abs({units}) > {SQUARE_LIMIT} THEN {wide} * {wide} END)",
     }
 
 
-def combine_squares(hi: Column, lo: Column, wide: Column) -> Column:
+def combined_squares(hi: str, lo: str, wide: str) -> str:
     """Exact sum of squares as DECIMAL(38,0), 0 when there was nothing to add."""
-    zero = F.lit(0)
-    high = F.coalesce(hi, zero).cast("decimal(28,0)") * F.lit(1 << HALF_BITS).cast("decimal(10,0)")
-    low = F.coalesce(lo, zero).cast("decimal(19,0)")
-    return (high + low + F.coalesce(wide, zero.cast("decimal(38,0)"))).cast("decimal(38,0)")
+    high = f"cast(coalesce({hi}, 0L) AS decimal(28,0)) * cast({1 << HALF_BITS} AS decimal(10,0))"
+    low = f"cast(coalesce({lo}, 0L) AS decimal(19,0))"
+    side = f"coalesce({wide}, cast(0 AS decimal(38,0)))"
+    return f"cast({high} + {low} + {side} AS decimal(38,0))"
 
 
-def mean(count: Column, total: Column, scale: int) -> Column:
-    return F.try_divide(total.cast("double"), count.cast("double") * F.lit(10.0**scale))
+def mean(count: str, total: str, scale: int) -> str:
+    return f"try_divide(cast({total} AS double), cast({count} AS double) * {power(scale)})"
 
 
-def sample_variance(count: Column, total: Column, squares: Column, scale: int) -> Column:
+def sample_variance(count: str, total: str, squares: str, scale: int) -> str:
     """Sample variance from exact integer statistics; missing below two values.
 
     With ``total = q*n + r`` the centred sum of squares is
     ``squares - q*(total + r) - r*r/n``; the first two terms stay integers, so
     large values do not cancel.
     """
-    n = count.cast("double")
-    q = F.when(count > 0, F.call_function("div", total, count))
-    r = F.when(count > 0, total % count)
-    centre = q.cast("decimal(19,0)") * (total.cast("decimal(19,0)") + r.cast("decimal(18,0)"))
-    whole = (squares - centre.cast("decimal(38,0)")).cast("double")
-    rest = F.try_divide(r.cast("double") * r.cast("double"), n)
-    spread = F.greatest(whole - rest, F.lit(0.0))
-    return F.when(count > 1, F.try_divide(spread, n - F.lit(1.0)) / F.lit(10.0 ** (2 * scale)))
+    n = f"cast({count} AS double)"
+    q = f"cast({total} div {count} AS decimal(19,0))"
+    r = f"({total} % {count})"
+    centre = f"{q} * (cast({total} AS decimal(19,0)) + cast({r} AS decimal(18,0)))"
+    whole = f"cast({squares} - cast({centre} AS decimal(38,0)) AS double)"
+    rest = f"cast({r} AS double) * cast({r} AS double) / {n}"
+    spread = f"greatest({whole} - {rest}, 0.0D)"
+    return f"CASE WHEN {count} > 1 THEN {spread} / ({n} - 1.0D) / {power(2 * scale)} END"
 
 
-def moment_variance(count: Column, total: Column, squares: Column) -> Column:
+def moment_variance(count: str, total: str, squares: str) -> str:
     """Clamped sample variance from plain double statistics ``(n, s, ss)``."""
-    n = count.cast("double")
-    spread = F.greatest(squares - F.try_divide(total * total, n), F.lit(0.0))
-    return F.when(n > 1, F.try_divide(spread, n - F.lit(1.0)))
+    n = f"cast({count} AS double)"
+    spread = f"greatest({squares} - {total} * {total} / {n}, 0.0D)"
+    return f"CASE WHEN {count} > 1 THEN {spread} / ({n} - 1.0D) END"

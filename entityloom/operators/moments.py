@@ -7,26 +7,25 @@ from pyspark.sql import Column, DataFrame, functions as F
 from entityloom.functions import fixedpoint as fx
 
 
-def moment_aggregates(value: Column, mask: Column, scale: int | None = None) -> list[Column]:
-    """``count, sum, sum_squares`` of the value under a 0/1 mask."""
-    if scale is None:
-        number = value.cast("double")
-        return [
-            F.sum(mask).alias("count"),
-            F.sum(mask * number).alias("sum"),
-            F.sum(mask * number * number).alias("sum_squares"),
-        ]
-    units = F.when(mask == 1.0, fx.to_units(value, scale))
-    squares = fx.combine_squares(*fx.square_parts(units).values())
-    return [
-        F.count(units).cast("double").alias("count"),
-        fx.from_units(F.coalesce(F.sum(units), F.lit(0)), scale).alias("sum"),
-        (squares.cast("double") / F.lit(10.0 ** (2 * scale))).alias("sum_squares"),
-    ]
-
-
 def masked_moments(df: DataFrame, key: str, value: Column, mask: Column, scale: int | None = None) -> DataFrame:
-    return df.groupBy(key).agg(*moment_aggregates(value, mask, scale))
+    """``count, sum, sum_squares`` of the value under a 0/1 mask, per key.
+
+    With a ``scale`` the statistics are exact; without one they are doubles.
+    """
+    if scale is None:
+        rows = df.select(key, value.cast("double").alias("_x"), mask.cast("double").alias("_m"))
+        sums = {"count": "sum(_m)", "sum": "sum(_m * _x)", "sum_squares": "sum(_m * _x * _x)"}
+        return rows.groupBy(key).agg(*[F.expr(e).alias(n) for n, e in sums.items()])
+    rows = df.select(key, F.when(mask == 1.0, fx.to_units(value, scale)).alias("_u"))
+    parts = {"n": "count(_u)", "s": "coalesce(sum(_u), 0L)", **fx.square_sums("_u")}
+    sums = rows.groupBy(key).agg(*[F.expr(e).alias(f"_{n}") for n, e in parts.items()])
+    squares = fx.combined_squares("_hi", "_lo", "_wide")
+    return sums.selectExpr(
+        key,
+        "cast(_n AS double) AS count",
+        f"{fx.from_units('_s', scale)} AS sum",
+        f"{fx.from_units(squares, 2 * scale)} AS sum_squares",
+    )
 
 
 def difference_moments(
@@ -42,7 +41,8 @@ def dot_product(
     product = left.cast("double") * right.cast("double")
     if scale is None:
         return df.groupBy(key).agg(F.sum(product).alias(alias))
-    return df.groupBy(key).agg(fx.from_units(F.sum(fx.to_units(product, scale)), scale).alias(alias))
+    rows = df.select(key, fx.to_units(product, scale).alias("_u"))
+    return rows.groupBy(key).agg(F.expr(fx.from_units("sum(_u)", scale)).alias(alias))
 
 
 def chunked_dot_product(
@@ -55,14 +55,18 @@ def chunked_dot_product(
     units = fx.to_units(left.cast("double") * right.cast("double"), scale)
     partial = cells.groupBy(key, chunk).agg(F.sum(units).alias("_partial"))
     return partial.groupBy(key).agg(
-        F.count(F.lit(1)).alias("chunks"), fx.from_units(F.sum("_partial"), scale).alias("dot")
+        F.count(F.lit(1)).alias("chunks"), F.expr(fx.from_units("sum(_partial)", scale)).alias("dot")
     )
 
 
 def finalise(stats: DataFrame, count: str, total: str, squares: str) -> DataFrame:
     """Add mean and clamped sample variance to double sufficient statistics."""
-    n, s, ss = F.col(count).cast("double"), F.col(total), F.col(squares)
-    return stats.withColumns({"mean": F.try_divide(s, n), "var": fx.moment_variance(n, s, ss)})
+    return stats.withColumns(
+        {
+            "mean": F.expr(fx.mean(count, total, 0)),
+            "var": F.expr(fx.moment_variance(count, total, squares)),
+        }
+    )
 
 
 def presence(stats: DataFrame, slot: str, count: str, alias: str = "source_present") -> DataFrame:

@@ -163,5 +163,5 @@ def top_groups(df: DataFrame, group: str, value: str, k: int, scale: int = 6) ->
 
 
 def mean_by_group(df: DataFrame, group: str, value: str, scale: int = 6) -> DataFrame:
-    units = fx.to_units(F.col(value), scale)
-    return df.groupBy(group).agg(fx.mean(F.count(units), F.sum(units), scale).alias("mean"))
+    rows = df.select(group, fx.to_units(F.col(value), scale).alias("_u"))
+    return rows.groupBy(group).agg(F.expr(fx.mean("count(_u)", "sum(_u)", scale)).alias("mean"))

@@ -1,10 +1,18 @@
-"""Compiles feature functions to one projection, one groupBy and one projection.
+"""Compiles feature functions to grouped aggregates.
 
-All components of all functions over the same table share a single scan and a
-single shuffle. Branches are conditional aggregates instead of filtered copies
-joined back. Every aggregate but ``nunique`` is algebraic, so map tasks merge
-the rows of a key before the shuffle and a key that holds a large part of the
-table costs one buffer per map task.
+All components of all functions over the same table share one scan. Branches
+are never filtered copies joined back: rows are first merged per key and branch
+value, with one set of buffers however many branches there are, and the merged
+rows are then combined per key. Where the statistics cannot be merged that way
+(variance of plain doubles), branches become conditional aggregates of a single
+grouping.
+
+Every aggregate but ``nunique`` is algebraic, so map tasks merge the rows of a
+key before any shuffle, and a key that holds a large part of the table costs
+one buffer per map task. Distinct counts are grouped on their own: Spark then
+merges equal values before it counts, and the wide buffers stay out of it.
+
+Aggregates and outputs are SQL text over generated column names.
 """
 
 from __future__ import annotations
@@ -17,11 +25,21 @@ from entityloom.functions import fixedpoint as fx, scalars
 from entityloom.plans.spec import Component, Feature, HistoryFunction
 from entityloom.sources.readers import require_columns
 
+WHOLE_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+MERGE = {"min": "min", "max": "max"}  # every other statistic merges by addition
+COUNTS = ("n", "size", "hits")
+Branch = tuple[str, str] | None
+
 
 def column(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def _text(value: str) -> str:
+    quoted = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{quoted}'"
+
+
 def _number(df: DataFrame, name: str) -> Column:
     text = isinstance(df.schema[name].dataType, T.StringType)
     return scalars.parse_number(column(name)) if text else scalars.finite(column(name))
@@ -46,111 +64,149 @@ def feature_value(df: DataFrame, feature: Feature) -> Column:
     return scalars.positive_difference(*values, missing=missing)
 
 
+def feature_units(df: DataFrame, feature: Feature) -> Column:
+    whole = feature.transform == "identity" and isinstance(
+        df.schema[feature.columns[0]].dataType, WHOLE_NUMBERS
+    )
+    if whole and feature.scale == 0:
+        return column(feature.columns[0]).cast("bigint")
+    return fx.to_units(feature_value(df, feature), feature.scale)
+
+
 class _Plan:
-    """Row-level columns and aggregates, each kept once under a generated name."""
+    """Row columns, aggregates per key (and branch) and distinct counts, each kept once."""
 
-    def __init__(self, df: DataFrame):
-        self.df = df
+    def __init__(self, df: DataFrame, key: str, functions: Sequence[HistoryFunction]):
+        self.df = df.filter(column(key).isNotNull())
+        self.key = key
         self.rows: dict[tuple, tuple[str, Column]] = {}
-        self.aggregates: dict[tuple, tuple[str, Column]] = {}
-        self.distinct: dict[tuple, tuple[str, Column]] = {}
-
-    def _row(self, signature: tuple, make) -> str:
+        self.base: dict[str, tuple[str, str]] = {}  # aggregate text -> name, kind
+        self.wanted: dict[tuple[str, Branch], str] = {}  # base name, branch -> name
+        self.distinct: dict[str, str] = {}  # row column -> name
+        self.branches = sorted({c.branch for fn in functions for c in fn.components if c.branch})
+        features = [f for fn in functions for c in fn.components for f in c.features]
+        mergeable = all(f.scale is not None or "var" not in f.operations for f in features)
+        self.two_levels = mergeable and len({name for name, _ in self.branches}) == 1
+
+    def row(self, signature: tuple, make) -> str:
         if signature not in self.rows:
             self.rows[signature] = (f"r{len(self.rows)}", make())
         return self.rows[signature][0]
 
-    def value(self, feature: Feature) -> str:
+    def _within(self, branch: Branch, signature: tuple, make) -> str:
+        """Row column that is missing outside the branch."""
+        if branch is None:
+            return self.row(signature, make)
+        inside = column(branch[0]).eqNullSafe(F.lit(branch[1]))
+        return self.row((*signature, branch), lambda: F.when(inside, make()))
+
+    def value(self, feature: Feature, branch: Branch = None) -> str:
         def make() -> Column:
-            number = feature_value(self.df, feature)
-            return number if feature.scale is None else fx.to_units(number, feature.scale)
-
-        return self._row((feature.transform, feature.columns, feature.scale), make)
-
-    def raw(self, name: str) -> str:
-        return self._row(("raw", name), lambda: column(name))
-
-    def branch(self, component: Component) -> str | None:
-        if component.branch is None:
-            return None
-        name, value = component.branch
-        return self._row(("branch", name, value), lambda: column(name).eqNullSafe(F.lit(value)))
-
-    def aggregate(self, signature: tuple, expression: Column) -> Column:
-        if signature not in self.aggregates:
-            self.aggregates[signature] = (f"a{len(self.aggregates)}", expression)
-        return F.col(self.aggregates[signature][0])
-
-    def count_distinct(self, signature: tuple, expression: Column) -> Column:
-        if signature not in self.distinct:
-            self.distinct[signature] = (f"d{len(self.distinct)}", expression)
-        return F.col(self.distinct[signature][0])
-
-
-def _selected(name: str, branch: str | None) -> Column:
-    return F.col(name) if branch is None else F.when(F.col(branch), F.col(name))
-
-
-def _branch_rows(plan: _Plan, branch: str | None) -> Column:
-    counted = F.count(F.lit(1)) if branch is None else F.count_if(F.col(branch))
-    return plan.aggregate(("size", branch), counted)
-
-
-def _statistics(plan: _Plan, feature: Feature, branch: str | None) -> dict[str, Column]:
-    """Columns over the aggregates for ``n``, ``sum``, ``squares``, built on demand."""
-    name = plan.value(feature)
-    x = _selected(name, branch)
-    key = (name, branch)
-    return {
-        "n": lambda: plan.aggregate(("n", *key), F.count(x)),
-        "s": lambda: plan.aggregate(("s", *key), F.sum(x)),
-        "ss": lambda: (
-            plan.aggregate(("ss", *key), F.sum(x * x))
-            if feature.scale is None
-            else fx.combine_squares(
-                *[plan.aggregate((part, *key), agg) for part, agg in fx.square_parts(x).items()]
-            )
-        ),
-        "avg": lambda: plan.aggregate(("avg", *key), F.avg(x)),
-        "var": lambda: plan.aggregate(("var", *key), F.var_samp(x)),
-        "min": lambda: plan.aggregate(("min", *key), F.min(x)),
-        "max": lambda: plan.aggregate(("max", *key), F.max(x)),
-    }
-
-
-def _operation(plan: _Plan, feature: Feature, operation: str, branch: str | None) -> Column:
+            return feature_value(self.df, feature) if feature.scale is None else feature_units(self.df, feature)
+
+        signature = (feature.transform, feature.columns, feature.scale)
+        return self._within(None if self.two_levels else branch, signature, make)
+
+    def mark(self) -> str:
+        """Row column with the branch value, missing outside all branches."""
+        name = self.branches[0][0]
+        values = [value for _, value in self.branches]
+        return self.row(("mark",), lambda: F.when(column(name).isin(values), column(name)))
+
+    def aggregate(self, kind: str, text: str, branch: Branch) -> str:
+        """Name of a statistic; ``text`` aggregates row columns."""
+        base = self.base.setdefault(text, (f"b{len(self.base)}", kind))[0]
+        if not self.two_levels:
+            return base
+        return self.wanted.setdefault((base, branch), f"w{len(self.wanted)}")
+
+    def size(self, branch: Branch) -> str:
+        if branch is None or self.two_levels:
+            return self.aggregate("size", "count(1)", branch)
+        return self.aggregate("size", f"count({self._within(branch, ('one',), lambda: F.lit(1))})", branch)
+
+    def hits(self, name: str, value: str | None) -> str:
+        hit = self.row(("hit", name, value), lambda: column(name).eqNullSafe(F.lit(value)))
+        return self.aggregate("hits", f"count_if({hit})", None)
+
+    def nunique(self, name: str, branch: Branch) -> str:
+        of = self._within(branch, ("raw", name), lambda: column(name))
+        return self.distinct.setdefault(of, f"d{len(self.distinct)}")
+
+    def grouped(self) -> DataFrame:
+        """One row per key with all requested statistics."""
+        if not self.base:
+            self.size(None)
+        if self.two_levels:
+            self.mark()
+        rows = self.df.select(column(self.key), *[c.alias(n) for n, c in self.rows.values()])
+        key = column(self.key)
+        by = [key, F.col(self.mark())] if self.two_levels else [key]
+        result = rows.groupBy(*by).agg(*[F.expr(text).alias(name) for text, (name, _) in self.base.items()])
+        if self.two_levels:
+            result = result.groupBy(key).agg(*self._merged())
+        for of, name in self.distinct.items():
+            counted = rows.groupBy(key).agg(F.expr(f"count(DISTINCT {of})").alias(name))
+            result = result.join(counted, self.key)
+        return result
+
+    def _merged(self) -> list[Column]:
+        """The statistics per key from those per key and branch value."""
+        kinds = dict(self.base.values())
+        merged = []
+        for (base, branch), name in self.wanted.items():
+            picked = f"CASE WHEN {self.mark()} = {_text(branch[1])} THEN {base} END" if branch else base
+            text = f"{MERGE.get(kinds[base], 'sum')}({picked})"
+            if kinds[base] in COUNTS:
+                text = f"coalesce({text}, 0L)"
+            merged.append(F.expr(text).alias(name))
+        return merged
+
+
+def _statistic(plan: _Plan, feature: Feature, kind: str, branch: Branch) -> str:
+    """Name or text of one statistic: n, s, ss, min, max, var."""
+    of = plan.value(feature, branch)
+    if kind == "ss":
+        if feature.scale is None:
+            return plan.aggregate("ss", f"sum({of} * {of})", branch)
+        parts = fx.square_sums(of)
+        return fx.combined_squares(*[plan.aggregate(p, text, branch) for p, text in parts.items()])
+    name = {"n": "count", "s": "sum", "min": "min", "max": "max", "var": "var_samp"}[kind]
+    return plan.aggregate(kind, f"{name}({of})", branch)
+
+
+def _operation(plan: _Plan, feature: Feature, operation: str, branch: Branch) -> str:
     if operation == "size" or (feature.transform == "rows" and operation == "count"):
-        return _branch_rows(plan, branch)
+        return plan.size(branch)
     if operation == "nunique":
-        name = plan.raw(feature.columns[0])
-        return plan.count_distinct((name, branch), F.count_distinct(_selected(name, branch)))
-    stats = _statistics(plan, feature, branch)
+        return plan.nunique(feature.columns[0], branch)
+
+    def get(kind: str) -> str:
+        return _statistic(plan, feature, kind, branch)
+
     exact = feature.scale is not None
     if operation == "count":
-        return stats["n"]()
+        return get("n")
     if operation in ("min", "max"):
-        return fx.from_units(stats[operation](), feature.scale) if exact else stats[operation]()
+        return fx.from_units(get(operation), feature.scale) if exact else get(operation)
     if operation == "sum":
-        total = fx.from_units(stats["s"](), feature.scale) if exact else stats["s"]()
-        return F.coalesce(total, F.lit(0.0))
+        total = fx.from_units(get("s"), feature.scale) if exact else get("s")
+        return f"coalesce({total}, 0.0D)"
     if operation == "mean":
-        return fx.mean(stats["n"](), stats["s"](), feature.scale) if exact else stats["avg"]()
+        return fx.mean(get("n"), get("s"), feature.scale or 0)
     if exact:
-        return fx.sample_variance(stats["n"](), stats["s"](), stats["ss"](), feature.scale)
-    return stats["var"]()
+        return fx.sample_variance(get("n"), get("s"), get("ss"), feature.scale)
+    return get("var")
 
 
-def _grouped(plan: _Plan, keys: Sequence[str]) -> DataFrame:
-    rows = plan.df.select(*[column(k) for k in keys], *[c.alias(n) for n, c in plan.rows.values()])
-    by = [column(k) for k in keys]
-    aggregates = [c.alias(n) for n, c in plan.aggregates.values()]
-    distinct = [c.alias(n) for n, c in plan.distinct.values()]
-    # One distinct count shares the aggregation; more of them would multiply
-    # every row, so each further one is grouped on its own, on the same key.
-    grouped = rows.groupBy(*by).agg(*aggregates, *distinct[:1])
-    for extra in distinct[1:]:
-        grouped = grouped.join(rows.groupBy(*by).agg(extra), list(keys), "left")
-    return grouped
+def _plan(df: DataFrame, functions: Sequence[HistoryFunction]) -> _Plan:
+    keys = {function.key for function in functions}
+    if len(keys) != 1:
+        raise ValueError(f"functions over one table need one key, got {sorted(keys)}")
+    for function in functions:
+        require_columns(df, function.required_columns(), function.name)
+        function.output_columns()
+    return _Plan(df, keys.pop(), functions)
 
 
 def aggregate_histories(
@@ -163,32 +219,20 @@ def aggregate_histories(
     """
     if empty not in ("null", "zero"):
         raise ValueError(f"unknown empty mode: {empty}")
-    keys = {function.key for function in functions}
-    if len(keys) != 1:
-        raise ValueError(f"functions over one table need one key, got {sorted(keys)}")
-    key = keys.pop()
-    for function in functions:
-        require_columns(df, function.required_columns(), function.name)
-    plan = _Plan(df.filter(column(key).isNotNull()))
-    outputs: list[Column] = []
+    plan = _plan(df, functions)
+    outputs: list[str] = []
     for function in functions:
-        function.output_columns()
         for component, feature, operation, name in function.outputs():
-            branch = plan.branch(component)
-            result = _operation(plan, feature, operation, branch)
+            branch = component.branch
+            text = _operation(plan, feature, operation, branch)
             if branch and empty == "null" and operation in ("count", "size", "sum", "nunique"):
-                result = F.when(_branch_rows(plan, branch) > 0, result)
-            outputs.append(result.alias(name))
+                text = f"CASE WHEN {plan.size(branch)} > 0 THEN {text} END"
+            outputs.append(f"{text} AS `{name}`")
         for share in function.shares:
-            raw = plan.raw(share.column)
-            size = _branch_rows(plan, None)
             for value, name in share.outputs():
-                hit = F.col(raw).eqNullSafe(F.lit(value))
-                hits = plan.aggregate(("hits", raw, value), F.count_if(hit))
-                outputs.append((hits.cast("double") / size.cast("double")).alias(name))
-    if not plan.aggregates:
-        _branch_rows(plan, None)
-    return _grouped(plan, [key]).select(column(key), *outputs)
+                hits, size = plan.hits(share.column, value), plan.size(None)
+                outputs.append(f"cast({hits} AS double) / cast({size} AS double) AS `{name}`")
+    return plan.grouped().selectExpr(f"`{plan.key}`", *outputs)
 
 
 def aggregate_history(df: DataFrame, function: HistoryFunction, empty: str = "null") -> DataFrame:
@@ -210,8 +254,13 @@ def attach(
     return joined
 
 
-def _inline(df: DataFrame, keep: Sequence[str], entries: list[Column]) -> DataFrame:
-    return df.select(*[column(k) for k in keep], F.inline(F.array(*entries)))
+def _inline(df: DataFrame, keep: Sequence[str], names: Sequence[str], entries: Sequence[Sequence[str]]) -> DataFrame:
+    """One output row per entry, each a list of SQL texts for ``names``."""
+    structs = [
+        f"named_struct({', '.join(f'{_text(n)}, {e}' for n, e in zip(names, entry))})" for entry in entries
+    ]
+    kept = [f"`{k}`" for k in keep]
+    return df.selectExpr(*kept, f"inline(array({', '.join(structs)}))")
 
 
 def long_features(
@@ -224,16 +273,11 @@ def long_features(
     wide = aggregate_history(df, function, empty="zero")
     joined = attach(entity.select(index, function.key), wide, function.key, [function], "zero")
     entries = [
-        F.struct(
-            F.lit(c.id).alias("component_id"),
-            F.lit(c.title).alias("component"),
-            F.lit(f.name).alias("feature"),
-            F.lit(op).alias("operation"),
-            column(name).cast("double").alias("value"),
-        )
+        [_text(c.id), _text(c.title), _text(f.name), _text(op), f"cast(`{name}` AS double)"]
         for c, f, op, name in function.outputs()
     ]
-    return _inline(joined, [index], entries).select(
+    names = ["component_id", "component", "feature", "operation", "value"]
+    return _inline(joined, [index], names, entries).select(
         "component_id", "component", index, "feature", "operation", "value"
     )
 
@@ -242,58 +286,40 @@ def sufficient_statistics(
     entity: DataFrame, df: DataFrame, function: HistoryFunction, index: str = "app_index"
 ) -> DataFrame:
     """Long ``(count, sum, sum_squares)`` per slot, component and feature."""
-    plan = _Plan(df.filter(column(function.key).isNotNull()))
-    require_columns(df, function.required_columns(), function.name)
-    entries: list[Column] = []
+    plan = _plan(df, [function])
+    entries: list[list[str]] = []
     for component in function.components:
-        branch = plan.branch(component)
         for feature in component.features:
             if feature.transform == "rows":
-                n = s = ss = _branch_rows(plan, branch)
+                n = s = ss = plan.size(component.branch)
             else:
-                stats = _statistics(plan, feature, branch)
-                n, s, ss = stats["n"](), stats["s"](), stats["ss"]()
+                n, s, ss = [_statistic(plan, feature, k, component.branch) for k in ("n", "s", "ss")]
                 if feature.scale is not None:
                     s = fx.from_units(s, feature.scale)
-                    ss = ss.cast("double") / F.lit(10.0 ** (2 * feature.scale))
-            zero = F.lit(0.0)
-            entries.append(
-                F.struct(
-                    F.lit(component.id).alias("component_id"),
-                    F.lit(component.title).alias("component"),
-                    F.lit(feature.name).alias("feature"),
-                    F.coalesce(n.cast("double"), zero).alias("count"),
-                    F.coalesce(s.cast("double"), zero).alias("sum"),
-                    F.coalesce(ss.cast("double"), zero).alias("sum_squares"),
-                )
-            )
-    joined = entity.select(index, function.key).join(_grouped(plan, [function.key]), function.key, "left")
-    return _inline(joined, [index], entries).select(
+                    ss = fx.from_units(ss, 2 * feature.scale)
+            numbers = [f"coalesce(cast({x} AS double), 0.0D)" for x in (n, s, ss)]
+            entries.append([_text(component.id), _text(component.title), _text(feature.name), *numbers])
+    joined = entity.select(index, function.key).join(plan.grouped(), function.key, "left")
+    names = ["component_id", "component", "feature", "count", "sum", "sum_squares"]
+    return _inline(joined, [index], names, entries).select(
         "component_id", "component", index, "feature", "count", "sum", "sum_squares"
     )
 
 
 def missing_counts(df: DataFrame, function: HistoryFunction) -> DataFrame:
     """Rows per feature that carry no value, as ``(component_id, feature, dropped)``."""
-    plan = _Plan(df)
+    plan = _plan(df, [function])
     totals: list[Column] = []
-    entries: list[Column] = []
+    entries: list[list[str]] = []
     for component in function.components:
         for feature in component.features:
             if feature.transform == "rows":
                 continue
-            name = plan.value(feature)
             alias = f"m{len(totals)}"
-            totals.append(F.count_if(F.col(name).isNull()).alias(alias))
-            entries.append(
-                F.struct(
-                    F.lit(component.id).alias("component_id"),
-                    F.lit(feature.name).alias("feature"),
-                    F.col(alias).alias("dropped"),
-                )
-            )
+            totals.append(F.expr(f"count_if({plan.value(feature)} IS NULL)").alias(alias))
+            entries.append([_text(component.id), _text(feature.name), alias])
     rows = df.select(*[c.alias(n) for n, c in plan.rows.values()])
-    return _inline(rows.agg(*totals), [], entries)
+    return _inline(rows.agg(*totals), [], ["component_id", "feature", "dropped"], entries)
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
