@@ -6,7 +6,8 @@ the fast aggregation path (DECIMAL buffers of the same values ran five times
 slower). A sum that leaves the BIGINT range fails loudly under ANSI mode.
 
 The square of a scaled value is added up in two halves so that the running sums
-stay BIGINT; values whose square would not fit take a decimal side sum.
+stay BIGINT. A value whose square does not fit BIGINT is refused with an error;
+features with such values take fewer decimals or plain double statistics.
 
 All functions but ``to_units`` take and return SQL text over named columns.
 """
@@ -35,22 +36,19 @@ def from_units(units: str, scale: int) -> str:
 
 
 def square_sums(units: str) -> dict[str, str]:
-    """Three aggregates whose combination is the exact sum of squares."""
-    small = f"CASE WHEN abs({units}) <= {SQUARE_LIMIT} THEN {units} * {units} END"
-    wide = f"cast({units} AS decimal(19,0))"
+    """Two aggregates whose combination is the exact sum of squares."""
+    refused = "cast(raise_error('value too large for an exact variance, use fewer decimals') AS bigint)"
+    square = f"(CASE WHEN abs({units}) > {SQUARE_LIMIT}L THEN {refused} ELSE {units} * {units} END)"
     return {
-        "hi": f"sum(shiftright({small}, {HALF_BITS}))",
-        "lo": f"sum(({small}) & {(1 << HALF_BITS) - 1}L)",
-        "wide": f"sum(CASE WHEN abs({units}) > {SQUARE_LIMIT} THEN {wide} * {wide} END)",
+        "hi": f"sum(shiftright({square}, {HALF_BITS}))",
+        "lo": f"sum({square} & {(1 << HALF_BITS) - 1}L)",
     }
 
 
-def combined_squares(hi: str, lo: str, wide: str) -> str:
+def combined_squares(hi: str, lo: str) -> str:
     """Exact sum of squares as DECIMAL(38,0), 0 when there was nothing to add."""
     high = f"cast(coalesce({hi}, 0L) AS decimal(28,0)) * cast({1 << HALF_BITS} AS decimal(10,0))"
-    low = f"cast(coalesce({lo}, 0L) AS decimal(19,0))"
-    side = f"coalesce({wide}, cast(0 AS decimal(38,0)))"
-    return f"cast({high} + {low} + {side} AS decimal(38,0))"
+    return f"cast({high} + cast(coalesce({lo}, 0L) AS decimal(19,0)) AS decimal(38,0))"
 
 
 def mean(count: str, total: str, scale: int) -> str:

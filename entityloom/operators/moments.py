@@ -19,7 +19,7 @@ def masked_moments(df: DataFrame, key: str, value: Column, mask: Column, scale:
     rows = df.select(key, F.when(mask == 1.0, fx.to_units(value, scale)).alias("_u"))
     parts = {"n": "count(_u)", "s": "coalesce(sum(_u), 0L)", **fx.square_sums("_u")}
     sums = rows.groupBy(key).agg(*[F.expr(e).alias(f"_{n}") for n, e in parts.items()])
-    squares = fx.combined_squares("_hi", "_lo", "_wide")
+    squares = fx.combined_squares("_hi", "_lo")
     return sums.selectExpr(
         key,
         "cast(_n AS double) AS count",

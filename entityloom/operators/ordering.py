@@ -130,15 +130,22 @@ def stratified_kfold(
 
 
 def roc_auc(scores: DataFrame, label: str, score: str, fold: str | None = None) -> DataFrame:
-    """Area under the ROC curve with ties counted half, overall or per fold.
+    """Area under the ROC curve with ties counted half.
 
-    Rows are first merged to one per distinct score, so a frequent score is one
-    row; the ranking then runs over distinct scores only. All counts are exact.
+    One row for all scores; with ``fold`` also one per fold, and the row for
+    all scores has a missing fold. Rows are first merged to one per distinct
+    score, so a frequent score is one row; the ranking then runs over distinct
+    scores only, for all folds in one pass. All counts are exact.
     """
-    group = F.col(fold) if fold else F.lit(0)
-    merged = scores.groupBy(group.alias("_group"), F.col(score).alias("_score")).agg(
+    by = [F.col(fold).alias("_group")] if fold else []
+    merged = scores.groupBy(*by, F.col(score).alias("_score")).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")
     )
+    overall = merged.groupBy("_score").agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
+    if fold:
+        merged = merged.unionByName(overall, allowMissingColumns=True)
+    else:
+        merged = overall.withColumn("_group", F.lit(None).cast("int"))
     ranked = running_totals(merged, ["_group", "_score"], {"_below": "_neg"})
     wide = "decimal(19,0)"
     wins = F.col("_pos").cast(wide) * (F.lit(2) * F.col("_below") + F.col("_neg")).cast(wide)
@@ -150,10 +157,9 @@ def roc_auc(scores: DataFrame, label: str, score: str, fold: str | None = None)
     )
     won = F.col("_wins") - F.lit(2) * F.col("positives").cast(wide) * F.col("_base").cast(wide)
     pairs = F.lit(2.0) * F.col("positives").cast("double") * F.col("negatives").cast("double")
+    auc = F.try_divide(won.cast("double"), pairs).alias("auc")
     named = [F.col("_group").alias(fold)] if fold else []
-    return parts.select(
-        *named, "positives", "negatives", F.try_divide(won.cast("double"), pairs).alias("auc")
-    )
+    return parts.select(*named, "positives", "negatives", auc)
 
 
 def top_groups(df: DataFrame, group: str, value: str, k: int, scale: int = 6) -> DataFrame:

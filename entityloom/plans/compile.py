@@ -1,6 +1,8 @@
 """Compiles feature functions to grouped aggregates.
 
-All components of all functions over the same table share one scan. Branches
+All components of a function share one scan, up to the width at which Spark
+would leave generated code; wider functions are cut into parts that read their
+own columns each and meet on the key they are already partitioned by. Branches
 are never filtered copies joined back: rows are first merged per key and branch
 value, with one set of buffers however many branches there are, and the merged
 rows are then combined per key. Where the statistics cannot be merged that way
@@ -17,7 +19,8 @@ Aggregates and outputs are SQL text over generated column names.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -28,6 +31,8 @@ from entityloom.sources.readers import require_columns
 WHOLE_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 MERGE = {"min": "min", "max": "max"}  # every other statistic merges by addition
 COUNTS = ("n", "size", "hits")
+# Fixed value: Spark leaves generated code for rows wider than 100 fields.
+MAX_BUFFERS = 95
 Branch = tuple[str, str] | None
 
 
@@ -35,7 +40,10 @@ def column(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _text(value: str) -> str:
+def _text(value: str | None) -> str:
+    """SQL literal."""
+    if value is None:
+        return "NULL"
     quoted = value.replace("\\", "\\\\").replace("'", "\\'")
     return f"'{quoted}'"
 
@@ -126,8 +134,8 @@ class _Plan:
         return self.aggregate("size", f"count({self._within(branch, ('one',), lambda: F.lit(1))})", branch)
 
     def hits(self, name: str, value: str | None) -> str:
-        hit = self.row(("hit", name, value), lambda: column(name).eqNullSafe(F.lit(value)))
-        return self.aggregate("hits", f"count_if({hit})", None)
+        of = self.row(("raw", name), lambda: column(name))
+        return self.aggregate("hits", f"count_if({of} <=> {_text(value)})", None)
 
     def nunique(self, name: str, branch: Branch) -> str:
         of = self._within(branch, ("raw", name), lambda: column(name))
@@ -139,30 +147,53 @@ class _Plan:
             self.size(None)
         if self.two_levels:
             self.mark()
-        rows = self.df.select(column(self.key), *[c.alias(n) for n, c in self.rows.values()])
-        key = column(self.key)
-        by = [key, F.col(self.mark())] if self.two_levels else [key]
-        result = rows.groupBy(*by).agg(*[F.expr(text).alias(name) for text, (name, _) in self.base.items()])
-        if self.two_levels:
-            result = result.groupBy(key).agg(*self._merged())
-        for of, name in self.distinct.items():
-            counted = rows.groupBy(key).agg(F.expr(f"count(DISTINCT {of})").alias(name))
-            result = result.join(counted, self.key)
-        return result
+        rows = self.df.select(column(self.key).alias("k"), *[c.alias(n) for n, c in self.rows.values()])
+        parts = [self._aggregated(rows, part) for part in self._parts()]
+        parts += [_group(rows, ["k"], {name: f"count(DISTINCT {of})"}) for of, name in self.distinct.items()]
+        joined = reduce(lambda left, right: left.join(right, "k"), parts)
+        return joined.withColumnRenamed("k", self.key)
+
+    def _parts(self) -> list[dict[str, str]]:
+        """Aggregates ``name -> text`` in parts that stay within generated code.
+
+        Parts are cut in feature order, so each reads its own columns only.
+        """
+        parts: list[dict[str, str]] = [{}]
+        width = 0
+        for text, (name, kind) in self.base.items():
+            fields = 3 if kind == "var" else 1
+            if width + fields > MAX_BUFFERS:
+                parts.append({})
+                width = 0
+            parts[-1][name] = text
+            width += fields
+        return parts
+
+    def _aggregated(self, rows: DataFrame, part: Mapping[str, str]) -> DataFrame:
+        if not self.two_levels:
+            return _group(rows, ["k"], part)
+        per_branch = _group(rows, ["k", self.mark()], part)
+        return _group(per_branch, ["k"], self._merged(part))
 
-    def _merged(self) -> list[Column]:
+    def _merged(self, part: Mapping[str, str]) -> dict[str, str]:
         """The statistics per key from those per key and branch value."""
         kinds = dict(self.base.values())
-        merged = []
+        merged = {}
         for (base, branch), name in self.wanted.items():
+            if base not in part:
+                continue
             picked = f"CASE WHEN {self.mark()} = {_text(branch[1])} THEN {base} END" if branch else base
             text = f"{MERGE.get(kinds[base], 'sum')}({picked})"
-            if kinds[base] in COUNTS:
-                text = f"coalesce({text}, 0L)"
-            merged.append(F.expr(text).alias(name))
+            merged[name] = f"coalesce({text}, 0L)" if kinds[base] in COUNTS else text
         return merged
 
 
+def _group(rows: DataFrame, keys: Sequence[str], aggregates: Mapping[str, str]) -> DataFrame:
+    """``GROUP BY`` with many aggregates given as text, handed to Spark in one call."""
+    items = ", ".join([*keys, *[f"{text} AS {name}" for name, text in aggregates.items()]])
+    return rows.sparkSession.sql(f"SELECT {items} FROM {{rows}} GROUP BY {', '.join(keys)}", rows=rows)
+
+
 def _statistic(plan: _Plan, feature: Feature, kind: str, branch: Branch) -> str:
     """Name or text of one statistic: n, s, ss, min, max, var."""
     of = plan.value(feature, branch)

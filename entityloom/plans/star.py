@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from entityloom.functions import scalars
 from entityloom.operators.encode import label_encode, one_hot
-from entityloom.plans.compile import aggregate_histories, aggregate_history, numeric_columns
+from entityloom.plans.compile import aggregate_history, numeric_columns
 from entityloom.plans.spec import CategoryShare, Component, Feature, HistoryFunction
 from entityloom.sources.readers import append, read_parquet
 
@@ -272,18 +272,12 @@ def wide_features(t) -> DataFrame:
 
 
 def feature_table(t) -> DataFrame:
-    """The application rows with all five history functions.
-
-    The three functions over lines share one scan, one join and one shuffle.
-    """
-    lines = with_line_dummies(lines_of_customers(t))
-    line_functions = [LINE_FUNCTION, PAYMENT_FUNCTION, line_wide_function(lines)]
-    return (
-        application(t)
-        .join(order_features(t), KEY, "left")
-        .join(event_features(t), KEY, "left")
-        .join(aggregate_histories(lines, line_functions), KEY, "left")
-    )
+    """The application rows with all five history functions."""
+    parts = (order_features, event_features, line_features, payment_features, wide_features)
+    wide = application(t)
+    for part in parts:
+        wide = wide.join(part(t), KEY, "left")
+    return wide
 
 
 # --- the declarative functions with numbered components -------------------------------------

@@ -563,10 +563,9 @@ def _scored_documents(t) -> DataFrame:
 
 @query
 def roc_auc(t):
-    rows = _scored_documents(t)
-    per_fold = ordering.roc_auc(rows, "quality", "score", "fold")
-    overall = ordering.roc_auc(rows, "quality", "score").select(F.lit(-1).alias("fold"), "*")
-    return per_fold.unionByName(overall)
+    """Per fold, and over all folds as fold -1."""
+    result = ordering.roc_auc(_scored_documents(t), "quality", "score", "fold")
+    return result.withColumn("fold", F.coalesce("fold", F.lit(-1)))
 
 
 # --- key sets -------------------------------------------------------------------------------
@@ -809,13 +808,13 @@ def stage_summary(spark: SparkSession, folder: str) -> DataFrame:
     t = star.tables(spark, folder)
     base = f"{shared_folder(spark).rstrip('/')}/entityloom/stages-{uuid.uuid4().hex}"
     made = {
-        "orders": lambda: star.order_features(t),
+        "prices": lambda: aggregate_history(_orders(t), PRICE_FUNCTION),
         "events": lambda: star.event_features(t),
         "layout": lambda: _layout(t),
     }
     paths = {name: f"{base}/{name}" for name in made}
     for name, make in made.items():
-        stage.resume_stage(spark, paths[name], name, make)
+        stage.write_stage(make(), paths[name], name)
         stage.load_stage(spark, paths[name])
     return stage.stage_summary(spark, paths).select("stage", "rows")
 

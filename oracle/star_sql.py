@@ -752,7 +752,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT 'lines', * FROM ({fingerprint("other")}))
       SELECT *, (SELECT count(DISTINCT fingerprint) = 1 AND count(DISTINCT slots) = 1 FROM x) AS compatible FROM x""",
     "stage_summary": """
-      SELECT 'orders' AS stage, count(DISTINCT o_custkey) AS rows FROM orders
+      SELECT 'prices' AS stage, count(DISTINCT o_custkey) AS rows FROM orders
       UNION ALL SELECT 'events', count(DISTINCT user_id) FROM events
       UNION ALL SELECT 'layout', count(*) FROM customer""",
 }
