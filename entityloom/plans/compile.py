@@ -2,12 +2,12 @@
 
 All components of a function share one scan, up to the width at which Spark
 would leave generated code; wider functions are cut into parts that read their
-own columns each and meet on the key they are already partitioned by. Branches
-are never filtered copies joined back: rows are first merged per key and branch
-value, with one set of buffers however many branches there are, and the merged
-rows are then combined per key. Where the statistics cannot be merged that way
-(variance of plain doubles), branches become conditional aggregates of a single
-grouping.
+own columns each and meet on the key they are already partitioned by.
+
+Branches are never filtered copies joined back. They are conditional aggregates
+of the same grouping as long as its buffers stay within that width. Beyond it,
+rows are first merged per key and branch value, with one set of buffers however
+many branches there are, and the few merged rows are combined per key.
 
 Every aggregate but ``nunique`` is algebraic, so map tasks merge the rows of a
 key before any shuffle, and a key that holds a large part of the table costs
@@ -94,7 +94,8 @@ class _Plan:
         self.branches = sorted({c.branch for fn in functions for c in fn.components if c.branch})
         features = [f for fn in functions for c in fn.components for f in c.features]
         mergeable = all(f.scale is not None or "var" not in f.operations for f in features)
-        self.two_levels = mergeable and len({name for name, _ in self.branches}) == 1
+        one_column = len({name for name, _ in self.branches}) == 1
+        self.two_levels = one_column and mergeable and _conditional_width(functions) > MAX_BUFFERS
 
     def row(self, signature: tuple, make) -> str:
         if signature not in self.rows:
@@ -188,6 +189,30 @@ class _Plan:
         return merged
 
 
+def _conditional_width(functions: Sequence[HistoryFunction]) -> int:
+    """Buffers of a single grouping with one conditional aggregate per branch."""
+    needs = {
+        "count": "n",
+        "sum": "s",
+        "mean": "n s",
+        "var": "n s hi lo",
+        "min": "min",
+        "max": "max",
+        "size": "size",
+        "nunique": "",
+    }
+    buffers = {
+        (c.branch, f.transform, f.columns, f.scale, kind)
+        for function in functions
+        for c in function.components
+        for f in c.features
+        for op in f.operations
+        for kind in needs[op].split()
+    }
+    hits = sum(len(share.outputs()) for function in functions for share in function.shares)
+    return len(buffers) + hits + len({c.branch for fn in functions for c in fn.components})
+
+
 def _group(rows: DataFrame, keys: Sequence[str], aggregates: Mapping[str, str]) -> DataFrame:
     """``GROUP BY`` with many aggregates given as text, handed to Spark in one call."""
     items = ", ".join([*keys, *[f"{text} AS {name}" for name, text in aggregates.items()]])
@@ -251,21 +276,26 @@ def aggregate_histories(
     if empty not in ("null", "zero"):
         raise ValueError(f"unknown empty mode: {empty}")
     plan = _plan(df, functions)
-    outputs: list[str] = []
-    for function in functions:
-        for component, feature, operation, name in function.outputs():
-            branch = component.branch
-            text = _operation(plan, feature, operation, branch)
-            if branch and empty == "null" and operation in ("count", "size", "sum", "nunique"):
-                text = f"CASE WHEN {plan.size(branch)} > 0 THEN {text} END"
-            outputs.append(f"{text} AS `{name}`")
-        for share in function.shares:
-            for value, name in share.outputs():
-                hits, size = plan.hits(share.column, value), plan.size(None)
-                outputs.append(f"cast({hits} AS double) / cast({size} AS double) AS `{name}`")
+    outputs = [f"{text} AS `{name}`" for function in functions for name, text in _outputs(plan, function, empty)]
     return plan.grouped().selectExpr(f"`{plan.key}`", *outputs)
 
 
+def _outputs(plan: _Plan, function: HistoryFunction, empty: str) -> list[tuple[str, str]]:
+    """``(column name, text over the statistics)`` of every output."""
+    made: list[tuple[str, str]] = []
+    for component, feature, operation, name in function.outputs():
+        branch = component.branch
+        text = _operation(plan, feature, operation, branch)
+        if branch and empty == "null" and operation in ("count", "size", "sum", "nunique"):
+            text = f"CASE WHEN {plan.size(branch)} > 0 THEN {text} END"
+        made.append((name, text))
+    for share in function.shares:
+        for value, name in share.outputs():
+            hits, size = plan.hits(share.column, value), plan.size(None)
+            made.append((name, f"cast({hits} AS double) / cast({size} AS double)"))
+    return made
+
+
 def aggregate_history(df: DataFrame, function: HistoryFunction, empty: str = "null") -> DataFrame:
     return aggregate_histories(df, [function], empty)
 
@@ -295,21 +325,41 @@ def _inline(df: DataFrame, keep: Sequence[str], names: Sequence[str], entries: S
 
 
 def long_features(
-    entity: DataFrame, df: DataFrame, function: HistoryFunction, index: str = "app_index"
+    entity: DataFrame,
+    df: DataFrame,
+    function: HistoryFunction,
+    index: str = "app_index",
+    present: str | None = None,
 ) -> DataFrame:
     """One row per ``(slot, component, feature, operation)``, zero mode.
 
-    Columns: ``component_id, component, app_index, feature, operation, value``.
+    Columns: ``component_id, component, app_index, feature, operation, value``,
+    and with ``present`` a 0/1 column of that name: does any feature of the
+    slot have a value in the history?
     """
-    wide = aggregate_history(df, function, empty="zero")
-    joined = attach(entity.select(index, function.key), wide, function.key, [function], "zero")
-    entries = [
-        [_text(c.id), _text(c.title), _text(f.name), _text(op), f"cast(`{name}` AS double)"]
-        for c, f, op, name in function.outputs()
-    ]
+    plan = _plan(df, [function])
+    texts = dict(_outputs(plan, function, "zero"))
+    additive = set(function.additive_columns())
+    entries = []
+    for c, f, op, name in function.outputs():
+        value = f"cast({texts[name]} AS double)"
+        value = f"coalesce({value}, 0.0D)" if name in additive else value
+        entries.append([_text(c.id), _text(c.title), _text(f.name), _text(op), value])
+    keep = [index]
+    marks = {}
+    if present:
+        keep.append(present)
+        counts = [
+            plan.size(c.branch) if f.transform == "rows" else _statistic(plan, f, "n", c.branch)
+            for c in function.components
+            for f in c.features
+        ]
+        marks[present] = F.expr(f"cast(coalesce({' > 0 OR '.join(counts)} > 0, false) AS int)")
+    slots = entity.select(index, function.key)
+    joined = slots.join(plan.grouped(), function.key, "left").withColumns(marks)
     names = ["component_id", "component", "feature", "operation", "value"]
-    return _inline(joined, [index], names, entries).select(
-        "component_id", "component", index, "feature", "operation", "value"
+    return _inline(joined, keep, names, entries).select(
+        "component_id", "component", index, "feature", "operation", "value", *keep[1:]
     )
 
 

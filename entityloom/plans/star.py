@@ -8,6 +8,7 @@ applications, instalments and card rows; events play the POS history.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -39,7 +40,8 @@ def rows_as(alias: str) -> Feature:
 
 
 def tables(spark: SparkSession, folder: str) -> Callable[[str], DataFrame]:
-    return lambda name: read_parquet(spark, folder, name)
+    """Reader of one data folder that opens each table once."""
+    return cache(lambda name: read_parquet(spark, folder, name))
 
 
 def days(column: str) -> Column:

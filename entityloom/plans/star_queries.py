@@ -481,12 +481,12 @@ def selected_entity_probe(t):
 @query
 def semi_join_keys(t):
     urgent = _orders(t).filter(F.col("o_orderpriority") == "1-URGENT").select(KEY)
-    return t("customer").select(KEY, "c_name").join(urgent, KEY, "left_semi")
+    return align.with_key_in(t("customer").select(KEY, "c_name"), urgent, KEY)
 
 
 @query
 def anti_join_keys(t):
-    return t("customer").select(KEY, "c_name").join(star.events_of_customers(t), KEY, "left_anti")
+    return align.with_key_not_in(t("customer").select(KEY, "c_name"), star.events_of_customers(t), KEY)
 
 
 def _event_keys(t) -> DataFrame:
@@ -519,12 +519,8 @@ def bundle_join(t):
     layout = _layout(t)
     parts = []
     for function in star.DECLARED:
-        history = star.HISTORY[function.table](t)
-        long = long_features(layout, history, function)
-        present = align.presence_mask(layout, history.select(KEY), KEY)
-        flags = present.select("app_index", F.col("present").cast("int").alias("source_present"))
-        tagged = long.join(flags, "app_index").select(F.lit(function.name).alias("function"), "*")
-        parts.append(tagged)
+        long = long_features(layout, star.HISTORY[function.table](t), function, present="source_present")
+        parts.append(long.select(F.lit(function.name).alias("function"), "*"))
     bundle = parts[0]
     for part in parts[1:]:
         bundle = bundle.unionByName(part)
