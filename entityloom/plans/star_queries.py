@@ -787,6 +787,17 @@ def oof_predictions(t):
     return _trained(t).out_of_fold
 
 
+@query
+def oof_coverage(t):
+    """The parts of the out-of-fold scores that do not depend on the model."""
+    result = _trained(t)
+    in_range = F.col("score").between(0.0, 1.0).alias("in_range")
+    held_out = result.out_of_fold.select("doc_id", "label", "fold", in_range)
+    return held_out.unionByName(
+        result.scores.select("doc_id", in_range), allowMissingColumns=True
+    )
+
+
 @query
 def fold_mean_scores(t):
     return _trained(t).scores

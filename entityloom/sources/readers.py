@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 
@@ -37,6 +38,33 @@ def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*[name.lstrip("\ufeff") for name in df.columns])
 
 
+def read_table(
+    spark: SparkSession, folder: str, table: str, schema: T.StructType | str | None = None
+) -> DataFrame:
+    """``<table>.parquet`` if there is one, else ``<table>.csv``.
+
+    A CSV without a declared schema has its types inferred by a full pass of
+    its own; for repeated use store it as Parquet once (``store_parquet``).
+    """
+    try:
+        return read_parquet(spark, folder, table)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    path = f"{folder}/{table}.csv"
+    if schema is not None:
+        return read_csv(spark, path, schema)
+    df = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    return df.toDF(*[name.lstrip("\ufeff") for name in df.columns])
+
+
+def store_parquet(spark: SparkSession, source: str, target: str, table: str) -> DataFrame:
+    """Convert one CSV table to Parquet; an existing target is refused."""
+    path = f"{target}/{table}.parquet"
+    read_table(spark, source, table).write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
+
+
 def first_rows(df: DataFrame, order: Iterable[str], limit: int) -> DataFrame:
     """The first ``limit`` rows in an explicit order; 0 means all rows."""
     return df if limit <= 0 else df.orderBy(*order).limit(limit)

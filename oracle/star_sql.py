@@ -751,6 +751,10 @@ ORACLE_SQL: dict[str, str] = {
         SELECT 'events', * FROM ({fingerprint("layout")}) UNION ALL
         SELECT 'lines', * FROM ({fingerprint("other")}))
       SELECT *, (SELECT count(DISTINCT fingerprint) = 1 AND count(DISTINCT slots) = 1 FROM x) AS compatible FROM x""",
+    "oof_coverage": f"""
+      SELECT doc_id, quality::DOUBLE AS label, (i % 3)::INT AS fold, TRUE AS in_range
+      FROM (SELECT doc_id, quality, {numbered("(SELECT * FROM documents JOIN labels USING (doc_id))", "doc_id", 1001, "i")})
+      UNION ALL SELECT doc_id, NULL, NULL, TRUE FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
     "stage_summary": """
       SELECT 'prices' AS stage, count(DISTINCT o_custkey) AS rows FROM orders
       UNION ALL SELECT 'events', count(DISTINCT user_id) FROM events

@@ -373,3 +373,47 @@ def test_folds_score_every_row_once(spark):
     assert result.importance.count() == 12
     auc = one(ordering.roc_auc(result.out_of_fold, "label", "score"))["auc"]
     assert auc > 0.8
+
+
+def test_prepared_keys(spark):
+    df = spark.createDataFrame([("103 ",), ("101",), ("101",)], "k string")
+    assert [r["k"] for r in align.prepare_keys(df, "k", True).collect()] == ["101", "103"]
+    with pytest.raises(ValueError, match="repeated in 1 rows"):
+        align.prepare_keys(df, "k", False)
+    blank = spark.createDataFrame([("1",), (" ",)], "k string")
+    with pytest.raises(ValueError, match="blank in 1 rows"):
+        align.prepare_keys(blank, "k", True)
+    with pytest.raises(ValueError, match="no k values"):
+        align.prepare_keys(df.limit(0), "k", True)
+    assert [r["key"] for r in align.prepare_key_union({"a": (df, "k")}).collect()] == ["101", "103"]
+    with pytest.raises(ValueError, match="b: 1 blank"):
+        align.prepare_key_union({"a": (df, "k"), "b": (blank, "k")})
+
+
+def test_alignment(spark):
+    receiver = spark.createDataFrame([("101", 0), ("102", 1), ("103", 0)], "k string, TARGET int")
+    matches = spark.createDataFrame([("102", 0), ("103", 1)], "k string, position int")
+    made = align.build_alignment(receiver, matches, matches, "k", "TARGET", seed=7)
+    assert one(made.counts) == {"dense_slots": 3, "intersection": 2, "receiver_unmatched": 1}
+    assert made.sender.columns == ["app_index", "k"]
+    layout = {r["k"]: r for r in rows(made.receiver)}
+    assert layout["102"]["TARGET"] == 1
+    assert {r["k"]: r["app_index"] for r in rows(made.mapping)} == {
+        k: layout[k]["app_index"] for k in ("102", "103")
+    }
+    assert [r["present"] for r in rows(made.presence, "app_index")].count(1.0) == 2
+    stranger = spark.createDataFrame([("102", 0), ("999", 1)], "k string, position int")
+    with pytest.raises(ValueError, match="1 matched keys are absent"):
+        align.build_alignment(receiver, stranger, stranger, "k")
+    with pytest.raises(ValueError, match="1 repeated"):
+        align.build_alignment(receiver.union(receiver.limit(1)), matches, matches, "k")
+
+
+def test_read_table_prefers_parquet(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,x\n1,2.5\n2,\n")
+    csv = readers.read_table(spark, str(tmp_path), "a")
+    assert dict(csv.dtypes) == {"k": "int", "x": "double"}
+    declared = readers.read_table(spark, str(tmp_path), "a", "k string")
+    assert dict(declared.dtypes) == {"k": "string"}
+    stored = readers.store_parquet(spark, str(tmp_path), str(tmp_path), "a")
+    assert rows(readers.read_table(spark, str(tmp_path), "a"), "k") == rows(stored, "k")
