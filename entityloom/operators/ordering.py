@@ -103,16 +103,23 @@ def slot_positions(
     """0-based position of each row among its key's rows in the order of ``order``.
 
     Groups that fit a task take a window. As soon as one group is larger, the
-    whole table is numbered in ``(key, order)`` order instead, which splits the
-    large group over tasks, and each key's first number is subtracted.
+    table is range-sorted by ``(key, order)`` instead, which splits the large
+    group over tasks; each written partition then knows where its part of a key
+    starts and how many rows of the key came before.
     """
     largest = largest_group(df, key) if largest is None else largest
     if largest <= WINDOW_ROWS:
         position = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
         return df.withColumn(alias, position.cast("bigint"))
-    numbered = dense_index(df, [key, *order], "_number")
-    first = numbered.groupBy(key).agg(F.min("_number").alias("_first"))
-    return numbered.join(first, key).select(*df.columns, (F.col("_number") - F.col("_first")).alias(alias))
+    rows = _sorted_rows(df, [key, *order], "slots")
+    parts = rows.groupBy(F.col("_part").alias("_p"), F.col(key).alias("_k")).agg(
+        F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n")
+    )
+    parts = parts.withColumn("_carried", _sum_before("_n", "_p", ["_k"]))
+    # The part number in the join key keeps the large group spread.
+    same = (F.col("_part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_k"))
+    position = F.col("_place") - F.col("_first") + F.col("_carried")
+    return rows.join(parts, same).select(*df.columns, position.cast("bigint").alias(alias))
 
 
 def kfold(df: DataFrame, key: str, folds: int, seed: int | str = 1001, alias: str = "fold") -> DataFrame:

@@ -129,6 +129,10 @@ def test_slot_positions_split_a_large_group(spark, skewed, monkeypatch):
     split = rows(ordering.slot_positions(skewed, "k", ["i"]), "k", "i")
     assert split == windowed
     assert [r["slot"] for r in split if r["k"] == "hot"] == list(range(300))
+    nameless = skewed.withColumn("k", F.when(F.col("k") != "hot", F.col("k")))
+    assert [r["slot"] for r in rows(ordering.slot_positions(nameless, "k", ["i"]), "i") if r["k"] is None] == list(
+        range(300)
+    )
 
 
 def test_folds(spark):
