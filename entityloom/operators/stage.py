@@ -5,9 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
+from entityloom.operators.validate import coverage_check
+
 
 def content_fingerprint(df: DataFrame) -> Row:
     """Row count and order-free content hash, from one aggregation."""
@@ -78,3 +82,21 @@ def stage_summary(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     if absent:
         raise FileNotFoundError(f"stages are not complete: {absent}")
     return spark.createDataFrame(list(found.values()))
+
+
+def finalise(spark: SparkSession, paths: dict[str, str], slots: int, index: str = "app_index") -> DataFrame:
+    """All stages of long features as one table with a ``function`` column.
+
+    Every stage is checked against its completion record, and every output
+    must cover every slot exactly once.
+    """
+    if not paths:
+        raise ValueError("at least one stage is required")
+    bundles = []
+    for name, path in paths.items():
+        stored = load_stage(spark, path)
+        gaps = coverage_check(stored, slots, index=index).filter(~F.col("complete")).count()
+        if gaps:
+            raise ValueError(f"stage {name} does not cover every slot for {gaps} outputs")
+        bundles.append(stored.select(F.lit(name).alias("function"), "*"))
+    return reduce(DataFrame.unionByName, bundles)

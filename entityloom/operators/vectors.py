@@ -8,10 +8,15 @@ that is one row per slot.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from entityloom.functions import scalars
 from entityloom.operators.ordering import largest_group, slot_positions
+from entityloom.plans.compile import feature_value
+from entityloom.plans.spec import Component, Feature
+from entityloom.sources.readers import require_columns
 
 # Fixed value: cells per chunk.
 CHUNK_CELLS = 8192
@@ -26,6 +31,25 @@ def padding(slots: int, width: int, matched: int) -> int:
     return slots * width - matched
 
 
+def feature_rows(
+    df: DataFrame, key: str, component: Component, feature: Feature, keep: Sequence[str]
+) -> DataFrame:
+    """The rows that make one feature's vectors: ``value``, ``mask`` and ``keep``.
+
+    Rows without a value are left out. A difference keeps its two sides as
+    ``value`` and ``right``; the mask is 1.0 inside the component's branch.
+    """
+    require_columns(df, [key, *keep, *feature.columns], component.id)
+    mask = scalars.branch_mask(F.col(component.branch[0]), component.branch[1]) if component.branch else F.lit(1.0)
+    if feature.transform == "difference":
+        left, right = (replace(feature, transform="identity", sources=(c,)) for c in feature.columns)
+        values = {"value": feature_value(df, left), "right": feature_value(df, right)}
+    else:
+        values = {"value": feature_value(df, feature)}
+    rows = df.select(key, *keep, *[v.alias(n) for n, v in values.items()], mask.alias("mask"))
+    return rows.dropna(subset=[key, *values])
+
+
 def pack_vectors(
     slots: DataFrame,
     rows: DataFrame,

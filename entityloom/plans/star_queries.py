@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -629,17 +630,35 @@ def _packed(t, size: int = vectors.CHUNK_CELLS) -> tuple[DataFrame, int]:
     return packed, width
 
 
+def _cents(name: str):
+    """An array as the text of its values in hundredths."""
+    cents = F.transform(name, lambda x: F.rint(x * 100.0).cast("bigint").cast("string"))
+    return F.array_join(cents, ",").alias(f"{name}_cents")
+
+
 @query
 def pack_vectors(t):
     """Packed vectors in chunks, each array shown as the text of its scaled integers."""
     packed, _ = _packed(t, CHUNK)
+    return packed.select(
+        "app_index", "chunk", F.size("value").alias("cells"), _cents("value"), _cents("hour"), _cents("mask")
+    )
+
+
+# Fixed value: a line has no key of its own; these columns order lines up to equal rows.
+LINE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax", "l_shipdate")
 
-    def text(name: str):
-        cents = F.transform(name, lambda x: F.rint(x * 100.0).cast("bigint").cast("string"))
-        return F.array_join(cents, ",").alias(f"{name}_cents")
 
+@query
+def pack_difference_vectors(t):
+    """Both sides and the branch mask of a difference feature, packed from its spec."""
+    feature = f("PAID_DIFF", "sum", 2, "difference", "amount_due", "amount_paid")
+    component = Component("D01", "", (feature,), branch=("l_returnflag", "R"))
+    rows = vectors.feature_rows(star.lines_of_customers(t), KEY, component, feature, LINE_ORDER)
+    order = [*LINE_ORDER, "value", "right", "mask"]
+    packed = vectors.pack_vectors(_layout(t), rows, KEY, ["value", "right", "mask"], order, size=CHUNK)
     return packed.select(
-        "app_index", "chunk", F.size("value").alias("cells"), text("value"), text("hour"), text("mask")
+        "app_index", "chunk", *[_cents(name) for name in ("value", "right", "mask")]
     )
 
 
@@ -808,22 +827,45 @@ def fold_importance(t):
     return _trained(t).importance
 
 
-def stage_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """Three stages written, checked against their completion records and listed."""
-    import uuid
-
-    t = star.tables(spark, folder)
+def _stages(spark: SparkSession, made: dict[str, Callable[[], DataFrame]]) -> dict[str, str]:
+    """Write stages into the shared folder; their paths by name."""
     base = f"{shared_folder(spark).rstrip('/')}/entityloom/stages-{uuid.uuid4().hex}"
-    made = {
-        "prices": lambda: aggregate_history(_orders(t), PRICE_FUNCTION),
-        "events": lambda: star.event_features(t),
-        "layout": lambda: _layout(t),
-    }
     paths = {name: f"{base}/{name}" for name in made}
     for name, make in made.items():
-        stage.write_stage(make(), paths[name], name)
-        stage.load_stage(spark, paths[name])
+        stage.resume_stage(spark, paths[name], name, make)
+    return paths
+
+
+def stage_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Three stages written, checked against their completion records and listed."""
+    t = star.tables(spark, folder)
+    paths = _stages(
+        spark,
+        {
+            "prices": lambda: aggregate_history(_orders(t), PRICE_FUNCTION),
+            "events": lambda: star.event_features(t),
+            "layout": lambda: _layout(t),
+        },
+    )
+    for path in paths.values():
+        stage.load_stage(spark, path)
     return stage.stage_summary(spark, paths).select("stage", "rows")
 
 
+def stage_finalise(spark: SparkSession, folder: str) -> DataFrame:
+    """Long features of two functions as stages, then checked and put together."""
+    t = star.tables(spark, folder)
+    layout = _layout(t)
+    chosen = {f.name: f for f in (star.DECLARED[0], star.DECLARED[2])}
+    paths = _stages(
+        spark,
+        {
+            name: lambda f=function: long_features(layout, star.HISTORY[f.table](t), f)
+            for name, function in chosen.items()
+        },
+    )
+    return stage.finalise(spark, paths, layout.count())
+
+
 QUERIES["stage_summary"] = stage_summary
+QUERIES["stage_finalise"] = stage_finalise

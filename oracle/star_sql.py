@@ -687,6 +687,21 @@ ORACLE_SQL: dict[str, str] = {
       SELECT app_index, (cell // {CHUNK})::INT AS chunk, count(*)::INT AS cells,
              {cents("value")}, {cents("hour")}, {cents("mask")}
       FROM cells GROUP BY app_index, cell // {CHUNK}""",
+    "pack_difference_vectors": f"""
+      WITH {HISTORY}, {LAYOUT}, placed AS (
+        SELECT c_custkey, amount_due AS value, amount_paid AS right_side, (l_returnflag = 'R')::INT AS mask,
+               row_number() OVER (PARTITION BY c_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                 l_quantity, l_tax, l_shipdate, amount_due, amount_paid, l_returnflag = 'R') - 1 AS slot
+        FROM line_rows),
+      width AS (SELECT max(slot) + 1 AS w FROM placed),
+      cells AS (
+        SELECT app_index, i AS cell, coalesce(value, 0.0) AS value, coalesce(right_side, 0.0) AS right_side,
+               coalesce(mask, 0) AS mask
+        FROM layout CROSS JOIN width CROSS JOIN LATERAL (SELECT unnest(range(w)) AS i)
+        LEFT JOIN placed ON placed.c_custkey = layout.c_custkey AND slot = i)
+      SELECT app_index, (cell // {CHUNK})::INT AS chunk, {cents("value")},
+             {cents("right_side").replace("right_side_cents", "right_cents")}, {cents("mask")}
+      FROM cells GROUP BY app_index, cell // {CHUNK}""",
     "pack_width": """
       WITH g AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), c AS (SELECT count(*) AS slots FROM customer)
       SELECT slots, max(n) AS width, sum(n)::BIGINT AS matched, (slots * max(n) - sum(n))::BIGINT AS padding
@@ -755,6 +770,11 @@ ORACLE_SQL: dict[str, str] = {
       SELECT doc_id, quality::DOUBLE AS label, (i % 3)::INT AS fold, TRUE AS in_range
       FROM (SELECT doc_id, quality, {numbered("(SELECT * FROM documents JOIN labels USING (doc_id))", "doc_id", 1001, "i")})
       UNION ALL SELECT doc_id, NULL, NULL, TRUE FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
+    "stage_finalise": f"WITH {HISTORY}, {LAYOUT} "
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS function, * EXCLUDE (source_present) FROM {declared_long(name)}"
+        for name in ("orders", "events")
+    ),
     "stage_summary": """
       SELECT 'prices' AS stage, count(DISTINCT o_custkey) AS rows FROM orders
       UNION ALL SELECT 'events', count(DISTINCT user_id) FROM events

@@ -2,7 +2,7 @@
 
 import pytest
 
-from entityloom.operators import align, validate
+from entityloom.operators import align, validate, vectors
 from entityloom.plans import credit
 from entityloom.plans.compile import long_features, sufficient_statistics
 from entityloom.plans.spec import find_function
@@ -178,6 +178,24 @@ def test_declared_statistics(slots, installments, card):
     assert stats["I01", 2, "ROW_COUNT"] == (0.0, 0.0, 0.0)
 
 
+def test_feature_vectors(slots, bureau, installments):
+    def packed(history, function, component, feature, order, size=8192):
+        spec = find_function(credit.DECLARED_FUNCTIONS, function)
+        part = next(c for c in spec.components if c.id == component)
+        wanted = next(f for f in part.features if f.name == feature)
+        made = vectors.feature_rows(history, credit.KEY, part, wanted, order)
+        names = [c for c in made.columns if c in ("value", "right", "mask")]
+        return rows(vectors.pack_vectors(slots, made, credit.KEY, names, order, size=size), "app_index")
+
+    first, _, third = packed(installments, "installments", "I03", "PAYMENT_DIFF", ["DAYS_INSTALMENT"])
+    assert (first["value"], first["right"], first["mask"]) == ([100.0, 50.0], [80.0, 60.0], [1.0, 1.0])
+    assert third["value"] == third["right"] == third["mask"] == [0.0, 0.0]
+    active = packed(bureau, "bureau", "B02", "DAYS_CREDIT", ["SK_ID_BUREAU"])
+    assert active[0]["value"] == [-10.0, -20.0] and active[0]["mask"] == [1.0, 0.0]
+    annuity = packed(bureau, "bureau", "B01", "AMT_ANNUITY", ["SK_ID_BUREAU"])
+    assert [r["value"] for r in annuity] == [[5.0], [4.0], [0.0]], "missing values are left out"
+
+
 def test_blank_slot_is_a_slot_without_history(spark, pos):
     layout = spark.createDataFrame([(0, None), (1, 102)], "app_index bigint, SK_ID_CURR bigint")
     value = declared(layout, pos, "pos")

@@ -307,6 +307,20 @@ def test_stage_is_written_resumed_and_checked(spark, tmp_path):
         stage.resume_stage(spark, path, "s", make)
 
 
+def test_finalise_checks_coverage(spark, tmp_path):
+    cells = [("c", "f", "sum", i, float(i)) for i in range(3)]
+    columns = "component_id string, feature string, operation string, app_index int, value double"
+    full = spark.createDataFrame(cells, columns)
+    paths = {n: str(tmp_path / n) for n in ("a", "b")}
+    for name, path in paths.items():
+        stage.write_stage(full, path, name)
+    assert stage.finalise(spark, paths, 3).groupBy("function").count().count() == 2
+    with pytest.raises(ValueError, match="does not cover every slot for 1 outputs"):
+        stage.finalise(spark, paths, 4)
+    with pytest.raises(ValueError, match="at least one stage"):
+        stage.finalise(spark, {}, 3)
+
+
 def test_an_unfinished_attempt_is_not_a_stage(spark, tmp_path):
     path = str(tmp_path / "stage")
     spark.range(3).write.parquet(f"{path}/data-left-over")
