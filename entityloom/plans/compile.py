@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from entityloom.functions import fixedpoint as fx, scalars
-from entityloom.plans.spec import Component, Feature, HistoryFunction
+from entityloom.plans.spec import Feature, HistoryFunction
 from entityloom.sources.readers import require_columns
 
 WHOLE_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
