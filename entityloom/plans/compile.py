@@ -31,8 +31,10 @@ from entityloom.sources.readers import require_columns
 WHOLE_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 MERGE = {"min": "min", "max": "max"}  # every other statistic merges by addition
 COUNTS = ("n", "size", "hits")
-# Fixed value: Spark leaves generated code for rows wider than 100 fields.
+# Spark leaves generated code for rows wider than 100 fields; beyond
+# the second width merging per branch value measured faster than conditionals.
 MAX_BUFFERS = 95
+MAX_CONDITIONAL_BUFFERS = 80
 Branch = tuple[str, str] | None
 
 
@@ -95,7 +97,7 @@ class _Plan:
         features = [f for fn in functions for c in fn.components for f in c.features]
         mergeable = all(f.scale is not None or "var" not in f.operations for f in features)
         one_column = len({name for name, _ in self.branches}) == 1
-        self.two_levels = one_column and mergeable and _conditional_width(functions) > MAX_BUFFERS
+        self.two_levels = one_column and mergeable and _conditional_width(functions) > MAX_CONDITIONAL_BUFFERS
 
     def row(self, signature: tuple, make) -> str:
         if signature not in self.rows:
