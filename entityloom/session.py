@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own_folders: set[str] = set()
 
-def local_session(cores: int | str = 8, memory: str = "8g", app: str = "entityloom") -> SparkSession:
-    """A session for tests and benches; on a cluster use the session the cluster gives."""
+
+def local_session(
+    cores: int | str = 8, memory: str = "8g", app: str = "entityloom", folder: str | None = None
+) -> SparkSession:
+    """A session for tests and benches; on a cluster use the session the cluster gives.
+
+    ``folder`` takes written intermediates where no default names one.
+    """
+    builder = SparkSession.builder
+    if folder:
+        builder = builder.config("spark.checkpoint.dir", folder)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
@@ -26,27 +37,45 @@ def local_session(cores: int | str = 8, memory: str = "8g", app: str = "entitylo
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master without that setting gets a temporary folder.
+    Each application writes below a folder of its own there, which goes when
+    the application's Python ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="spark-entityloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    own = f"{folder.rstrip('/')}/entityloom-{spark.sparkContext.applicationId}"
+    if own not in _own_folders:
+        _own_folders.add(own)
+        atexit.register(remove, spark, own)
+    return own
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written folder; nothing happens when it, or the session, is gone."""
+    if spark.sparkContext._jsc is None:
+        return
+    with contextlib.suppress(Exception):
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The written files survive lost executors, so values that depend on the
-    physical layout (such as row positions) are fixed once and for all.
+    physical layout (such as row positions) are fixed once and for all. They
+    last as long as the application, or until ``release``.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/entityloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._entityloom_path = path
+    return written
+
+
+def release(written: DataFrame) -> None:
+    """Delete the files of a ``materialise`` result that nothing reads any more."""
+    remove(written.sparkSession, written._entityloom_path)
