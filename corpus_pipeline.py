@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from entityloom.llm import packing
+from entityloom.llm.workers import share_path
 from entityloom.session import shared_folder
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: every remaining document in windows of 2,048 tokens."""
+    share_path(spark)
     return packing.pack(docs)
 
 

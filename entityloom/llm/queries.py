@@ -7,14 +7,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityloom.llm import huffman, packing
+from entityloom.llm import huffman, language, licenses, merges, packing, simhash, toxicity
+from entityloom.llm.workers import share_path
 from entityloom.session import shared_folder
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    share_path(spark)
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Words, base phrases and license labels of every document."""
+    found = _documents(spark, folder).select("doc_id", licenses.scan_licenses(F.col("text")).alias("found"))
+    return found.select("doc_id", "found.*").drop("spans")
+
+
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document, with the checksum of its ids and its place in a window."""
     pieces = packing.pack(_documents(spark, folder))
@@ -38,8 +46,58 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return huffman.read_ids(spark, target).drop("ids")
 
 
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = _documents(spark, folder)
+    found = language.identify(F.col("text"), language.learn(docs))
+    return docs.select("doc_id", language.held_out().alias("held_out"), found.alias("found")).select(
+        "doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score"
+    )
+
+
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(_documents(spark, folder))
+    return found.select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score and decision of every document."""
+    docs = _documents(spark, folder)
+    model = toxicity.learn(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    scored = docs.select(
+        "doc_id",
+        language.held_out().alias("held_out"),
+        toxicity.toxicity(F.col("text"), model).alias("score"),
+    )
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.DECISION).cast("int"))
+
+
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    text = F.coalesce("text", F.lit(""))
+    return (
+        _documents(spark, folder)
+        .select(
+            "doc_id",
+            F.octet_length(text).cast("long").alias("n_bytes"),
+            merges.n_tokens(F.col("text")).alias("n_tokens"),
+        )
+        .withColumn("over_limit", F.col("n_tokens") > merges.LIMIT)
+    )
+
+
 QUERIES = {
+    "op2_licenses": op2_licenses,
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
+    "op5_language": op5_language,
+    "op6_simhash": op6_simhash,
+    "op8_toxicity": op8_toxicity,
+    "op9_token_counts": op9_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {}
