@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityloom.llm import huffman, language, licenses, merges, packing, simhash, toxicity
+from entityloom.llm import huffman, language, licenses, merges, packing, simhash, substrings, toxicity
 from entityloom.llm.workers import share_path
 from entityloom.session import shared_folder
 
@@ -91,6 +91,15 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    """Words removed from every document, and the digest of what is kept."""
+    found = substrings.duplicate_spans(_documents(spark, folder))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select(
+        "doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES = {
     "op2_licenses": op2_licenses,
     "op3_packing": op3_packing,
@@ -99,5 +108,29 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
+    "op10_substrings": op10_substrings,
 }
-ORACLE_SQL: dict[str, str] = {}
+OP10_SQL = """
+WITH d AS (
+    SELECT doc_id, list_filter(
+        regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+    FROM documents
+), win AS (
+    SELECT doc_id, i, array_to_string(w[i : i + 49], ' ') AS s
+    FROM d, unnest(range(1, len(w) - 48)) AS t(i)
+), least AS (
+    SELECT s, min(doc_id) AS m FROM win GROUP BY s HAVING count(*) > 1
+), hit AS (
+    SELECT DISTINCT doc_id, i + k AS p
+    FROM (SELECT doc_id, i FROM win JOIN least USING (s) WHERE doc_id > m), range(50) AS r(k)
+), removed AS (
+    SELECT doc_id, list(p) AS ps FROM hit GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+    sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE
+        list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(ps, i)), lambda i: w[i])
+    END, ' ')) AS kept_sha256
+FROM d LEFT JOIN removed USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op10_substrings": OP10_SQL}
