@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityloom.llm.tokens import as_bytes, as_ids, default_tokenizer, encoder
+from entityloom.llm.tokens import as_bytes, as_ids, default_tokenizer, encoder, slices
 from entityloom.session import materialise, release
 
 LIMIT = 16
@@ -116,13 +116,13 @@ def ordered_ids(docs: DataFrame, tokenizer: str | None = None, end_id: int = END
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(path).encode_all
         part, before = TaskContext.get().partitionId(), 0
-        for pdf in batches:
+        for pdf in slices(batches):
             raw = [x + end for x in encode(pdf["_text"].tolist())]
             n = np.array([len(x) // 4 for x in raw], dtype=np.int64)
             ends = before + np.cumsum(n)
             before = int(ends[-1]) if len(n) else before
             yield pd.DataFrame(
-                {"part": part, "doc_id": pdf["_doc"], "at": ends - n, "n": n, "ids": raw}
+                {"part": part, "doc_id": pdf["_doc"].array, "at": ends - n, "n": n, "ids": raw}
             )
 
     source = docs.select(

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entityloom.llm.tokens import as_bytes, default_tokenizer, encoder
+from entityloom.llm.tokens import as_bytes, default_tokenizer, encoder, slices
 
 WINDOW = 2048
 #: Ends of documents are cut to pieces of at most this many ids.
@@ -140,7 +140,7 @@ def pack(
         def pooled() -> pd.DataFrame:
             return place([[pool[i] for i in g] for g in fill_windows([p[2] for p in pool], window)])
 
-        for pdf in batches:
+        for pdf in slices(batches):
             for doc, raw in zip(pdf["_doc"], encode(pdf["_text"].tolist()), strict=True):
                 raw += end
                 n = len(raw) // 4

@@ -19,10 +19,13 @@ import numpy as np
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 #: Words kept in memory per worker before the memory is emptied.
-MEMORY_WORDS = 800_000
+MEMORY_WORDS = 600_000
 #: Texts whose new words are asked for together.
 BATCH_TEXTS = 256
 UNSURE = re.compile("[\x1c-\x1f]")
+#: A word that is one piece to the library, which ends with a token of its own kind.
+LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+WORD_END = "</w>"
 #: Letters followed by marks (but no apostrophe): the library always cuts between them.
 LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 
@@ -43,6 +46,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.memory: dict[str, bytes] = {}
         self.memory_words = memory_words
 
@@ -50,6 +56,23 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [as_bytes(x.ids) for x in found]
 
+    def _ask_words(self, words: list[str]) -> list[bytes]:
+        """As ``_ask``; words of letters go as one text, which spares an answer for each."""
+        letters = [w for w in words if LETTERS.fullmatch(w)]
+        rest = [w for w in words if not LETTERS.fullmatch(w)]
+        found = dict(zip(rest, self._ask(rest), strict=True)) if rest else {}
+        if letters:
+            raw = self._ask([" ".join(letters)])[0]
+            ends = 4 * (np.flatnonzero(self.ends[as_ids(raw)]) + 1)
+            if len(ends) == len(letters):
+                cuts = [0, *ends.tolist()]
+                found.update(
+                    (w, raw[a:b]) for w, a, b in zip(letters, cuts[:-1], cuts[1:], strict=True)
+                )
+            else:
+                found.update(zip(letters, self._ask(letters), strict=True))
+        return [found[w] for w in words]
+
     def _learn(self, words: set[str]) -> None:
         memory = self.memory
         missing = words.difference(memory)
@@ -62,7 +85,7 @@ class WordEncoder:
             plain.update(x for x in pair if x not in memory)
         if plain:
             asked = list(plain)
-            memory.update(zip(asked, self._ask(asked), strict=True))
+            memory.update(zip(asked, self._ask_words(asked), strict=True))
         memory.update((w, memory[a] + memory[b]) for w, (a, b) in pairs.items())
 
     def encode_all(self, texts: Sequence[str]) -> list[bytes]:
@@ -82,6 +105,13 @@ class WordEncoder:
         return out
 
 
+def slices(batches, rows: int = 2000):
+    """Data frames of at most so many rows, so that what is made of them stays small."""
+    for pdf in batches:
+        for first in range(0, len(pdf), rows):
+            yield pdf.iloc[first : first + rows]
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
