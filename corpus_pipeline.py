@@ -5,11 +5,60 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from entityloom.llm import packing
+from entityloom.llm import language, packing, simhash, substrings, winnowing
 from entityloom.llm.workers import share_path
 from entityloom.session import shared_folder
 
+ROW = "_pipeline_row"
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: null texts and texts without a letter."""
+    share_path(spark)
+    samples = language.learn(docs)
+    if not samples:  # nothing to learn from: only the rule on letters holds
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    return docs.filter(language.identify(F.col("text"), samples)["lang"] != language.UNKNOWN)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each SimHash component: that with the smallest id.
+
+    Rows that share an id count as one document. A row without id stands behind
+    all that have one, by the hash of its text.
+    """
+    share_path(spark)
+    missing = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
+    rows = docs.withColumn(ROW, F.coalesce(F.col("doc_id").cast("long"), missing))
+    found = simhash.near_duplicates(rows, row=ROW)
+    first = found.filter(F.col(ROW) == F.col("component")).select(ROW).distinct()
+    return rows.join(first, ROW, "left_semi").dropDuplicates([ROW]).select(*docs.columns)
+
+
+def drop_duplicate_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated passages out of the texts; a document of which nothing is left goes.
+
+    Texts without a repeated passage stay as they are.
+    """
+    share_path(spark)
+    found = substrings.with_removal(docs, "_removed")
+    cut = F.size("_removed.spans") > 0
+    text = F.when(cut, F.col("_removed.kept")).otherwise(F.col("text"))
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        length = F.char_length("_removed.kept").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(cut, length).otherwise(F.col("n_chars"))
+    kept = found.filter(~(cut & (F.col("_removed.kept") == "")))
+    return kept.select(*(changed[c].alias(c) if c in changed else c for c in docs.columns))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold ten consecutive words of a benchmark item."""
+    share_path(spark)
+    return winnowing.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: every remaining document in windows of 2,048 tokens."""
@@ -18,10 +67,14 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("substring_dedup", drop_duplicate_spans),
+    ("decontamination", drop_contaminated),
     ("packing", pack),
 ]
 
-#: SQL cannot express tokenizers, cross-parsing and SimHash; tests use brute force instead.
+#: SQL cannot express cross-parsing, SimHash and tokenizers; tests use brute force instead.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityloom.llm import huffman, language, licenses, merges, packing, simhash, substrings, toxicity
+from entityloom.llm import huffman, language, licenses, merges, packing, simhash, spots, substrings, toxicity, winnowing
 from entityloom.llm.workers import share_path
 from entityloom.session import shared_folder
 
@@ -17,6 +17,30 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op1_spot_signatures(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, compared with each other."""
+    docs = _documents(spark, folder).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
+    )
+    signed = spots.with_signatures(docs, "text", "signatures")
+    n = F.char_length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = spots.with_next(signed, ["text", "signatures"], "text").withColumn(
+        "edited",
+        F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)),
+    )
+    return spots.with_signatures(edited, "edited", "edited_signatures").select(
+        "doc_id",
+        n.cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        F.array_join("signatures", " ").alias("fingerprint"),
+        F.array_join("edited_signatures", " ").alias("edited_fingerprint"),
+        spots.likeness("signatures", "edited_signatures").alias("near_edited"),
+        spots.likeness("signatures", "next_signatures").alias("near_next"),
+        spots.length_class(F.size("signatures")).alias("length_class"),
+    )
+
+
 def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
     """Words, base phrases and license labels of every document."""
     found = _documents(spark, folder).select("doc_id", licenses.scan_licenses(F.col("text")).alias("found"))
@@ -65,6 +89,20 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that lie in a window of a benchmark item, and the items."""
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    found = winnowing.contamination(_documents(spark, folder), benchmark)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity score and decision of every document."""
     docs = _documents(spark, folder)
@@ -93,7 +131,8 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_substrings(spark: SparkSession, folder: str) -> DataFrame:
     """Words removed from every document, and the digest of what is kept."""
-    found = substrings.duplicate_spans(_documents(spark, folder))
+    docs = _documents(spark, folder).select("doc_id", "text")
+    found = substrings.with_removal(docs, "found").select("doc_id", "found.*")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return found.select(
         "doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256")
@@ -101,11 +140,13 @@ def op10_substrings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_spot_signatures": op1_spot_signatures,
     "op2_licenses": op2_licenses,
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
     "op5_language": op5_language,
     "op6_simhash": op6_simhash,
+    "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_substrings": op10_substrings,
@@ -133,4 +174,85 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_re
 FROM d LEFT JOIN removed USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op10_substrings": OP10_SQL}
+OP7_SQL = """
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+    FROM documents
+), b AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+    FROM benchmark
+), sized AS (
+    SELECT item_id, w, least(len(w), 10) AS n FROM b WHERE len(w) > 0
+), item AS (
+    SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS s
+    FROM sized, unnest(range(1, len(w) - n + 2)) AS t(i)
+), win AS (
+    SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS s
+    FROM d, (SELECT DISTINCT n FROM item) AS sizes, unnest(range(1, len(w) - n + 2)) AS t(i)
+), hit AS (
+    SELECT doc_id, i, n, item_id FROM win JOIN item USING (s, n)
+), n_hit AS (
+    SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hit, range(10) AS r(k) WHERE k < n GROUP BY doc_id
+), ids AS (
+    SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM hit GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+    coalesce(len(ids), 0)::BIGINT AS n_items,
+    sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
+    n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""
+
+OP1_SQL = """
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS text FROM documents
+), e AS (
+    SELECT doc_id, text, coalesce(lead(text) OVER o, first_value(text) OVER o) AS behind,
+        coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) AS next_id
+    FROM d WINDOW o AS (ORDER BY doc_id DESC)
+), edited AS (
+    SELECT doc_id, next_id, length(text) AS n, substr(text, 1, length(text) - length(text) // 2)
+        || substr(behind, 1, length(text) // 2) AS text
+    FROM e
+), t AS (
+    SELECT doc_id, 0 AS kind, text FROM d UNION ALL SELECT doc_id, 1, text FROM edited
+), words AS (
+    SELECT *, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w
+    FROM t
+), parts AS (
+    SELECT *, list_filter(w, lambda x: NOT list_contains(ANCHORS, x)) AS c,
+        list_filter(range(1, len(w) + 1), lambda i: list_contains(ANCHORS, w[i])) AS p
+    FROM words
+), signed AS (
+    SELECT doc_id, kind, list_sort(list_distinct(CASE
+        WHEN len(p) > 0 THEN list_transform(p, lambda i, j: substr(md5(array_to_string(
+            list_concat([w[i]], c[i - j + 1 : i - j + 2]), ' ')), 1, 8))
+        WHEN len(w) > 0 THEN list_transform(range(1, len(w) + 1), lambda i: substr(md5(array_to_string(
+            list_concat([w[i]], w[i + 1 : i + 2]), ' ')), 1, 8))
+        WHEN text <> '' THEN [substr(md5(text), 1, 8)]
+        ELSE [] END)) AS s
+    FROM parts
+), near AS (
+    SELECT x.doc_id, n, sha256(text) AS edited_sha256, a.s AS a, b.s AS b, c.s AS c
+    FROM edited AS x
+    JOIN signed AS a ON a.doc_id = x.doc_id AND a.kind = 0
+    JOIN signed AS b ON b.doc_id = x.doc_id AND b.kind = 1
+    JOIN signed AS c ON c.doc_id = x.next_id AND c.kind = 0
+)
+SELECT doc_id, n::BIGINT AS n_chars, edited_sha256, array_to_string(a, ' ') AS fingerprint,
+    array_to_string(b, ' ') AS edited_fingerprint,
+    CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE
+        / (len(a) + len(b) - len(list_intersect(a, b))) END AS near_edited,
+    CASE WHEN len(a) = 0 AND len(c) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a, c))::DOUBLE
+        / (len(a) + len(c) - len(list_intersect(a, c))) END AS near_next,
+    floor(ln(greatest(len(a), 1)::DOUBLE) / -ln(0.8::DOUBLE))::INTEGER AS length_class
+FROM near
+""".replace("ANCHORS", "[" + ", ".join(f"'{w}'" for w in spots.ANCHORS) + "]")
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_spot_signatures": OP1_SQL,
+    "op7_decontamination": OP7_SQL,
+    "op10_substrings": OP10_SQL,
+}

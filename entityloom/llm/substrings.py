@@ -173,14 +173,14 @@ def boundary_windows(docs: DataFrame, wanted: DataFrame, window: int, gram: int)
     return docs.join(lists, "doc_id").mapInPandas(run, "doc_id long, anchor long, window long")
 
 
-def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, text, n_words, spans, kept) of every row.
+def with_removal(docs: DataFrame, out: str, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``docs`` with a struct ``out`` of n_words, spans and kept.
 
     ``spans`` are the duplicate factors as (start, end) word positions, ``kept``
     the words outside them joined by one space.
     A null text has no words, one shorter than a window is kept whole. A row
     without ``doc_id`` is never removed from and never removes; rows that share
-    one do not remove from each other. Other columns are not read.
+    one do not remove from each other. Other columns are passed on as they are.
     """
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
@@ -193,7 +193,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         cut.join(index.filter("least < most").select("anchor", "block", "least"), ["anchor", "block"])
         .filter("doc_id > least")
         .groupBy("doc_id")
-        .agg(F.collect_set("block").alias("blocks"))
+        .agg(F.collect_set("block").alias("_found_blocks"))
     )
     differing = (
         index.groupBy("anchor")
@@ -212,14 +212,12 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         seen.join(repeated.select("anchor", "window", "least"), ["anchor", "window"])
         .filter("doc_id > least")
         .groupBy("doc_id")
-        .agg(F.collect_set("window").alias("windows"))
+        .agg(F.collect_set("window").alias("_found_windows"))
     )
-    found = whole.join(single, "doc_id", "full")
-    schema = (
-        "doc_id long, text string, n_words long, "
-        "spans array<struct<start:long,end:long>>, kept string"
-    )
-    return base.join(found, "doc_id", "left").mapInPandas(lambda b: _remove(b, window, gram), schema)
+    found = whole.join(single, "doc_id", "full").withColumnRenamed("doc_id", "_found_id")
+    known = docs.join(found, docs["doc_id"] == found["_found_id"], "left")
+    removed = _removal(window, gram)(F.coalesce("text", F.lit("")), "_found_blocks", "_found_windows")
+    return known.select(*(docs[c] for c in docs.columns), removed.alias(out))
 
 
 def factors(text: bytes, blocks_: list[int], windows: list[int], window: int, gram: int) -> np.ndarray:
@@ -241,18 +239,22 @@ def factors(text: bytes, blocks_: list[int], windows: list[int], window: int, gr
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], axis=1)
 
 
-def _remove(batches: Iterator[pd.DataFrame], window: int, gram: int) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for text, in_blocks, in_windows in zip(pdf["text"], pdf["blocks"], pdf["windows"], strict=True):
-            words = text.encode("utf-8", "replace").split()
-            spans = np.zeros((0, 2), dtype=np.int64)
-            if in_blocks is not None or in_windows is not None:
-                lists = [[] if x is None else x for x in (in_blocks, in_windows)]
-                spans = factors(text.encode("utf-8", "replace"), *lists, window, gram)
-            cuts = [0, *spans.ravel().tolist(), len(words)]
-            left = [w for a, b in zip(cuts[::2], cuts[1::2], strict=True) for w in words[a:b]]
-            kept = b" ".join(left).decode("utf-8")
-            rows.append((len(words), [{"start": a, "end": b} for a, b in spans.tolist()], kept))
-        out = pd.DataFrame(rows, columns=["n_words", "spans", "kept"])
-        yield pd.concat([pdf[["doc_id", "text"]].reset_index(drop=True), out], axis=1)
+def _removal(window: int, gram: int):
+    @F.pandas_udf("n_words long, spans array<struct<start:long,end:long>>, kept string")
+    def remove(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for columns in batches:
+            rows = []
+            for text, in_blocks, in_windows in zip(*columns, strict=True):
+                raw = text.encode("utf-8", "replace")
+                words = raw.split()
+                spans = np.zeros((0, 2), dtype=np.int64)
+                if in_blocks is not None or in_windows is not None:
+                    lists = [[] if x is None else x for x in (in_blocks, in_windows)]
+                    spans = factors(raw, *lists, window, gram)
+                cuts = [0, *spans.ravel().tolist(), len(words)]
+                left = [w for a, b in zip(cuts[::2], cuts[1::2], strict=True) for w in words[a:b]]
+                kept = b" ".join(left).decode("utf-8")
+                rows.append((len(words), [{"start": a, "end": b} for a, b in spans.tolist()], kept))
+            yield pd.DataFrame(rows, columns=["n_words", "spans", "kept"])
+
+    return remove
