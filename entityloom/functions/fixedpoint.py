@@ -1,13 +1,12 @@
 """Exact, order-independent statistics on scaled integers.
 
 A double is turned once per row into ``round(x * 10^scale)`` as BIGINT. Sums of
-integers do not depend on partitioning or retries, and BIGINT buffers stay on
-the fast aggregation path (DECIMAL buffers of the same values ran five times
-slower). A sum that leaves the BIGINT range fails loudly under ANSI mode.
+integers do not depend on partitioning or retries. Every sum has two buffers:
+common values go to BIGINT ones, which stay on the fast aggregation path and
+cannot overflow below 10^11 rows a key; the rare larger values go to DECIMAL
+ones. No value is refused, and ANSI mode makes no difference.
 
-The square of a scaled value is added up in two halves so that the running sums
-stay BIGINT. A value whose square does not fit BIGINT is refused with an error;
-features with such values take fewer decimals or plain double statistics.
+The square of a common value is added up in two halves for the same reason.
 
 All functions but ``to_units`` take and return SQL text over named columns.
 """
@@ -16,8 +15,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-HALF_BITS = 30
-SQUARE_LIMIT = 3_000_000_000
+# Values of up to so many bits are common; two of them fit BIGINT as a product.
+COMMON_BITS = 26
+WIDE = "decimal(38,0)"
 
 
 def to_units(value: Column, scale: int) -> Column:
@@ -35,20 +35,45 @@ def from_units(units: str, scale: int) -> str:
     return f"cast({units} AS double) / {power(scale)}"
 
 
+def _common(units: str) -> str:
+    return f"{units} BETWEEN -{1 << COMMON_BITS}L AND {1 << COMMON_BITS}L"
+
+
+def sums(units: str) -> dict[str, str]:
+    """Two aggregates whose combination is the exact sum."""
+    return {
+        "s": f"sum(CASE WHEN {_common(units)} THEN {units} END)",
+        "sw": f"sum(CASE WHEN {_common(units)} THEN NULL ELSE cast({units} AS decimal(19,0)) END)",
+    }
+
+
+def combined_sum(common: str, wide: str) -> str:
+    """Exact sum as DECIMAL(38,0), missing when there was nothing to add."""
+    both = f"coalesce(cast({common} AS {WIDE}), 0) + coalesce(cast({wide} AS {WIDE}), 0)"
+    return f"CASE WHEN coalesce({common}, {wide}) IS NOT NULL THEN cast({both} AS {WIDE}) END"
+
+
+def exact_sum(units: str) -> str:
+    """The same in one text of aggregates."""
+    return f"({combined_sum(*sums(units).values())})"
+
+
 def square_sums(units: str) -> dict[str, str]:
-    """Two aggregates whose combination is the exact sum of squares."""
-    refused = "cast(raise_error('value too large for an exact variance, use fewer decimals') AS bigint)"
-    square = f"(CASE WHEN abs({units}) > {SQUARE_LIMIT}L THEN {refused} ELSE {units} * {units} END)"
+    """Three aggregates whose combination is the exact sum of squares."""
+    square = f"CASE WHEN {_common(units)} THEN {units} * {units} END"
+    wide = f"cast({units} AS decimal(19,0))"
     return {
-        "hi": f"sum(shiftright({square}, {HALF_BITS}))",
-        "lo": f"sum({square} & {(1 << HALF_BITS) - 1}L)",
+        "hi": f"sum(shiftright({square}, {COMMON_BITS}))",
+        "lo": f"sum(({square}) & {(1 << COMMON_BITS) - 1}L)",
+        "ssw": f"sum(CASE WHEN {_common(units)} THEN NULL ELSE cast({wide} * {wide} AS {WIDE}) END)",
     }
 
 
-def combined_squares(hi: str, lo: str) -> str:
+def combined_squares(hi: str, lo: str, wide: str) -> str:
     """Exact sum of squares as DECIMAL(38,0), 0 when there was nothing to add."""
-    high = f"cast(coalesce({hi}, 0L) AS decimal(28,0)) * cast({1 << HALF_BITS} AS decimal(10,0))"
-    return f"cast({high} + cast(coalesce({lo}, 0L) AS decimal(19,0)) AS decimal(38,0))"
+    high = f"cast(coalesce({hi}, 0L) AS decimal(19,0)) * cast({1 << COMMON_BITS} AS decimal(10,0))"
+    low = f"cast(coalesce({lo}, 0L) AS decimal(19,0))"
+    return f"cast({high} + {low} + coalesce({wide}, 0) AS {WIDE})"
 
 
 def mean(count: str, total: str, scale: int) -> str:
@@ -63,9 +88,10 @@ def sample_variance(count: str, total: str, squares: str, scale: int) -> str:
     large values do not cancel.
     """
     n = f"cast({count} AS double)"
+    total = f"cast({total} AS decimal(30,0))"
     q = f"cast({total} div {count} AS decimal(19,0))"
-    r = f"({total} % {count})"
-    centre = f"{q} * (cast({total} AS decimal(19,0)) + cast({r} AS decimal(18,0)))"
+    r = f"cast({total} % {count} AS decimal(19,0))"
+    centre = f"{q} * cast({total} + {r} AS decimal(30,0))"
     whole = f"cast({squares} - cast({centre} AS decimal(38,0)) AS double)"
     rest = f"cast({r} AS double) * cast({r} AS double) / {n}"
     spread = f"greatest({whole} - {rest}, 0.0D)"

@@ -4,16 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from entityloom.operators.ordering import dense_index
 from entityloom.plans.spec import CategoryShare
 
-# Fixed value: more categories than this cannot become columns.
-MAX_CATEGORIES = 5_000
-# Fixed value: code tables up to this many rows are numbered in one task and broadcast.
-SMALL_CODES = 100_000
-
 
 def categorical_columns(df: DataFrame) -> list[str]:
     """String columns are the categorical ones."""
@@ -21,26 +16,15 @@ def categorical_columns(df: DataFrame) -> list[str]:
 
 
 def discover_categories(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, tuple[str, ...]]:
-    """Sorted distinct values of each column, from one pass over the table.
+    """Sorted distinct values of each column, from one pass that reads each row once.
 
-    The driver receives one row per category; a table with more categories
-    than can become columns is refused before anything large is fetched.
+    The driver receives one value per category, as each becomes a column.
     """
     columns = list(categorical_columns(df) if columns is None else columns)
     if not columns:
         return {}
-    pairs = F.inline(
-        F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").alias("value")) for c in columns])
-    )
-    found = (
-        df.select(pairs).filter(F.col("value").isNotNull()).distinct().limit(MAX_CATEGORIES + 1).collect()
-    )
-    if len(found) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories in {columns}")
-    values: dict[str, list[str]] = {c: [] for c in columns}
-    for row in found:
-        values[row["name"]].append(row["value"])
-    return {c: tuple(sorted(v)) for c, v in values.items()}
+    found = df.agg(*[F.collect_set(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    return {c: tuple(sorted(found[i])) for i, c in enumerate(columns)}
 
 
 def one_hot(
@@ -70,22 +54,20 @@ def shares_of(
     return tuple(CategoryShare(c, tuple(v), missing, prefix) for c, v in categories.items())
 
 
-def label_codes(df: DataFrame, name: str, order: str) -> tuple[DataFrame, bool]:
-    """``(value, code)`` numbered by first appearance in ``order``; and whether it is small."""
+def label_codes(df: DataFrame, name: str, order: str) -> DataFrame:
+    """``(value, code)`` numbered by first appearance in ``order``."""
     present = df.filter(F.col(name).isNotNull())
     first = present.groupBy(F.col(name).alias("value")).agg(F.min(order).alias("first_seen"))
-    small = present.select(name).distinct().limit(SMALL_CODES + 1).count() <= SMALL_CODES
-    if small:
-        code = F.row_number().over(Window.orderBy("first_seen", "value")) - 1
-        return first.select("value", code.cast("bigint").alias("code")), True
-    return dense_index(first, ["first_seen", "value"], "code").select("value", "code"), False
+    return dense_index(first, ["first_seen", "value"], "code").select("value", "code")
 
 
 def label_encode(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
-    """Replace each column by its code by first appearance; missing becomes -1."""
+    """Replace each column by its code by first appearance; missing becomes -1.
+
+    Spark chooses by size how the code table meets the rows.
+    """
     for name in columns:
-        codes, small = label_codes(df, name, order)
-        codes = F.broadcast(codes) if small else codes
+        codes = label_codes(df, name, order)
         joined = df.join(codes, df[name] == codes["value"], "left")
         code = F.coalesce(F.col("code"), F.lit(-1).cast("bigint"))
         df = joined.select(*[code.alias(name) if c == name else df[c] for c in df.columns])

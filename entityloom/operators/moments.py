@@ -17,9 +17,9 @@ def masked_moments(df: DataFrame, key: str, value: Column, mask: Column, scale:
         sums = {"count": "sum(_m)", "sum": "sum(_m * _x)", "sum_squares": "sum(_m * _x * _x)"}
         return rows.groupBy(key).agg(*[F.expr(e).alias(n) for n, e in sums.items()])
     rows = df.select(key, F.when(mask == 1.0, fx.to_units(value, scale)).alias("_u"))
-    parts = {"n": "count(_u)", "s": "coalesce(sum(_u), 0L)", **fx.square_sums("_u")}
+    parts = {"n": "count(_u)", "s": f"coalesce({fx.exact_sum('_u')}, 0)", **fx.square_sums("_u")}
     sums = rows.groupBy(key).agg(*[F.expr(e).alias(f"_{n}") for n, e in parts.items()])
-    squares = fx.combined_squares("_hi", "_lo")
+    squares = fx.combined_squares("_hi", "_lo", "_ssw")
     return sums.selectExpr(
         key,
         "cast(_n AS double) AS count",
@@ -42,7 +42,7 @@ def dot_product(
     if scale is None:
         return df.groupBy(key).agg(F.sum(product).alias(alias))
     rows = df.select(key, fx.to_units(product, scale).alias("_u"))
-    return rows.groupBy(key).agg(F.expr(fx.from_units("sum(_u)", scale)).alias(alias))
+    return rows.groupBy(key).agg(F.expr(fx.from_units(fx.exact_sum("_u"), scale)).alias(alias))
 
 
 def chunked_dot_product(
@@ -53,7 +53,8 @@ def chunked_dot_product(
         raise ValueError("chunk size must be positive")
     chunk = F.floor(F.col(position) / F.lit(size)).alias("chunk")
     units = fx.to_units(left.cast("double") * right.cast("double"), scale)
-    partial = cells.groupBy(key, chunk).agg(F.sum(units).alias("_partial"))
+    products = cells.select(key, chunk, units.alias("_u"))
+    partial = products.groupBy(key, "chunk").agg(F.expr(fx.exact_sum("_u")).alias("_partial"))
     return partial.groupBy(key).agg(
         F.count(F.lit(1)).alias("chunks"), F.expr(fx.from_units("sum(_partial)", scale)).alias("dot")
     )

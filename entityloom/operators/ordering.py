@@ -19,12 +19,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from entityloom.functions import fixedpoint as fx
 from entityloom.session import materialise
 
-# Digest digits that name a hash bucket (16^4 buckets), bits of
-# the in-partition counter of monotonically_increasing_id, and the largest
-# group that is numbered by a plain window in one task.
+# Digest digits that name a hash bucket (16^4 buckets) and bits of
+# the in-partition counter of monotonically_increasing_id.
 BUCKET_DIGITS = 4
 COUNTER_BITS = 33
-WINDOW_ROWS = 1_000_000
 
 
 def digest(key: str, seed: int | str) -> Column:
@@ -97,20 +95,13 @@ def largest_group(df: DataFrame, key: str) -> int:
     return df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
 
 
-def slot_positions(
-    df: DataFrame, key: str, order: Sequence[str], alias: str = "slot", largest: int | None = None
-) -> DataFrame:
+def slot_positions(df: DataFrame, key: str, order: Sequence[str], alias: str = "slot") -> DataFrame:
     """0-based position of each row among its key's rows in the order of ``order``.
 
-    Groups that fit a task take a window. As soon as one group is larger, the
-    table is range-sorted by ``(key, order)`` instead, which splits the large
-    group over tasks; each written partition then knows where its part of a key
+    The table is range-sorted by ``(key, order)``, which splits a large group
+    over tasks; each written partition then knows where its part of a key
     starts and how many rows of the key came before.
     """
-    largest = largest_group(df, key) if largest is None else largest
-    if largest <= WINDOW_ROWS:
-        position = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-        return df.withColumn(alias, position.cast("bigint"))
     rows = _sorted_rows(df, [key, *order], "slots")
     parts = rows.groupBy(F.col("_part").alias("_p"), F.col(key).alias("_k")).agg(
         F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n")
@@ -177,4 +168,4 @@ def top_groups(df: DataFrame, group: str, value: str, k: int, scale: int = 6) ->
 
 def mean_by_group(df: DataFrame, group: str, value: str, scale: int = 6) -> DataFrame:
     rows = df.select(group, fx.to_units(F.col(value), scale).alias("_u"))
-    return rows.groupBy(group).agg(F.expr(fx.mean("count(_u)", "sum(_u)", scale)).alias("mean"))
+    return rows.groupBy(group).agg(F.expr(fx.mean("count(_u)", fx.exact_sum("_u"), scale)).alias("mean"))

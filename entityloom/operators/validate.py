@@ -118,27 +118,29 @@ def coverage_check(
     return stats.select(*output, "rows", "slots", complete.alias("complete"))
 
 
-def layout_fingerprint(
-    df: DataFrame, index: str, key: str, slots: int | None = None, block: int = BLOCK
-) -> DataFrame:
-    """SHA-256 of the keys in index order, as one row ``(slots, fingerprint)``.
-
-    Up to ``block`` slots the newline-joined keys are hashed at once. Larger
-    layouts are hashed block by block, then the block hashes in the same way,
-    until one is left, so no task joins more than ``block`` texts.
+def layout_fingerprint(df: DataFrame, index: str, key: str, block: int = BLOCK) -> DataFrame:
+    """SHA-256 over the keys in index order, as one row ``(slots, fingerprint)``.
+
+    One rule at every size: each slot is the hash of its index and key (with a
+    mark that tells a missing key from a text), each block of ``block`` slots
+    the hash of its slots' hashes, each block of blocks the hash of theirs, and
+    the layout the hash of those. Only slots whose index is missing share a
+    task by chance; they are spread by their hash.
     """
-    slots = df.count() if slots is None else slots
-    level = df.select(F.col(index).alias("_at"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_t"))
-    left = max(slots, 1)
-    while True:
-        cells = F.array_sort(F.collect_list(F.struct("_at", "_t")))
-        level = level.groupBy(F.floor(F.col("_at") / F.lit(block)).alias("_at")).agg(
-            F.sha2(F.array_join(cells.getField("_t"), "\n"), 256).alias("_t")
+    cell = F.concat_ws(
+        ":",
+        F.coalesce(F.col(index).cast("string"), F.lit("?")),
+        F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("?")),
+    )
+    level = df.select(F.col(index).cast("bigint").alias("_at"), F.sha2(cell, 256).alias("_t"), F.lit(1).alias("_n"))
+    spread = -1 - F.pmod(F.xxhash64("_t"), F.lit(1 << 20))
+    level = level.withColumn("_at", F.coalesce("_at", spread))
+    for by in (F.floor(F.col("_at") / F.lit(block)), F.floor(F.col("_at") / F.lit(block)), F.lit(0)):
+        cells = F.sort_array(F.collect_list(F.struct("_at", "_t")))
+        level = level.groupBy(by.alias("_at")).agg(
+            F.sha2(F.array_join(cells.getField("_t"), ""), 256).alias("_t"), F.sum("_n").alias("_n")
         )
-        left = (left + block - 1) // block
-        if left == 1:
-            break
-    return level.select(F.lit(slots).cast("bigint").alias("slots"), F.col("_t").alias("fingerprint"))
+    return level.select(F.col("_n").cast("bigint").alias("slots"), F.col("_t").alias("fingerprint"))
 
 
 def bundle_compatibility(layouts: Mapping[str, DataFrame], index: str, key: str) -> DataFrame:
@@ -189,7 +191,7 @@ def tolerance_summary(details: DataFrame, actual_rows: int | None = None, scale:
     summary = rows.agg(
         F.count(F.lit(1)).alias("checked_rows"),
         F.max("absolute_error").alias("max_absolute_error"),
-        F.expr(fx.mean("count(_u)", "sum(_u)", scale)).alias("mean_absolute_error"),
+        F.expr(fx.mean("count(_u)", fx.exact_sum("_u"), scale)).alias("mean_absolute_error"),
         F.coalesce(F.bool_and("passed"), F.lit(True)).alias("passed"),
     )
     if actual_rows is None:

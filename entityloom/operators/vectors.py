@@ -69,7 +69,7 @@ def pack_vectors(
     width = pack_width(rows, key) if width is None else width
     known = rows if "mask" in values else rows.withColumn("mask", F.lit(1.0))
     names = list(dict.fromkeys([*values, "mask"]))
-    placed = slot_positions(known, key, order, "_slot", width).select(
+    placed = slot_positions(known, key, order, "_slot").select(
         key,
         F.floor(F.col("_slot") / F.lit(size)).cast("int").alias("chunk"),
         F.struct("_slot", *[F.col(n).cast("double").alias(n) for n in names]).alias("_cell"),

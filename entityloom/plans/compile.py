@@ -195,9 +195,9 @@ def _conditional_width(functions: Sequence[HistoryFunction]) -> int:
     """Buffers of a single grouping with one conditional aggregate per branch."""
     needs = {
         "count": "n",
-        "sum": "s",
-        "mean": "n s",
-        "var": "n s hi lo",
+        "sum": "s sw",
+        "mean": "n s sw",
+        "var": "n s sw hi lo ssw",
         "min": "min",
         "max": "max",
         "size": "size",
@@ -229,6 +229,9 @@ def _statistic(plan: _Plan, feature: Feature, kind: str, branch: Branch) -> str:
             return plan.aggregate("ss", f"sum({of} * {of})", branch)
         parts = fx.square_sums(of)
         return fx.combined_squares(*[plan.aggregate(p, text, branch) for p, text in parts.items()])
+    if kind == "s" and feature.scale is not None:
+        parts = fx.sums(of)
+        return f"({fx.combined_sum(*[plan.aggregate(p, text, branch) for p, text in parts.items()])})"
     name = {"n": "count", "s": "sum", "min": "min", "max": "max", "var": "var_samp"}[kind]
     return plan.aggregate(kind, f"{name}({of})", branch)
 
@@ -390,7 +393,7 @@ def sufficient_statistics(
 
 
 def missing_counts(df: DataFrame, function: HistoryFunction) -> DataFrame:
-    """Rows per feature that carry no value, as ``(component_id, feature, dropped)``."""
+    """Keyed rows per feature that carry no value, as ``(component_id, feature, dropped)``."""
     plan = _plan(df, [function])
     totals: list[Column] = []
     entries: list[list[str]] = []
@@ -401,7 +404,7 @@ def missing_counts(df: DataFrame, function: HistoryFunction) -> DataFrame:
             alias = f"m{len(totals)}"
             totals.append(F.expr(f"count_if({plan.value(feature)} IS NULL)").alias(alias))
             entries.append([_text(component.id), _text(feature.name), alias])
-    rows = df.select(*[c.alias(n) for n, c in plan.rows.values()])
+    rows = plan.df.select(*[c.alias(n) for n, c in plan.rows.values()])
     return _inline(rows.agg(*totals), [], ["component_id", "feature", "dropped"], entries)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from entityloom.functions import scalars
 from entityloom.operators.encode import label_encode, one_hot
-from entityloom.plans.compile import aggregate_history, numeric_columns
+from entityloom.plans.compile import aggregate_histories, aggregate_history, numeric_columns
 from entityloom.plans.spec import CategoryShare, Component, Feature, HistoryFunction
 from entityloom.sources.readers import append, read_parquet
 
@@ -273,11 +273,16 @@ def wide_features(t) -> DataFrame:
     return aggregate_history(lines, line_wide_function(lines))
 
 
+def all_line_features(t) -> DataFrame:
+    """The three functions over customers' lines, from one join and one grouping."""
+    lines = with_line_dummies(lines_of_customers(t))
+    return aggregate_histories(lines, [LINE_FUNCTION, PAYMENT_FUNCTION, line_wide_function(lines)])
+
+
 def feature_table(t) -> DataFrame:
     """The application rows with all five history functions."""
-    parts = (order_features, event_features, line_features, payment_features, wide_features)
     wide = application(t)
-    for part in parts:
+    for part in (order_features, event_features, all_line_features):
         wide = wide.join(part(t), KEY, "left")
     return wide
 

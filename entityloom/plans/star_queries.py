@@ -827,12 +827,14 @@ def fold_importance(t):
     return _trained(t).importance
 
 
-def _stages(spark: SparkSession, made: dict[str, Callable[[], DataFrame]]) -> dict[str, str]:
+def _stages(
+    spark: SparkSession, made: dict[str, Callable[[], DataFrame]], seal: dict | None = None
+) -> dict[str, str]:
     """Write stages into the shared folder; their paths by name."""
-    base = f"{shared_folder(spark).rstrip('/')}/entityloom/stages-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
     paths = {name: f"{base}/{name}" for name in made}
     for name, make in made.items():
-        stage.resume_stage(spark, paths[name], name, make)
+        stage.resume_stage(spark, paths[name], name, make, seal)
     return paths
 
 
@@ -852,20 +854,42 @@ def stage_summary(spark: SparkSession, folder: str) -> DataFrame:
     return stage.stage_summary(spark, paths).select("stage", "rows")
 
 
-def stage_finalise(spark: SparkSession, folder: str) -> DataFrame:
-    """Long features of two functions as stages, then checked and put together."""
+def _outputs_of(spark: SparkSession, function) -> DataFrame:
+    """The outputs a declared function is to have."""
+    listed = [(c.id, f.name, operation) for c, f, operation, _ in function.outputs()]
+    return spark.createDataFrame(listed, "component_id string, feature string, operation string")
+
+
+def _declared_stages(spark: SparkSession, folder: str) -> tuple[dict, dict, dict]:
+    """Two declared functions as sealed stages: paths, makers and intended outputs."""
     t = star.tables(spark, folder)
     layout = _layout(t)
     chosen = {f.name: f for f in (star.DECLARED[0], star.DECLARED[2])}
-    paths = _stages(
-        spark,
-        {
-            name: lambda f=function: long_features(layout, star.HISTORY[f.table](t), f)
-            for name, function in chosen.items()
-        },
-    )
-    return stage.finalise(spark, paths, layout.count())
+    made = {
+        name: lambda f=function: long_features(layout, star.HISTORY[f.table](t), f)
+        for name, function in chosen.items()
+    }
+    paths = _stages(spark, made, stage.layout_seal(layout, "app_index", KEY))
+    return paths, made, {name: _outputs_of(spark, f) for name, f in chosen.items()}
+
+
+def stage_finalise(spark: SparkSession, folder: str) -> DataFrame:
+    """Long features of two functions as stages, then checked and put together."""
+    paths, _, expected = _declared_stages(spark, folder)
+    return stage.finalise(spark, paths, expected=expected)
+
+
+def stage_resume(spark: SparkSession, folder: str) -> DataFrame:
+    """The same stages asked for again: each is loaded, not built, and has its rows."""
+    paths, made, _ = _declared_stages(spark, folder)
+    parts = []
+    for name, make in made.items():
+        table, loaded = stage.resume_stage(spark, paths[name], name, make)
+        counted = table.agg(F.count(F.lit(1)).alias("rows"))
+        parts.append(counted.select(F.lit(name).alias("stage"), F.lit(loaded).alias("loaded"), "rows"))
+    return parts[0].unionByName(parts[1])
 
 
 QUERIES["stage_summary"] = stage_summary
 QUERIES["stage_finalise"] = stage_finalise
+QUERIES["stage_resume"] = stage_resume

@@ -394,14 +394,15 @@ def quality(name: str, table: str, key: str) -> str:
       FROM (SELECT {key}, count(*) AS n FROM {table} GROUP BY {key})"""
 
 
-def fingerprint(source: str) -> str:
-    return f"""SELECT count(*) AS slots, sha256(string_agg(c_custkey::VARCHAR, chr(10) ORDER BY app_index))
-      AS fingerprint FROM {source}"""
+def fingerprint(source: str, size: int = 65_536) -> str:
+    def level(below: str, by: str) -> str:
+        return f"""(SELECT {by} AS pos, sha256(string_agg(t, '' ORDER BY pos)) AS t, sum(n)::BIGINT AS n
+          FROM {below} GROUP BY {by})"""
 
-
-def blocks(source: str, at: str, text: str, size: int) -> str:
-    return f"""SELECT {at} // {size} AS block_no, sha256(string_agg({text}, chr(10) ORDER BY {at})) AS t
-      FROM {source} GROUP BY {at} // {size}"""
+    slots = f"""(SELECT app_index AS pos, sha256(app_index::VARCHAR || ':=' || c_custkey::VARCHAR) AS t, 1 AS n
+      FROM {source})"""
+    blocks = level(level(slots, f"pos // {size}"), f"pos // {size}")
+    return f"SELECT n AS slots, t AS fingerprint FROM {level(blocks, 'pos - pos')}"
 
 
 def other_layout(seed: int) -> str:
@@ -754,12 +755,7 @@ ORACLE_SQL: dict[str, str] = {
       UNION ALL SELECT 'POS02', 'value', 'mean', n, n, TRUE FROM n
       UNION ALL SELECT 'POS02', 'hour', 'mean', n, n, TRUE FROM n""",
     "layout_fingerprint": f"WITH {LAYOUT} {fingerprint('layout')}",
-    "layout_fingerprint_blocks": f"""
-      WITH {LAYOUT}, a AS ({blocks("layout", "app_index", "c_custkey::VARCHAR", 100)}),
-      b AS ({blocks("a", "block_no", "t", 100)}), c AS ({blocks("b", "block_no", "t", 100)}),
-      n AS (SELECT count(*) AS slots FROM customer)
-      SELECT slots, CASE WHEN slots <= 100 THEN (SELECT max(t) FROM a) WHEN slots <= 10000 THEN (SELECT max(t) FROM b)
-             ELSE (SELECT max(t) FROM c) END AS fingerprint FROM n""",
+    "layout_fingerprint_blocks": f"WITH {LAYOUT} {fingerprint('layout', 100)}",
     "bundle_compatibility": f"""
       WITH {LAYOUT}, other AS (SELECT * FROM {other_layout(SEED + 1)}), x AS (
         SELECT 'orders' AS bundle, * FROM ({fingerprint("layout")}) UNION ALL
@@ -775,6 +771,11 @@ ORACLE_SQL: dict[str, str] = {
         f"SELECT '{name}' AS function, * EXCLUDE (source_present) FROM {declared_long(name)}"
         for name in ("orders", "events")
     ),
+    "stage_resume": f"WITH {HISTORY}, {LAYOUT} "
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS stage, TRUE AS loaded, count(*) AS rows FROM {declared_long(name)}"
+        for name in ("orders", "events")
+    ),
     "stage_summary": """
       SELECT 'prices' AS stage, count(DISTINCT o_custkey) AS rows FROM orders
       UNION ALL SELECT 'events', count(DISTINCT user_id) FROM events

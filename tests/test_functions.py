@@ -122,6 +122,25 @@ def test_chunked_dot_product_equals_the_whole(spark):
         assert part["chunks"] == -(-25 // size)
 
 
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_large_values_stay_exact(spark, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        keys = [20_000_000_000 + i for i in range(4)] + [7]
+        df = spark.createDataFrame([("k", v, v / 1e7) for v in keys], "k string, v long, r double")
+        whole = Feature("v", ("sum", "mean", "var"), scale=0)
+        ratio = Feature("r", ("var",), scale=6)
+        got = one(aggregate_history(df, HistoryFunction("f", "k", (Component("all", "A_", (whole, ratio)),))))
+        assert got["A_v_SUM"] == float(sum(keys))
+        assert got["A_v_VAR"] == pytest.approx(statistics.variance(keys), rel=1e-15)
+        assert got["A_r_VAR"] == pytest.approx(statistics.variance(k / 1e7 for k in keys), rel=1e-9)
+        huge = spark.createDataFrame([("k", 9e18, 1.0)] * 2, "k string, l double, r double")
+        assert one(moments.dot_product(huge, "k", F.col("l"), F.col("r"), 0))["dot"] == 1.8e19
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
 amounts = st.lists(
     st.one_of(st.none(), st.integers(-10**9, 10**9).map(lambda i: i / 100)), min_size=1, max_size=30
 )

@@ -122,12 +122,8 @@ def test_running_totals(spark):
     assert [r["before"] for r in found] == [i * (i - 1) for i in range(200)]
 
 
-def test_slot_positions_split_a_large_group(spark, skewed, monkeypatch):
-    windowed = rows(ordering.slot_positions(skewed, "k", ["i"]), "k", "i")
-    monkeypatch.setattr(ordering, "WINDOW_ROWS", 50)
-    assert ordering.largest_group(skewed, "k") > 50
+def test_slot_positions_split_a_large_group(spark, skewed):
     split = rows(ordering.slot_positions(skewed, "k", ["i"]), "k", "i")
-    assert split == windowed
     assert [r["slot"] for r in split if r["k"] == "hot"] == list(range(300))
     nameless = skewed.withColumn("k", F.when(F.col("k") != "hot", F.col("k")))
     assert [r["slot"] for r in rows(ordering.slot_positions(nameless, "k", ["i"]), "i") if r["k"] is None] == list(
@@ -193,8 +189,7 @@ def test_pack_counts_and_padding(spark):
 
 
 @pytest.mark.parametrize("size", [7, 64, 8192])
-def test_pack_chunks_are_the_padded_vectors(spark, skewed, size, monkeypatch):
-    monkeypatch.setattr(ordering, "WINDOW_ROWS", 100)
+def test_pack_chunks_are_the_padded_vectors(spark, skewed, size):
     slots = ordering.hashed_index(skewed.select("k").distinct(), "k", 1)
     width = vectors.pack_width(skewed, "k")
     packed = vectors.pack_vectors(slots, skewed, "k", ["v"], ["i"], width=width, size=size)
@@ -234,12 +229,34 @@ def test_layout_fingerprint(spark):
     keys = [f"key-{i}" for i in range(250)]
     df = spark.createDataFrame(list(enumerate(keys)), "app_index int, k string").repartition(4)
     sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
-    whole = one(validate.layout_fingerprint(df, "app_index", "k"))
-    assert whole == {"slots": 250, "fingerprint": sha("\n".join(keys))}
-    level = keys
-    while len(level) > 1:
-        level = [sha("\n".join(level[i : i + 10])) for i in range(0, len(level), 10)]
-    assert one(validate.layout_fingerprint(df, "app_index", "k", block=10))["fingerprint"] == level[0]
+    cells = [sha(f"{i}:={k}") for i, k in enumerate(keys)]
+
+    def expected(block):
+        level = cells
+        for _ in range(2):
+            level = [sha("".join(level[i : i + block])) for i in range(0, len(level), block)]
+        return {"slots": 250, "fingerprint": sha("".join(level))}
+
+    assert one(validate.layout_fingerprint(df, "app_index", "k")) == expected(65_536)
+    assert one(validate.layout_fingerprint(df, "app_index", "k", block=10)) == expected(10)
+
+
+@pytest.mark.parametrize(
+    ("left", "right"),
+    [
+        ([(0, "a\nb"), (1, "c")], [(0, "a"), (1, "b\nc")]),
+        ([(0, None), (1, "c")], [(0, ""), (1, "c")]),
+        ([(0, "?")], [(0, None)]),
+        ([(None, "a"), (1, "c")], [(0, "a"), (1, "c")]),
+    ],
+)
+def test_layout_fingerprint_is_unambiguous(spark, left, right):
+    prints = [
+        one(validate.layout_fingerprint(spark.createDataFrame(x, "app_index int, k string"), "app_index", "k"))
+        for x in (left, right)
+    ]
+    assert prints[0]["slots"] == prints[1]["slots"]
+    assert prints[0]["fingerprint"] != prints[1]["fingerprint"]
 
 
 def test_tolerance(spark):
@@ -266,19 +283,15 @@ def test_one_hot_and_discovery(spark):
     assert encode.one_hot(df, found, False)[1] == ["c_a", "c_b", "d_x"]
 
 
-def test_discovery_refuses_what_cannot_become_columns(spark, monkeypatch):
-    monkeypatch.setattr(encode, "MAX_CATEGORIES", 10)
-    with pytest.raises(ValueError, match="more than 10 categories"):
-        encode.discover_categories(spark.range(11).select(F.col("id").cast("string").alias("c")))
+def test_discovery_has_no_limit(spark):
+    found = encode.discover_categories(spark.range(5001).select(F.col("id").cast("string").alias("c")))
+    assert len(found["c"]) == 5001
 
 
-def test_label_encode_by_first_appearance(spark, monkeypatch):
+def test_label_encode_by_first_appearance(spark):
     data = [(1, "M"), (2, None), (3, "F"), (4, "M"), (5, "X"), (6, "F")]
     df = spark.createDataFrame(data, "i int, g string").repartition(3)
-    small = [r["g"] for r in rows(encode.label_encode(df, ["g"], "i"), "i")]
-    assert small == [0, -1, 1, 0, 2, 1]
-    monkeypatch.setattr(encode, "SMALL_CODES", 1)
-    assert [r["g"] for r in rows(encode.label_encode(df, ["g"], "i"), "i")] == small
+    assert [r["g"] for r in rows(encode.label_encode(df, ["g"], "i"), "i")] == [0, -1, 1, 0, 2, 1]
 
 
 # --- stages, sources and sinks ----------------------------------------------------------------
@@ -307,18 +320,43 @@ def test_stage_is_written_resumed_and_checked(spark, tmp_path):
         stage.resume_stage(spark, path, "s", make)
 
 
-def test_finalise_checks_coverage(spark, tmp_path):
+def test_finalise_checks_coverage_and_layout(spark, tmp_path):
     cells = [("c", "f", "sum", i, float(i)) for i in range(3)]
-    columns = "component_id string, feature string, operation string, app_index int, value double"
-    full = spark.createDataFrame(cells, columns)
-    paths = {n: str(tmp_path / n) for n in ("a", "b")}
-    for name, path in paths.items():
-        stage.write_stage(full, path, name)
-    assert stage.finalise(spark, paths, 3).groupBy("function").count().count() == 2
+    outputs = "component_id string, feature string, operation string"
+    full = spark.createDataFrame(cells, f"{outputs}, app_index int, value double")
+    layouts = [
+        spark.createDataFrame(list(enumerate(keys)), "app_index int, k string") for keys in ("abc", "bac", "abcd")
+    ]
+    seals = [stage.layout_seal(layout, "app_index", "k") for layout in layouts]
+
+    def write(name, seal):
+        path = str(tmp_path / name)
+        stage.write_stage(full, path, name, seal)
+        return path
+
+    paths = {name: write(name, seals[0]) for name in ("a", "b")}
+    assert stage.finalise(spark, paths).groupBy("function").count().count() == 2
+    listed = spark.createDataFrame([("c", "f", "sum")], outputs)
+    assert stage.finalise(spark, paths, expected={"a": listed, "b": listed}).count() == 6
+    more = listed.union(spark.createDataFrame([("c", "f", "mean")], outputs))
+    with pytest.raises(ValueError, match="stage b does not cover every slot for 1 outputs"):
+        stage.finalise(spark, paths, expected={"a": listed, "b": more})
     with pytest.raises(ValueError, match="does not cover every slot for 1 outputs"):
-        stage.finalise(spark, paths, 4)
+        stage.finalise(spark, {"c": write("c", seals[2])})
+    with pytest.raises(ValueError, match="different slot layouts"):
+        stage.finalise(spark, paths | {"d": write("d", seals[1])})
+    with pytest.raises(ValueError, match="another slot layout"):
+        stage.resume_stage(spark, paths["a"], "a", lambda: full, seals[1])
+    with pytest.raises(ValueError, match="name no slot layout"):
+        stage.finalise(spark, {"e": write("e", None)})
     with pytest.raises(ValueError, match="at least one stage"):
-        stage.finalise(spark, {}, 3)
+        stage.finalise(spark, {})
+
+
+def test_content_hash_sees_swapped_missing_values(spark):
+    make = lambda *r: stage.content_fingerprint(spark.createDataFrame([r], "a int, b int"))
+    assert make(1, None) != make(None, 1)
+    assert make(1, 2) == make(1, 2)
 
 
 def test_an_unfinished_attempt_is_not_a_stage(spark, tmp_path):
