@@ -15,7 +15,7 @@ def _checked(result: Column, *vectors: Column) -> Column:
     for other in sizes[1:]:
         same = same & (sizes[0] == other)
     return (
-        F.when(~same, F.raise_error(F.lit("vectors must have equal length")))
+        F.when(~same, F.raise_error(F.lit("vectors must be of one length")))
         .when(sizes[0] <= 0, F.raise_error(F.lit("vectors must not be empty")))
         .otherwise(result)
     )

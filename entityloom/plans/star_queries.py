@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from entityloom.functions import arrays, scalars
@@ -13,13 +14,15 @@ from entityloom.plans import star
 from entityloom.plans.compile import (
     aggregate_history,
     attach,
+    feature_columns,
     long_features,
     missing_counts,
     sufficient_statistics,
 )
-from entityloom.plans.spec import CategoryShare, Component, HistoryFunction
+from entityloom.plans.spec import CategoryShare, Component, HistoryFunction, find_function
 from entityloom.plans.star import KEY, f, rows_as
-from entityloom.sources.readers import append, first_rows, split_labelled
+from entityloom.sources import sinks
+from entityloom.sources.readers import append, first_rows, read_csv, read_csv_text, require_columns, split_labelled
 from entityloom.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -792,13 +795,22 @@ def bundle_compatibility(t):
 # --- model and stages -----------------------------------------------------------------------
 
 
-def _trained(t, folds: int = 3) -> model.FoldResult:
+_folds: dict[tuple[str, str], model.FoldResult] = {}
+
+
+def _trained(t) -> model.FoldResult:
+    """Ten folds over the labelled documents, trained once per session and table."""
     rows, languages = encode.one_hot(
         labelled_documents(t), {"lang": ("de", "en", "es", "fr")}, True
     )
-    rows = rows.withColumn("source_number", F.expr("try_cast(substring(source, 4) AS double)"))
-    features = ["n_chars", "source_number", *languages]
-    return model.train_folds(rows, "doc_id", "target", features, folds, trees=3, depth=3)
+    place = (rows.sparkSession.sparkContext.applicationId, ",".join(sorted(rows.inputFiles())))
+    if place not in _folds:
+        rows = rows.withColumn("source_number", F.expr("try_cast(substring(source, 4) AS double)"))
+        features = ["n_chars", "source_number", *languages]
+        _folds[place] = model.train_folds(
+            rows, "doc_id", "target", features, FOLDS, trees=8, depth=3, step=0.1
+        )
+    return _folds[place]
 
 
 @query
@@ -827,6 +839,95 @@ def fold_importance(t):
     return _trained(t).importance
 
 
+@query
+def fold_importance_totals(t):
+    """The part of the importances that does not depend on the model."""
+    return model.total_importance(_trained(t).importance)
+
+
+@query
+def mean_of_given_scores(t):
+    """The mean over folds, on scores that SQL can make as well."""
+    given = [((F.col("n_chars") * (i + 3)) % 101 / F.lit(128.0)).alias(f"s{i}") for i in range(FOLDS)]
+    scored = t("documents").select("doc_id", *given)
+    return scored.select("doc_id", model.mean_of([f"s{i}" for i in range(FOLDS)]).alias("score"))
+
+
+# --- sources and sinks ----------------------------------------------------------------------
+
+
+def _new_path(t) -> str:
+    return f"{shared_folder(t('customer').sparkSession)}/sink-{uuid.uuid4().hex}"
+
+
+@query
+def csv_typed_scan(t):
+    """Customers written as CSV and read back with declared types, a subset in another order."""
+    path = sinks.write_new(t("customer"), _new_path(t), "csv")
+    schema = "c_acctbal double, c_custkey long, c_mktsegment string"
+    return read_csv(t("customer").sparkSession, path, schema)
+
+
+@query
+def csv_text_scan(t):
+    """Orders written as CSV and read back as strings."""
+    kept = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return read_csv_text(kept.sparkSession, sinks.write_new(kept, _new_path(t), "csv"))
+
+
+@query
+def json_sink(t):
+    kept = t("customer").select(KEY, "c_nationkey", "c_mktsegment")
+    path = sinks.write_new(kept, _new_path(t), "json")
+    return kept.sparkSession.read.schema(kept.schema).json(path)
+
+
+@query
+def sink_keeps_what_is_there(t):
+    """A second write to a folder is refused and leaves the first one's rows."""
+    path = sinks.write_new(t("customer").select(KEY), _new_path(t))
+    try:
+        sinks.write_new(t("orders").select("o_orderkey"), path)
+        refused = False
+    except AnalysisException:
+        refused = True
+    kept = t("customer").sparkSession.read.parquet(path)
+    return kept.select(KEY, F.lit(refused).alias("refused"))
+
+
+@query
+def submission_sink(t):
+    scores = t("customer").select(KEY, F.col("c_nationkey").alias("score"))
+    path = _new_path(t)
+    sinks.write_submission(scores, path, KEY, "score")
+    return read_csv(scores.sparkSession, path, f"{KEY} long, TARGET int")
+
+
+@query
+def vector_sink(t):
+    """Flat cells written in position order; the elements found and the cells read back."""
+    cells = t("customer").select((F.col(KEY) - 1).alias("position"), F.col("c_nationkey").cast("double").alias("value"))
+    path = _new_path(t)
+    elements = sinks.write_vector(cells, path)
+    found = read_csv(cells.sparkSession, path, "value double")
+    return found.select("value", F.lit(elements).cast("bigint").alias("elements"))
+
+
+@query
+def model_features(t):
+    """Feature columns of a table without its identifiers, found by name, and dropped columns."""
+    df = t("lineitem").drop("l_shipdate", "l_returnflag")
+    require_columns(df, ["l_orderkey", "l_partkey"], "lines")
+    names = feature_columns(df, ("l_orderkey", "l_partkey", "l_suppkey"))
+    return df.select(*names)
+
+
+@query
+def function_by_name(t):
+    """A declared function looked up by its name in another case, and run."""
+    return aggregate_history(_orders(t), find_function((PRICE_FUNCTION,), PRICE_FUNCTION.name.upper()))
+
+
 def _stages(
     spark: SparkSession, made: dict[str, Callable[[], DataFrame]], seal: dict | None = None
 ) -> dict[str, str]:

@@ -763,7 +763,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT 'lines', * FROM ({fingerprint("other")}))
       SELECT *, (SELECT count(DISTINCT fingerprint) = 1 AND count(DISTINCT slots) = 1 FROM x) AS compatible FROM x""",
     "oof_coverage": f"""
-      SELECT doc_id, quality::DOUBLE AS label, (i % 3)::INT AS fold, TRUE AS in_range
+      SELECT doc_id, quality::DOUBLE AS label, (i % 10)::INT AS fold, TRUE AS in_range
       FROM (SELECT doc_id, quality, {numbered("(SELECT * FROM documents JOIN labels USING (doc_id))", "doc_id", 1001, "i")})
       UNION ALL SELECT doc_id, NULL, NULL, TRUE FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
     "stage_finalise": f"WITH {HISTORY}, {LAYOUT} "
@@ -771,6 +771,21 @@ ORACLE_SQL: dict[str, str] = {
         f"SELECT '{name}' AS function, * EXCLUDE (source_present) FROM {declared_long(name)}"
         for name in ("orders", "events")
     ),
+    "fold_importance_totals": """
+      SELECT (i + 1)::INT AS fold, 14::BIGINT AS features, 1.0::DOUBLE AS importance FROM range(10) AS t(i)""",
+    "mean_of_given_scores": "SELECT doc_id, ("
+    + " + ".join(f"((n_chars * {i + 3}) % 101) / 128.0::DOUBLE" for i in range(10))
+    + ") / 10.0::DOUBLE AS score FROM documents",
+    "csv_typed_scan": "SELECT c_acctbal, c_custkey, c_mktsegment FROM customer",
+    "csv_text_scan": """
+      SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey, o_orderstatus FROM orders""",
+    "json_sink": "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer",
+    "sink_keeps_what_is_there": "SELECT c_custkey, TRUE AS refused FROM customer",
+    "submission_sink": 'SELECT c_custkey, c_nationkey AS "TARGET" FROM customer',
+    "vector_sink": """
+      SELECT c_nationkey::DOUBLE AS value, (SELECT count(*) FROM customer)::BIGINT AS elements FROM customer""",
+    "model_features": """
+      SELECT * EXCLUDE (l_orderkey, l_partkey, l_suppkey, l_shipdate, l_returnflag) FROM lineitem""",
     "stage_resume": f"WITH {HISTORY}, {LAYOUT} "
     + " UNION ALL ".join(
         f"SELECT '{name}' AS stage, TRUE AS loaded, count(*) AS rows FROM {declared_long(name)}"
@@ -781,3 +796,4 @@ ORACLE_SQL: dict[str, str] = {
       UNION ALL SELECT 'events', count(DISTINCT user_id) FROM events
       UNION ALL SELECT 'layout', count(*) FROM customer""",
 }
+ORACLE_SQL["function_by_name"] = ORACLE_SQL["grouped_multi_agg"]

@@ -1,11 +1,13 @@
-"""Every registered query against its SQL, on the smallest tables."""
+"""Every registered query of the library against its SQL, on the smallest tables."""
 
 import os
 
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from entityloom.plans.star_queries import QUERIES
 from oracle.check import compare, connect
+from oracle.star_sql import ORACLE_SQL
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are absent")
@@ -18,16 +20,25 @@ def database():
 
 
 def test_all_queries_have_sql_but_the_model_ones():
-    assert set(queries()) - set(oracle_sql()) == WITHOUT_SQL
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(ORACLE_SQL) == WITHOUT_SQL
+    assert set(ORACLE_SQL) <= set(QUERIES) <= set(queries())
+    assert set(ORACLE_SQL) <= set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - WITHOUT_SQL))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WITHOUT_SQL))
 def test_query(spark, database, name):
     result = compare(spark, database, name, FOLDER)
     assert result.startswith("ok"), result
 
 
+@pytest.mark.parametrize(
+    ("name", "scans"), [("end_to_end_features", 3), ("fn_payment_behaviour", 2), ("fn_wide_numeric", 1)]
+)
+def test_scans_of_the_largest_table(spark, name, scans):
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("l_extendedprice") and plan.count("lineitem.parquet") <= scans
+
+
 def test_entry(spark):
     df = entry(spark)
     assert df.count() > 0 and len(df.columns) > 200
