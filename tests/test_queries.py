@@ -32,9 +32,10 @@ def test_query(spark, database, name):
 
 
 @pytest.mark.parametrize(
-    ("name", "scans"), [("end_to_end_features", 3), ("fn_payment_behaviour", 2), ("fn_wide_numeric", 1)]
+    ("name", "scans"), [("end_to_end_features", 4), ("fn_payment_behaviour", 2), ("fn_wide_numeric", 1)]
 )
 def test_scans_of_the_largest_table(spark, name, scans):
+    """One scan of lines per order; one more per part that stays within generated code."""
     plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("l_extendedprice") and plan.count("lineitem.parquet") <= scans
 
