@@ -1,8 +1,9 @@
-"""Fixed-width vectors per slot, zero-padded to the widest group.
+"""Fixed-width vectors per slot, as wide as the widest group.
 
 A vector is cut into chunks of at most ``size`` cells, one row per slot and
-chunk, so that no row holds a whole large group. With a width up to ``size``
-that is one row per slot.
+chunk, so that no row holds a whole large group. Only cells that are present
+are stored: the zeros up to the width follow from the one row of ``shape``, so
+one hot key makes no other slot's vector larger.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from entityloom.functions import scalars
 from entityloom.operators.ordering import largest_group, slot_positions
@@ -27,7 +28,25 @@ def pack_width(rows: DataFrame, key: str) -> int:
     return max(largest_group(rows, key), 1)
 
 
-def padding(slots: int, width: int, matched: int) -> int:
+def shape(slots: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """One row ``(slots, width, matched, padding)`` of the vectors of all slots.
+
+    Counts of both sides meet in one aggregation per key and one over the keys.
+    """
+    sides = rows.select(key, F.lit(0).alias("_slot"), F.lit(1).alias("_row")).unionByName(
+        slots.select(key, F.lit(1).alias("_slot"), F.lit(0).alias("_row"))
+    )
+    per_key = sides.groupBy(key).agg(F.sum("_slot").alias("_slots"), F.sum("_row").alias("_rows"))
+    known = F.when(F.col("_slots") > 0, F.col("_rows"))
+    stats = per_key.agg(
+        F.coalesce(F.sum("_slots"), F.lit(0)).alias("slots"),
+        F.greatest(F.max(known), F.lit(1)).alias("width"),
+        F.coalesce(F.sum(known), F.lit(0)).alias("matched"),
+    )
+    return stats.withColumn("padding", padding(F.col("slots"), F.col("width"), F.col("matched")))
+
+
+def padding(slots, width, matched):
     return slots * width - matched
 
 
@@ -57,16 +76,14 @@ def pack_vectors(
     values: Sequence[str],
     order: Sequence[str],
     index: str = "app_index",
-    width: int | None = None,
     size: int = CHUNK_CELLS,
 ) -> DataFrame:
-    """``(index, chunk, <values>, mask)`` with one array per value column.
+    """``(index, chunk, <values>, mask)`` with one array of present cells per value column.
 
     ``rows`` are the present rows of the history (missing ones compacted
     before); ``mask`` is 1.0 for a present cell unless ``values`` names a
     ``mask`` column of its own. ``order`` must be unique inside a key.
     """
-    width = pack_width(rows, key) if width is None else width
     known = rows if "mask" in values else rows.withColumn("mask", F.lit(1.0))
     names = list(dict.fromkeys([*values, "mask"]))
     placed = slot_positions(known, key, order, "_slot").select(
@@ -75,27 +92,27 @@ def pack_vectors(
         F.struct("_slot", *[F.col(n).cast("double").alias(n) for n in names]).alias("_cell"),
     )
     packed = placed.groupBy(key, "chunk").agg(F.array_sort(F.collect_list("_cell")).alias("_cells"))
-    chunks = (width + size - 1) // size
-    grid = slots.select(index, key).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
+    return slots.select(index, key).join(packed, key).select(
+        index, "chunk", *[F.col("_cells").getField(n).alias(n) for n in names]
     )
-    length = F.least(F.lit(size), F.lit(width) - F.col("chunk") * F.lit(size))
-    cells = F.col("_cells")
-    missing = length - F.coalesce(F.size(F.nullif(cells, F.array())), F.lit(0))
 
-    def padded(name: str) -> Column:
-        present = F.coalesce(cells.getField(name), F.array().cast("array<double>"))
-        return F.concat(present, F.array_repeat(F.lit(0.0), missing.cast("int"))).alias(name)
 
-    return grid.join(packed, [key, "chunk"], "left").select(
-        index, "chunk", *[padded(n) for n in names]
+def manifest(packed: DataFrame, names: Sequence[str], shape_: DataFrame) -> DataFrame:
+    """``(vector, elements, present)``: length and present cells of every flat vector."""
+    present = packed.agg(*[F.coalesce(F.sum(F.size(n)), F.lit(0)).alias(n) for n in names])
+    counted = present.select(
+        F.inline(F.array(*[F.struct(F.lit(n).alias("vector"), F.col(n).alias("present")) for n in names]))
     )
+    length = shape_.select(F.array_repeat(F.col("slots") * F.col("width"), len(names)).alias("_n"))
+    lengths = length.select(F.posexplode("_n").alias("_at", "elements"))
+    named = F.element_at(F.array(*map(F.lit, names)), F.col("_at") + 1)
+    return counted.join(lengths.select(named.alias("vector"), "elements"), "vector")
 
 
 def flatten_vectors(
     packed: DataFrame, name: str, width: int, index: str = "app_index", size: int = CHUNK_CELLS
 ) -> DataFrame:
-    """``(position, value)`` with ``position = index * width + cell``."""
+    """Present cells as ``(position, value)`` with ``position = index * width + cell``."""
     cells = packed.select(index, "chunk", F.posexplode(name).alias("_at", "value"))
     base = F.col(index) * F.lit(width) + F.col("chunk") * F.lit(size)
     return cells.select((base + F.col("_at")).cast("bigint").alias("position"), "value")

@@ -628,7 +628,7 @@ def _packed(t, size: int = vectors.CHUNK_CELLS) -> tuple[DataFrame, int]:
     width = vectors.pack_width(rows, KEY)
     slots = _layout(t)
     packed = vectors.pack_vectors(
-        slots, rows, KEY, ["value", "hour", "mask"], ["event_id"], width=width, size=size
+        slots, rows, KEY, ["value", "hour", "mask"], ["event_id"], size=size
     )
     return packed, width
 
@@ -667,16 +667,7 @@ def pack_difference_vectors(t):
 
 @query
 def pack_width(t):
-    per_key = t("events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    slots = t("customer").select(F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("slot"))
-    stats = per_key.select("n", F.lit(0).alias("slot")).unionByName(slots).agg(
-        F.sum("slot").alias("slots"),
-        F.greatest(F.max("n"), F.lit(1)).alias("width"),
-        F.sum("n").alias("matched"),
-    )
-    return stats.withColumn(
-        "padding", vectors.padding(F.col("slots"), F.col("width"), F.col("matched"))
-    )
+    return vectors.shape(t("customer").select(KEY), star.events_of_customers(t), KEY)
 
 
 @query
@@ -687,13 +678,10 @@ def flatten_vectors(t):
 
 @query
 def vector_manifest(t):
-    """Element counts of every packed vector."""
+    """Element and present counts of every packed vector."""
     packed, _ = _packed(t)
-    sizes = [F.sum(F.size(n)).alias(n) for n in ("value", "hour", "mask")]
-    entries = [
-        F.struct(F.lit(n).alias("vector"), F.col(n).alias("elements")) for n in ("value", "hour", "mask")
-    ]
-    return packed.agg(*sizes).select(F.inline(F.array(*entries)))
+    shape = vectors.shape(t("customer").select(KEY), _purchases(t), KEY)
+    return vectors.manifest(packed, ["value", "hour", "mask"], shape)
 
 
 @query

@@ -376,10 +376,8 @@ placed AS (
          value, hour(ts) AS hour, (event_type = 'purchase')::INT AS mask FROM events),
 width AS (SELECT max(slot) + 1 AS w FROM placed),
 cells AS (
-  SELECT app_index, i AS cell, coalesce(value, 0.0) AS value, coalesce(hour, 0) AS hour,
-         coalesce(mask, 0) AS mask, w
-  FROM layout CROSS JOIN width CROSS JOIN LATERAL (SELECT unnest(range(w)) AS i)
-  LEFT JOIN placed ON placed.c_custkey = layout.c_custkey AND slot = i)
+  SELECT app_index, slot AS cell, value, hour, mask, w
+  FROM placed JOIN layout ON placed.c_custkey = layout.c_custkey CROSS JOIN width)
 """
 
 
@@ -694,12 +692,9 @@ ORACLE_SQL: dict[str, str] = {
                row_number() OVER (PARTITION BY c_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey,
                  l_quantity, l_tax, l_shipdate, amount_due, amount_paid, l_returnflag = 'R') - 1 AS slot
         FROM line_rows),
-      width AS (SELECT max(slot) + 1 AS w FROM placed),
       cells AS (
-        SELECT app_index, i AS cell, coalesce(value, 0.0) AS value, coalesce(right_side, 0.0) AS right_side,
-               coalesce(mask, 0) AS mask
-        FROM layout CROSS JOIN width CROSS JOIN LATERAL (SELECT unnest(range(w)) AS i)
-        LEFT JOIN placed ON placed.c_custkey = layout.c_custkey AND slot = i)
+        SELECT app_index, slot AS cell, value, right_side, mask
+        FROM layout JOIN placed ON placed.c_custkey = layout.c_custkey)
       SELECT app_index, (cell // {CHUNK})::INT AS chunk, {cents("value")},
              {cents("right_side").replace("right_side_cents", "right_cents")}, {cents("mask")}
       FROM cells GROUP BY app_index, cell // {CHUNK}""",
@@ -709,8 +704,9 @@ ORACLE_SQL: dict[str, str] = {
       FROM g, c GROUP BY slots""",
     "flatten_vectors": f"WITH {CELLS} SELECT app_index * w + cell AS position, value FROM cells",
     "vector_manifest": f"""
-      WITH {CELLS}, n AS (SELECT count(*) AS elements FROM cells)
-      SELECT unnest(['value', 'hour', 'mask']) AS vector, elements FROM n""",
+      WITH {CELLS}, n AS (
+        SELECT count(*) AS present, ((SELECT count(*) FROM layout) * max(w))::BIGINT AS elements FROM cells)
+      SELECT unnest(['value', 'hour', 'mask']) AS vector, elements, present FROM n""",
     "array_dot": """
       SELECT vec_id, list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(embedding, list_reverse(embedding)),
                lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), lambda a, b: a + b) AS dot FROM embeddings""",

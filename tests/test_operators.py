@@ -182,22 +182,27 @@ def test_pack_counts_and_padding(spark):
     matched = align.probe(history, slots, "k")
     width = vectors.pack_width(matched, "k")
     assert width == 2
-    packed = vectors.pack_vectors(slots, matched.select("k", "o"), "k", ["o"], ["o"], width=width)
-    flat = rows(vectors.flatten_vectors(packed, "mask", width), "position")
-    assert [r["value"] for r in flat] == [1.0, 1.0, 1.0, 0.0, 0.0, 0.0]
-    assert vectors.padding(3, width, 3) == 3
+    packed = vectors.pack_vectors(slots, matched.select("k", "o"), "k", ["o"], ["o"])
+    flat = rows(vectors.flatten_vectors(packed, "o", width), "position")
+    assert [(r["position"], r["value"]) for r in flat] == [(0, 0.0), (1, 2.0), (2, 1.0)]
+    shape = vectors.shape(slots, history, "k")
+    assert one(shape) == {"slots": 3, "width": 2, "matched": 3, "padding": 3}
+    listed = {r["vector"]: r for r in rows(vectors.manifest(packed, ["o", "mask"], shape))}
+    assert listed["mask"] == {"vector": "mask", "elements": 6, "present": 3} and len(listed) == 2
+    nothing = vectors.shape(slots, history.limit(0), "k")
+    assert one(nothing) == {"slots": 3, "width": 1, "matched": 0, "padding": 3}
 
 
 @pytest.mark.parametrize("size", [7, 64, 8192])
-def test_pack_chunks_are_the_padded_vectors(spark, skewed, size):
+def test_pack_stores_present_cells_only(spark, skewed, size):
     slots = ordering.hashed_index(skewed.select("k").distinct(), "k", 1)
     width = vectors.pack_width(skewed, "k")
-    packed = vectors.pack_vectors(slots, skewed, "k", ["v"], ["i"], width=width, size=size)
+    packed = vectors.pack_vectors(slots, skewed, "k", ["v"], ["i"], size=size)
     assert packed.agg(F.max(F.size("v"))).first()[0] <= size
-    flat = [r["value"] for r in rows(vectors.flatten_vectors(packed, "v", width, size=size), "position")]
+    assert packed.agg(F.sum(F.size("v"))).first()[0] == skewed.count()
+    flat = {r["position"]: r["value"] for r in rows(vectors.flatten_vectors(packed, "v", width, size=size))}
     index = {r["k"]: r["app_index"] for r in rows(slots)}
-    expected = [0.0] * (len(index) * width)
-    seen = dict.fromkeys(index, 0)
+    expected, seen = {}, dict.fromkeys(index, 0)
     for r in rows(skewed, "i"):
         expected[index[r["k"]] * width + seen[r["k"]]] = r["v"]
         seen[r["k"]] += 1
