@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from entityloom.llm.workers import kept
+
 #: Fixed by the query's contract: phrases and their labels.
 BASE = {
     "under the mit license": "mit",
@@ -99,8 +101,7 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: Every phrase and template holds one of these; texts without any are only counted.
-HINTS = ("licen", "permission", "redistribut", "unencumbered", "cc by nc", "cc-by-nc")
+HINT_WORDS = 3
 UPPER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -178,13 +179,20 @@ class Scanner:
             automaton = Automaton(label, markup)
             for word in automaton.first_words():
                 self.by_word.setdefault(word, []).append(automaton)
+        mandatory = [p for p, _ in self.base] + [
+            [w for (w, _), needed in zip(a.moves, a.mandatory, strict=True) if needed and w]
+            for automata in self.by_word.values()
+            for a in automata
+        ]
+        # Longest words of each phrase and template; a text that lacks one of them is only counted.
+        self.hints = {tuple(sorted(set(m), key=lambda w: (-len(w), w))[:HINT_WORDS]) for m in mandatory}
         self.firsts = {p[0] for p, _ in self.base} | self.by_word.keys()
 
     def scan(self, text: str) -> tuple:
         text = text.translate(UPPER) if not text.isascii() else text.lower()
         words = WORDS.findall(text)
         n = len(words)
-        if not any(h in text for h in HINTS):
+        if not any(all(w in text for w in hint) for hint in self.hints):
             return n, 0, None, None, "", "", 0.0, []
         starts, base, found, spans, score = [], set(), set(), [], 0.0
         for at in [i for i, w in enumerate(words) if w in self.firsts]:
@@ -229,7 +237,7 @@ def scan_licenses(
 
     @F.pandas_udf(SCHEMA)
     def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(own, phrases)
+        scanner = kept(("licenses", str(own), str(phrases)), lambda: Scanner(own, phrases))
         for texts in batches:
             rows = [scanner.scan(t) for t in texts]
             out = pd.DataFrame(rows, columns=COLUMNS)

@@ -1,8 +1,12 @@
-"""Lets Python workers import this package where it is run from a source folder."""
+"""What Python workers need: the package on their path, and one object that outlives a task."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
+from collections.abc import Callable, Hashable
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -20,3 +24,30 @@ def share_path(spark: SparkSession) -> None:
     known = environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in known:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *(p for p in known if p)])
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library and Arrow can."""
+    gc.collect()
+    with contextlib.suppress(Exception):
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+_kept: dict[Hashable, object] = {}
+
+
+def kept(key: Hashable, make: Callable[[], object]):
+    """The worker's object for ``key``, made when another was kept before.
+
+    Workers serve many stages; only what the present one uses stays in memory.
+    """
+    if key not in _kept:
+        if _kept:
+            _kept.clear()
+            give_back()
+        _kept[key] = make()
+    return _kept[key]

@@ -153,6 +153,8 @@ MIT = dict(licenses.TEMPLATES)["mit-text"]
         ("This work is licensed under the GNU General Public License, version 3.", "gpl-notice"),
         ("licensed under a Creative Commons Attribution Share Alike 4.0 International License", "cc-notice"),
         ("CC-BY-NC", "cc-by-nc"),
+        ("see CC_BY/nc.", "cc-by-nc"),
+        ("under.the_MIT  license", "mit,mit-notice"),
         ("", ""),
         ("no license here", ""),
     ],
@@ -163,6 +165,12 @@ def test_license_templates(text, labels):
     assert found[5] == labels and (found[6] == 1.0) == bool(labels)
 
 
+def test_own_phrases_and_templates():
+    scanner = licenses.Scanner([("own", "alpha <<opt>> beta <<end>> gamma")], {"x y": "xy"})
+    assert scanner.scan("Alpha gamma, X-Y")[4:7] == ("xy", "own,xy", 1.0)
+    assert scanner.scan("nothing")[5] == ""
+
+
 def test_automaton_takes_optional_and_any_words():
     a = licenses.Automaton("x", "start <<opt>> maybe <<opt>> deeper <<end>> <<end>> <<any 2>> end")
     accepted = ["start end", "start maybe end", "start maybe deeper end", "start q end", "start maybe q r end"]
