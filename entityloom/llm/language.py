@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from entityloom.llm.workers import give_back, kept
+
 UNKNOWN = "und"
 #: Symbols of sample text per language, and in all.
 SAMPLE_SYMBOLS = 32_000
@@ -29,7 +31,7 @@ SAMPLE_DOCUMENTS = 256
 LETTERS = 62
 BLOCK = 256
 #: Code points parsed together.
-BATCH = 1 << 21
+BATCH = 1 << 19
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -187,9 +189,6 @@ class Parser:
         return out
 
 
-_parsers: dict[int, Parser] = {}
-
-
 def identify(text: Column, samples: dict[str, str]) -> Column:
     """Struct (lang, score) of each text.
 
@@ -201,10 +200,9 @@ def identify(text: Column, samples: dict[str, str]) -> Column:
 
     @F.pandas_udf("lang string, score double")
     def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if key not in _parsers:
-            _parsers.clear()
-            _parsers[key] = Parser(samples)
+        parser = kept(("language", key), lambda: Parser(samples))
         for texts in batches:
-            yield pd.DataFrame(_parsers[key].predict(texts.tolist()), columns=["lang", "score"])
+            yield pd.DataFrame(parser.predict(texts.tolist()), columns=["lang", "score"])
+            give_back()
 
     return parsed(F.coalesce(text, F.lit("")))

@@ -17,6 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from entityloom.llm.tokens import default_tokenizer
+from entityloom.llm.workers import kept
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -116,9 +117,6 @@ class TokenCounter:
         return len(parts) - 1 + sum(map(self._plain, parts))
 
 
-_counters: dict[str, TokenCounter] = {}
-
-
 def n_tokens(text: Column, tokenizer: str | None = None) -> Column:
     """Tokens of each whole text; null counts as empty and has none.
 
@@ -129,9 +127,8 @@ def n_tokens(text: Column, tokenizer: str | None = None) -> Column:
 
     @F.pandas_udf("long")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if path not in _counters:
-            _counters[path] = TokenCounter(path)
+        counter = kept(("merges", path), lambda: TokenCounter(path))
         for texts in batches:
-            yield pd.Series([_counters[path].count(t) for t in texts], dtype="int64")
+            yield pd.Series([counter.count(t) for t in texts], dtype="int64")
 
     return counted(F.coalesce(text, F.lit("")))

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entityloom.llm.graph import components
+from entityloom.llm.workers import kept
 from entityloom.session import materialise
 
 RADIUS = 3
@@ -59,6 +60,7 @@ def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
 
     @F.pandas_udf("long")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        kept("simhash", dict)
         for texts in batches:
             found = np.array([simhash(t, shingle) for t in texts], dtype=np.uint64)
             yield pd.Series(found.view(np.int64))

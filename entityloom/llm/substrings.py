@@ -27,12 +27,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from entityloom.llm.workers import kept
 from entityloom.session import materialise
 
 WINDOW = 50
 GRAM = 8
 #: Bytes of text that are hashed together.
-BATCH = 1 << 20
+BATCH = 1 << 18
 BYTE_BASE, GRAM_BASE, BLOCK_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
 
 
@@ -69,7 +70,8 @@ class _Powers:
         return _mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
 
 
-_powers = _Powers()
+def _powers() -> _Powers:
+    return kept("substrings", _Powers)
 
 
 @dataclass
@@ -86,6 +88,7 @@ class Parsed:
 
 
 def parse(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> Parsed:
+    powers = _powers()
     raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
     edge = np.diff(blank.astype(np.int8), prepend=np.int8(1))
@@ -97,9 +100,9 @@ def parse(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> Parsed:
     empty = np.zeros(0, dtype=np.int64)
     if n < window:
         return Parsed(before, empty, empty, empty, empty, empty, empty)
-    word = _powers.spans(_powers.sums(raw.astype(np.uint64) + np.uint64(1), BYTE_BASE), start, end, BYTE_BASE)
+    word = powers.spans(powers.sums(raw.astype(np.uint64) + np.uint64(1), BYTE_BASE), start, end, BYTE_BASE)
     at = np.arange(n - gram + 1)
-    least = _powers.spans(_powers.sums(word, GRAM_BASE), at, at + gram, GRAM_BASE)
+    least = powers.spans(powers.sums(word, GRAM_BASE), at, at + gram, GRAM_BASE)
     wide, size = window - gram + 1, 1
     while 2 * size <= wide:
         least = np.minimum(least[:-size], least[size:])
@@ -109,15 +112,15 @@ def parse(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> Parsed:
     owner = np.repeat(np.arange(len(texts)), np.diff(before))
     starts = np.arange(n - window + 1)
     whole = owner[starts] == owner[starts + window - 1]
-    sums = _powers.sums(_mix(word ^ np.uint64(BLOCK_BASE)), BLOCK_BASE)
-    windows = _powers.spans(sums, starts, starts + window, BLOCK_BASE)
+    sums = powers.sums(_mix(word ^ np.uint64(BLOCK_BASE)), BLOCK_BASE)
+    windows = powers.spans(sums, starts, starts + window, BLOCK_BASE)
     first = whole.copy()
     first[1:] &= ~(whole[:-1] & (least[1:] == least[:-1]) & (owner[starts[1:]] == owner[starts[:-1]]))
     low = np.flatnonzero(first)
     last = whole.copy()
     last[:-1] &= ~whole[1:] | first[1:]
     high = np.flatnonzero(last)
-    block = _powers.spans(sums, low, high + window, BLOCK_BASE)
+    block = powers.spans(sums, low, high + window, BLOCK_BASE)
     return Parsed(
         before,
         owner[low],

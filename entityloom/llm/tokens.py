@@ -17,9 +17,11 @@ from collections.abc import Sequence
 
 import numpy as np
 
+from entityloom.llm.workers import kept
+
 WORD_TOKENIZER = "word_bpe_49k.json"
 #: Words kept in memory per worker before the memory is emptied.
-MEMORY_WORDS = 600_000
+MEMORY_WORDS = 400_000
 #: Texts whose new words are asked for together.
 BATCH_TEXTS = 256
 UNSURE = re.compile("[\x1c-\x1f]")
@@ -90,36 +92,31 @@ class WordEncoder:
 
     def encode_all(self, texts: Sequence[str]) -> list[bytes]:
         """One value per text; the texts of a batch ask for their new words together."""
-        # Lower case unites words; a text with a special token's marks keeps its case.
-        split = [
-            None if UNSURE.search(t) else (t if "<|" in t or not t.isascii() else t.lower()).split()
-            for t in texts
-        ]
         known = self.memory.__getitem__
         out = []
-        for first in range(0, len(split), BATCH_TEXTS):
-            part = split[first : first + BATCH_TEXTS]
-            self._learn(set().union(*(w for w in part if w)))
-            for i, words in enumerate(part, first):
-                out.append(self._ask([texts[i]])[0] if words is None else b"".join(map(known, words)))
+        for first in range(0, len(texts), BATCH_TEXTS):
+            part = texts[first : first + BATCH_TEXTS]
+            # Lower case unites words; a text with a special token's marks keeps its case.
+            split = [
+                None if UNSURE.search(t) else (t if "<|" in t or not t.isascii() else t.lower()).split()
+                for t in part
+            ]
+            self._learn(set().union(*(w for w in split if w)))
+            for text, words in zip(part, split, strict=True):
+                out.append(self._ask([text])[0] if words is None else b"".join(map(known, words)))
         return out
 
 
-def slices(batches, rows: int = 2000):
+def slices(batches, rows: int = 1000):
     """Data frames of at most so many rows, so that what is made of them stays small."""
     for pdf in batches:
         for first in range(0, len(pdf), rows):
             yield pdf.iloc[first : first + rows]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    """One encoder per Python worker; it outlives a task."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    """The worker's encoder; its memory of words outlives a task."""
+    return kept(("words", path), lambda: WordEncoder(path))
 
 
 def as_ids(raw: bytes) -> np.ndarray:

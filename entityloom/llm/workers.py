@@ -14,12 +14,19 @@ from pyspark.sql import SparkSession
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Rows that go to a Python worker at once where Spark's default stands: texts are long.
+BATCH_ROWS = "1000"
+
+
 def share_path(spark: SparkSession) -> None:
     """Add the folder that holds the package to the workers' path.
 
     On a cluster the package is installed or sent along; the extra entry is
-    then a folder that does not exist there, which Python ignores.
+    then a folder that does not exist there, which Python ignores. Batches of
+    rows are made smaller, unless the session has a size of its own.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in known:
