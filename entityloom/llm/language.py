@@ -27,8 +27,9 @@ SAMPLE_SYMBOLS = 32_000
 ALL_SYMBOLS = 512_000
 #: Documents looked at per language to fill the sample (on average).
 SAMPLE_DOCUMENTS = 256
-#: Distinct letters that have a symbol of their own; rarer ones share one.
-LETTERS = 62
+#: Columns of a dense table: blank, a letter the sample lacks, and a language's most frequent
+#: letters. The transitions of its other letters are kept as sorted pairs; no letter is merged.
+DENSE = 64
 BLOCK = 256
 #: Code points parsed together.
 BATCH = 1 << 19
@@ -70,8 +71,8 @@ def learn(docs: DataFrame, symbols: int = SAMPLE_SYMBOLS) -> dict[str, str]:
     return {k: v[:symbols] for k, v in samples.items()}
 
 
-def suffix_automaton(sequence: np.ndarray, width: int) -> np.ndarray:
-    """Transitions [state, symbol] of all substrings; 0, the start, also marks a missing one."""
+def automaton_moves(sequence: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of all substrings, per state; state 0 is the start."""
     moves: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -98,29 +99,71 @@ def suffix_automaton(sequence: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[state] = copy
         last = state
+    return moves
+
+
+def suffix_automaton(sequence: np.ndarray, width: int) -> np.ndarray:
+    """Transitions [state, symbol] of all substrings; 0, the start, also marks a missing one."""
+    return dense_moves(automaton_moves(sequence), width)
+
+
+def dense_moves(moves: list[dict[int, int]], width: int) -> np.ndarray:
+    """Transitions by symbols below ``width`` as a table."""
     table = np.zeros((len(moves), width), dtype=np.int32)
     for state, row in enumerate(moves):
         for c, target in row.items():
-            table[state, c] = target
+            if c < width:
+                table[state, c] = target
     return table
 
 
+class Automaton:
+    """One language's transitions over its own columns: 0 blank, 1 absent, then its letters."""
+
+    def __init__(self, sequence: np.ndarray, symbols: int):
+        found, counts = np.unique(sequence[sequence > 1], return_counts=True)
+        own = found[np.lexsort((found, -counts))]
+        self.column = np.ones(symbols, dtype=np.int32)  # of a symbol; no transition leads on by 1
+        self.column[0] = 0
+        self.column[own] = np.arange(2, len(own) + 2)
+        moves = automaton_moves(self.column[sequence])
+        self.width = min(DENSE, len(own) + 2)
+        self.flat = dense_moves(moves, self.width).ravel()
+        self.start = np.zeros(len(own) + 2, dtype=np.int32)
+        self.start[list(moves[0])] = list(moves[0].values())
+        self.rest = len(own) + 2 - self.width
+        pairs = sorted(
+            (state * self.rest + c - self.width, target)
+            for state, row in enumerate(moves)
+            for c, target in row.items()
+            if c >= self.width
+        )
+        # Behind the pairs stands one that no state has, for searches that end there.
+        self.keys = np.array([k for k, _ in pairs] + [-1], dtype=np.int64)
+        self.targets = np.array([t for _, t in pairs] + [0], dtype=np.int32)
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """State behind each state by its column, 0 where there is none."""
+        if not self.rest:
+            return self.flat[state * self.width + c]
+        rare = np.flatnonzero(c >= self.width)
+        target = self.flat[state * self.width + np.where(c < self.width, c, 1)]
+        keys = state[rare].astype(np.int64) * self.rest + (c[rare] - self.width)
+        at = np.searchsorted(self.keys[:-1], keys)
+        target[rare] = np.where(self.keys[at] == keys, self.targets[at], 0)
+        return target
+
+
 class Parser:
-    """The automata of all languages over one alphabet: 0 blank, 1 rare letter, then letters."""
+    """The automata of all languages. Symbols: 0 blank, 1 a letter no sample has, then letters."""
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
-        letters: dict[str, int] = {}
-        for text in samples.values():
-            for c in text:
-                if c.isalpha():
-                    letters[c] = letters.get(c, 0) + 1
-        self.symbol = np.array([chr(i).isalpha() for i in range(0x110000)], dtype=np.uint8)
-        for i, c in enumerate(sorted(letters, key=lambda c: (-letters[c], c))[:LETTERS]):
-            self.symbol[ord(c)] = i + 2
-        width = LETTERS + 2
+        letters = sorted({c for text in samples.values() for c in text if c.isalpha()})
+        self.symbol = np.array([chr(i).isalpha() for i in range(0x110000)], dtype=np.int32)
+        self.symbol[[ord(c) for c in letters]] = np.arange(2, len(letters) + 2)
         sequences = [self.symbols(samples[k])[0] for k in self.languages]
-        self.tables = [suffix_automaton(s, width) for s in sequences]
+        self.automata = [Automaton(s, len(letters) + 2) for s in sequences]
         self.weights = np.array([np.log2(len(s) + 2) for s in sequences])
 
     def symbols(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -149,18 +192,18 @@ class Parser:
         owner, start, size = owner[order], start[order], size[order]
         active = np.searchsorted(-size, -np.arange(BLOCK), side="left")  # blocks longer than a step
         found = np.zeros((len(texts), len(self.languages)))
-        columns = [codes[start[: active[t]] + t].astype(np.int32) for t in range(BLOCK)]
-        for k, table in enumerate(self.tables):
-            flat, width = table.ravel(), table.shape[1]
+        columns = [codes[start[: active[t]] + t] for t in range(BLOCK)]
+        for k, automaton in enumerate(self.automata):
             state = np.zeros(len(owner), dtype=np.int32)
             phrases = np.zeros(len(owner), dtype=np.int32)
-            for c in columns:
-                if not len(c):
+            for symbols in columns:
+                if not len(symbols):
                     break
+                c = automaton.column[symbols]
                 now = state[: len(c)]
-                target = flat[now * width + c]
+                target = automaton.step(now, c)
                 miss = target == 0
-                again = flat[c]  # from the start state
+                again = automaton.start[c]
                 # A letter the sample lacks is a phrase of its own behind the one it ends.
                 phrases[: len(c)] += miss
                 phrases[: len(c)] += miss & (again == 0) & (now != 0)

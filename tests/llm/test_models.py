@@ -58,6 +58,38 @@ def test_automaton_knows_all_substrings():
     assert not any(known(p) for p in [(4, 4), (3, 3), (2, 2, 2), (5,)])
 
 
+def scripts():
+    """Latin text by far the most; Chinese, Japanese and Korean of many letters, none of them shared."""
+    rng = np.random.default_rng(7)
+    ranges = {"ja": (0x3400, 500), "ko": (0xAC00, 500), "zh": (0x4E00, 500)}
+    made = {k: [chr(a + i) for i in rng.integers(0, n, (60, 3)).ravel()] for k, (a, n) in ranges.items()}
+    words = {k: ["".join(v[i : i + 3]) for i in range(0, len(v), 3)] for k, v in made.items()}
+    texts = {k: [" ".join(rng.choice(v, 12)) for _ in range(12)] for k, v in words.items()}
+    accented = [c for i in range(0xE0, 0x180) if (c := chr(i)).isalpha() and c == c.lower() and c != "ŉ"]
+    latin = " ".join("".join(accented[i : i + 5]) for i in range(0, len(accented), 5))
+    return texts | {k: [v] * 60 for k, v in (LANGS | {"xx": latin}).items()}
+
+
+def test_every_letter_has_a_symbol():
+    texts = scripts()
+    samples = {k: " ".join(v[:-2]) for k, v in texts.items()}
+    parser = language.Parser(samples)
+    for lang, held in texts.items():
+        assert {found for found, _ in parser.predict(held[-2:])} == {lang}
+    mixed = [v[-1] + "ф" for v in texts.values()] + [" ".join(v[-1] for v in texts.values()) * 3]
+    for row, text in zip(parser.bits(mixed)[0], mixed, strict=True):
+        for k, lang in enumerate(parser.languages):
+            assert row[k] / parser.weights[k] == pytest.approx(brute_phrases(text, samples[lang]))
+
+
+def test_language_of_other_scripts(spark):
+    share_path(spark)
+    rows = [(1000 * k + i, t, lang) for k, (lang, v) in enumerate(scripts().items()) for i, t in enumerate(v)]
+    docs = table(spark, rows)
+    found = docs.select("lang", language.identify(F.col("text"), language.learn(docs))["lang"].alias("f"))
+    assert found.filter("lang <> f").count() == 0
+
+
 def test_language_of_edges(spark, edges, empty):
     samples = language.learn(edges)
     assert set(samples) == set(LANGS)
