@@ -27,15 +27,36 @@ BASE = {
     "cc by nc": "cc-by-nc",
 }
 
-#: Public notices; a label may have several.
+MIT_GRANT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this "
+    "software and associated documentation files the software to deal in the software without "
+    "restriction including without limitation the rights to use copy modify merge publish "
+    "distribute sublicense and or sell copies of the software and to permit persons to whom "
+    "the software is furnished to do so subject to the following conditions "
+    "the above copyright notice and this permission notice "
+)
+AS_IS = (
+    "the software is provided as is without warranty of any kind express or implied including but "
+    "not limited to the warranties of merchantability fitness for a particular purpose and "
+    "noninfringement in no event shall "
+)
+CLAIMS = (
+    "be liable for any claim damages or other liability whether in an action of contract tort or "
+    "otherwise arising from out of or in connection with the software or the use or other dealings "
+    "in the software"
+)
+
+#: Public notices; a label may have several. The texts have the whole wording of the notice.
 TEMPLATES: list[tuple[str, str]] = [
     (
         "mit-text",
-        "permission is hereby granted free of charge to any person obtaining a copy of this "
-        "software and associated documentation files the software to deal in the software without "
-        "restriction including without limitation the rights to use copy modify merge publish "
-        "distribute sublicense and or sell copies of the software and to permit persons to whom "
-        "the software is furnished to do so subject to the following conditions",
+        MIT_GRANT + "<<opt>> including the next paragraph <<end>> shall be included in all copies or "
+        "substantial portions of the software " + AS_IS + "<<any 8>> " + CLAIMS,
+    ),
+    (
+        "mit-text",
+        MIT_GRANT + "shall be included in all copies or substantial portions of the software "
+        + AS_IS + "the authors or copyright holders " + CLAIMS,
     ),
     ("mit-notice", "<<opt>> released <<end>> <<opt>> licensed <<end>> <<opt>> distributed <<end>> "
      "<<opt>> available <<end>> under the <<opt>> terms of the <<end>> mit license"),
@@ -43,14 +64,33 @@ TEMPLATES: list[tuple[str, str]] = [
         "isc-text",
         "permission to use copy modify and <<opt>> or <<end>> distribute this software for any "
         "purpose with or without fee is hereby granted provided that the above copyright notice "
-        "and this permission notice appear in all copies",
+        "and this permission notice appear in all copies the software is provided as is and <<any 8>> "
+        "disclaims all warranties with regard to this software including all implied warranties of "
+        "merchantability and fitness in no event shall <<any 8>> be liable for any special direct "
+        "indirect or consequential damages or any damages whatsoever resulting from loss of use data "
+        "or profits whether in an action of contract negligence or other tortious action arising out "
+        "of or in connection with the use or performance of this software",
     ),
     (
         "bsd-text",
         "redistribution and use in source and binary forms with or without modification are "
         "permitted provided that the following conditions are met <<any 2>> redistributions of "
         "source code must retain the above copyright notice this list of conditions and the "
-        "following disclaimer",
+        "following disclaimer <<any 2>> redistributions in binary form must reproduce the above "
+        "copyright notice this list of conditions and the following disclaimer in the documentation "
+        "and or other materials provided with the distribution "
+        "<<opt>> <<any 2>> all advertising materials mentioning features or use of this software must "
+        "display the following acknowledgement this product includes software developed by <<any 12>> "
+        "<<end>> <<opt>> <<any 2>> neither the name of <<any 8>> nor the names of its contributors may be "
+        "used to endorse or promote products derived from this software without specific prior written "
+        "permission <<end>> this software is provided by <<any 8>> as is and any express or implied "
+        "warranties including but not limited to the implied warranties of merchantability and fitness "
+        "for a particular purpose are disclaimed in no event shall <<any 8>> be liable for any direct "
+        "indirect incidental special exemplary or consequential damages including but not limited to "
+        "procurement of substitute goods or services loss of use data or profits or business "
+        "interruption however caused and on any theory of liability whether in contract strict "
+        "liability or tort including negligence or otherwise arising in any way out of the use of this "
+        "software even if advised of the possibility of such damage",
     ),
     ("bsd-notice", "licensed under the <<opt>> <<any 3>> <<end>> bsd <<opt>> <<any 2>> <<end>> license"),
     (
@@ -96,12 +136,18 @@ TEMPLATES: list[tuple[str, str]] = [
     ("cc-by-notice", "licensed under <<opt>> the <<end>> cc by <<opt>> sa <<end>> <<opt>> 4 0 <<end>> license"),
     (
         "unlicense-text",
-        "this is free and unencumbered software released into the public domain",
+        "this is free and unencumbered software released into the public domain anyone is free to "
+        "copy modify publish use compile sell or distribute this software either in source code form "
+        "or as a compiled binary for any purpose commercial or non commercial and by any means in "
+        "jurisdictions that recognize copyright laws the author or authors of this software dedicate "
+        "any and all copyright interest in the software to the public domain we make this dedication "
+        "for the benefit of the public at large and to the detriment of our heirs and successors we "
+        "intend this dedication to be an overt act of relinquishment in perpetuity of all present and "
+        "future rights to this software under copyright law " + AS_IS + "the authors " + CLAIMS,
     ),
 ]
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-HINT_WORDS = 3
 UPPER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -179,21 +225,12 @@ class Scanner:
             automaton = Automaton(label, markup)
             for word in automaton.first_words():
                 self.by_word.setdefault(word, []).append(automaton)
-        mandatory = [p for p, _ in self.base] + [
-            [w for (w, _), needed in zip(a.moves, a.mandatory, strict=True) if needed and w]
-            for automata in self.by_word.values()
-            for a in automata
-        ]
-        # Longest words of each phrase and template; a text that lacks one of them is only counted.
-        self.hints = {tuple(sorted(set(m), key=lambda w: (-len(w), w))[:HINT_WORDS]) for m in mandatory}
         self.firsts = {p[0] for p, _ in self.base} | self.by_word.keys()
 
     def scan(self, text: str) -> tuple:
         text = text.translate(UPPER) if not text.isascii() else text.lower()
         words = WORDS.findall(text)
         n = len(words)
-        if not any(all(w in text for w in hint) for hint in self.hints):
-            return n, 0, None, None, "", "", 0.0, []
         starts, base, found, spans, score = [], set(), set(), [], 0.0
         for at in [i for i, w in enumerate(words) if w in self.firsts]:
             word = words[at]

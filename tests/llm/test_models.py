@@ -197,6 +197,50 @@ def test_license_templates(text, labels):
     assert found[5] == labels and (found[6] == 1.0) == bool(labels)
 
 
+def test_partial_notices_keep_their_score():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.BASE)
+    grant = (
+        "Permission to use, copy, modify and distribute this software for any purpose with or "
+        "without fee is hereby granted"
+    )
+    needed = max(a.needed for a in scanner.by_word["permission"] if a.label == "isc-text")
+    assert scanner.scan(grant)[5:7] == ("", pytest.approx(19 / needed))
+    assert scanner.scan(grant + " copyright")[6] == scanner.scan(grant)[6]
+    own = licenses.Scanner([("own", "alpha beta gamma <<opt>> x <<end>> delta")], {"x y": "xy"})
+    assert [own.scan(t)[6] for t in ("q alpha q", "alpha beta", "beta gamma delta")] == [0.25, 0.5, 0.0]
+
+
+def test_text_templates_need_the_whole_notice():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.BASE)
+    mit = MIT.replace("copyright notice and this permission notice", "copyright notice and this permission notice "
+                      "(including the next paragraph)").replace("the authors or copyright holders", "ACME, Inc.")
+    bsd = (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted "
+        "provided that the following conditions are met: 1. Redistributions of source code must retain the "
+        "above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in "
+        "binary form must reproduce the above copyright notice, this list of conditions and the following "
+        "disclaimer in the documentation and/or other materials provided with the distribution. {}THIS "
+        "SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+        "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR "
+        "A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
+        "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+        "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR "
+        "PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN "
+        "CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF "
+        "THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    )
+    third = (
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse "
+        "or promote products derived from this software without specific prior written permission. "
+    )
+    for text, label in [(mit, "mit-text"), (bsd.format(""), "bsd-text"), (bsd.format(third), "bsd-text")]:
+        assert scanner.scan(text)[5:7] == (label, 1.0)
+        words = text.split()
+        labels, score = scanner.scan(" ".join(words[:-1]))[5:7]
+        assert labels == "" and 0.9 < score < 1
+        assert scanner.scan(" ".join(words[: len(words) // 2]))[5] == ""
+
+
 def test_own_phrases_and_templates():
     scanner = licenses.Scanner([("own", "alpha <<opt>> beta <<end>> gamma")], {"x y": "xy"})
     assert scanner.scan("Alpha gamma, X-Y")[4:7] == ("xy", "own,xy", 1.0)
