@@ -1,7 +1,12 @@
 """Fold-wise training and scoring on a feature table.
 
-Training itself is Spark ML's distributed gradient-boosted trees; the only
-driver loop is the one over folds. Each fold stops early on its held-out rows.
+Training itself is Spark ML's distributed gradient-boosted trees; the driver
+loops over folds, ten at once. Each fold stops early on its held-out rows.
+
+Spark ML's own early stopping ends at the first tree whose gain is small, which
+with small steps is the first or second one. Here a fold ends when its held-out
+error has not fallen for ``PATIENCE`` trees, and keeps the trees up to its least
+error, as the original learner does.
 """
 
 from __future__ import annotations
@@ -9,14 +14,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark import SparkContext, inheritable_thread_target
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from entityloom.operators.ordering import kfold, stratified_kfold
-from entityloom.session import materialise
+from entityloom.session import materialise, shared_folder
 
 MISSING = -999_999.0
 # The original learner's parameters, as far as Spark's has them.
@@ -25,6 +32,9 @@ DEPTH = 8
 STEP = 0.02
 ROW_SHARE = 0.8715623
 FEATURE_SHARE = 0.9497036
+PATIENCE = 200
+#: Folds trained at once: small tables wait for the driver more than for executors.
+AT_ONCE = 10
 
 
 @dataclass(frozen=True)
@@ -58,15 +68,16 @@ def train_folds(
     step: float = STEP,
     row_share: float = ROW_SHARE,
     feature_share: float = FEATURE_SHARE,
-    tolerance: float = 0.01,
+    patience: int = PATIENCE,
     least_rows: int = 1,
 ) -> FoldResult:
     """Train one classifier per fold on the other folds.
 
-    ``trees`` is an upper bound: a fold stops when a tree improves the error on
-    its held-out rows by less than ``tolerance`` (relative). Every labelled row
-    gets one score, from the model that has not seen it; every unlabelled row
-    gets the mean of all models' scores, in one pass over these rows.
+    ``trees`` is an upper bound: a fold stops when ``patience`` trees have not
+    lowered the error on its held-out rows, and keeps those up to the least.
+    Every labelled row gets one score, from the model that has not seen it;
+    every unlabelled row gets the mean of all models' scores, in one pass over
+    these rows.
     """
     spark = df.sparkSession
     ready, names = with_missing_flags(df.select(key, target, *features), features)
@@ -82,22 +93,28 @@ def train_folds(
     labelled = materialise(foldwise, "labelled")
     unlabelled = materialise(vectors.filter(F.col("label").isNull()).drop("label"), "unlabelled")
 
-    held_out, importance = [], []
-    scored, per_fold = unlabelled, []
-    for fold in range(folds):
+    if spark.sparkContext.getCheckpointDir() is None:  # else lineage grows with every tree
+        spark.sparkContext.setCheckpointDir(f"{shared_folder(spark)}/boosting")
+
+    def train(fold: int) -> GBTClassificationModel:
         learner = GBTClassifier(
             labelCol="label",
-            maxIter=trees,
             maxDepth=depth,
             stepSize=step,
             subsamplingRate=row_share,
             featureSubsetStrategy=str(feature_share) if feature_share < 1 else "all",
             minInstancesPerNode=least_rows,
-            validationIndicatorCol="held_out",
-            validationTol=tolerance,
             seed=seed + fold,
         )
-        fitted = learner.fit(labelled.withColumn("held_out", F.col("fold") == fold))
+        others, own = (labelled.filter(x) for x in (F.col("fold") != fold, F.col("fold") == fold))
+        return fit_early(learner, others, own, trees, patience)
+
+    with ThreadPool(min(AT_ONCE, folds)) as pool:
+        models = pool.map(inheritable_thread_target(spark)(train), range(folds))
+
+    held_out, importance = [], []
+    scored, per_fold = unlabelled, []
+    for fold, fitted in enumerate(models):
         mine = fitted.transform(labelled.filter(F.col("fold") == fold))
         score = vector_to_array("probability")[1].alias("score")
         held_out.append(mine.select(key, "label", "fold", score))
@@ -112,6 +129,48 @@ def train_folds(
     return FoldResult(reduce(DataFrame.unionByName, held_out), mean_score, table)
 
 
+def stop_at(errors: Sequence[float], patience: int) -> tuple[int, bool]:
+    """Trees up to the least error, and whether ``patience`` trees behind it brought no gain."""
+    best = 0
+    for i, error in enumerate(errors):
+        if error < errors[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def fit_early(
+    learner: GBTClassifier, rows: DataFrame, held_out: DataFrame, trees: int, patience: int
+) -> GBTClassificationModel:
+    """Fit on ``rows`` until ``held_out`` gains nothing; the trees up to the least error.
+
+    Spark ML cannot go on with a fitted model, so a fold that has not ended is
+    fitted anew with twice the trees, which costs at most as much again.
+    """
+    n = min(trees, patience + patience // 4 + 1)
+    while True:
+        fitted = learner.copy({learner.maxIter: n}).fit(rows)
+        best, ended = stop_at(fitted.evaluateEachIteration(held_out), patience)
+        if ended or n >= trees:
+            return first_trees(fitted, best)
+        n = min(trees, 2 * n)
+
+
+def first_trees(fitted: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The same model with its first ``n`` trees only."""
+    java = fitted._java_obj
+    gateway = SparkContext._gateway
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(fitted.trees[:n], fitted.treeWeights)):
+        trees[i], weights[i] = tree._java_obj, weight
+    kept = gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        java.uid(), trees, weights, java.numFeatures(), java.numClasses()
+    )
+    return GBTClassificationModel(kept)
+
+
 def mean_of(columns: Sequence[str]) -> Column:
     """Mean of score columns of one row, added up in the order given."""
     return reduce(lambda a, b: a + b, [F.col(c) for c in columns]) / F.lit(float(len(columns)))

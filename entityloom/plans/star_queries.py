@@ -795,9 +795,7 @@ def _trained(t) -> model.FoldResult:
     if place not in _folds:
         rows = rows.withColumn("source_number", F.expr("try_cast(substring(source, 4) AS double)"))
         features = ["n_chars", "source_number", *languages]
-        _folds[place] = model.train_folds(
-            rows, "doc_id", "target", features, FOLDS, trees=8, depth=3, step=0.1
-        )
+        _folds[place] = model.train_folds(rows, "doc_id", "target", features, FOLDS)
     return _folds[place]
 
 
