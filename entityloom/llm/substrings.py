@@ -1,16 +1,16 @@
-"""Substring dedup by relative Lempel-Ziv parsing (operator 10).
+"""Substring dedup by content-cut blocks and windows looked up by hash (operator 10).
 
 All documents are the reference, indexed by content-cut blocks: a block is a
 run of windows (``WINDOW`` consecutive words) that share their least k-gram
 hash, its anchor. Equal windows have equal anchors in any document, so a window
 that occurs twice is always looked up under the same anchor.
 
-A document is factored against the index: a block that also stands in a
-document with a smaller id matches as a whole, and neighbouring matched blocks
-grow into one factor. Where a factor ends inside a block, that is where an
-anchor is shared but the block around it differs, the windows at the boundary
-are looked up one by one, again under their anchor. Factors are at least one
-window long, and their words are the duplicate spans.
+This stands in place of a relative Lempel-Ziv parse; no greedy longest match
+is made. A block that also stands in a document with a smaller id is marked as
+a whole. Where an anchor is shared but the block around it differs, its windows
+are looked up one by one, again under their anchor. The ranges that the marked
+windows cover are merged; they are at least one window long, and their words
+are the duplicate spans.
 
 Keys pair two independent 64-bit hashes. Minima per key merge map-side; a
 passage in a third of all documents is one row per task there, and the join
