@@ -7,7 +7,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityloom.llm import huffman, language, licenses, merges, packing, simhash, spots, substrings, toxicity, winnowing
+from entityloom.llm import (
+    huffman,
+    language,
+    licenses,
+    merges,
+    negatives,
+    packing,
+    simhash,
+    spelling,
+    spots,
+    substrings,
+    topk,
+    toxicity,
+    winnowing,
+)
 from entityloom.llm.workers import share_path
 from entityloom.session import shared_folder
 
@@ -139,6 +153,32 @@ def op10_substrings(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    share_path(spark)
+    return spark.read.parquet(f"{folder}/embeddings.parquet")
+
+
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every anchor and positive."""
+    number, label = F.col("vec_id"), F.col("label")
+    changed = F.when(number % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.mine(
+        _embeddings(spark, folder), number % 50 == 0, "vec_id", changed, "embedding", factor=256.0
+    )
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every frequent word with its more frequent form and the root of its forms."""
+    return spelling.variants(spelling.vocabulary(_documents(spark, folder)))
+
+
+def op13_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 highest inner products of every twentieth vector."""
+    return topk.search(
+        _embeddings(spark, folder), F.col("vec_id") % 20 == 0, "vec_id", "embedding", factor=64.0, k=20
+    )
+
+
 QUERIES = {
     "op1_spot_signatures": op1_spot_signatures,
     "op2_licenses": op2_licenses,
@@ -150,6 +190,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_substrings": op10_substrings,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_top_k": op13_top_k,
 }
 OP10_SQL = """
 WITH d AS (
@@ -251,7 +294,100 @@ SELECT doc_id, n::BIGINT AS n_chars, edited_sha256, array_to_string(a, ' ') AS f
 FROM near
 """.replace("ANCHORS", "[" + ", ".join(f"'{w}'" for w in spots.ANCHORS) + "]")
 
+_VECTORS = """
+    SELECT vec_id, COLUMNS list_transform(embedding, lambda x: floor(FACTOR * x::DOUBLE)) AS w
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+"""
+
+OP13_SQL = f"""
+WITH v AS ({_VECTORS.replace("FACTOR", "64").replace("COLUMNS", "")}), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score
+    FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id
+    WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+    vec_id, score
+FROM scored QUALIFY rank <= 20
+"""
+
+OP11_SQL = f"""
+WITH v AS ({_VECTORS.replace("FACTOR", "256").replace("COLUMNS", "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,")} AND label IS NOT NULL),
+scored AS (
+    SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+        list_inner_product(a.w, r.w)::BIGINT AS score
+    FROM v AS a JOIN v AS r ON a.vec_id <> r.vec_id
+    WHERE a.vec_id % 50 = 0
+), positive AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+    FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+    vec_id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+#: The database counts edits of bytes: for that, letters beyond ASCII take bytes that no word holds.
+_ACCENTED = "".join(map(chr, range(0xC0, 0x100)))
+_FREE_BYTES = "".join(c for c in map(chr, range(0x20, 0x7F)) if not c.islower() and c != "'")[:64]
+
+#: CRC-32 in SQL: the table of the reversed polynomial is made by its rule, bytes come from hex digits.
+OP12_SQL = """
+WITH RECURSIVE bits AS (
+    SELECT b, b AS c, 0 AS k FROM (SELECT unnest(range(256)) AS b)
+    UNION ALL
+    SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (
+    SELECT list(c ORDER BY b) AS steps FROM bits WHERE k = 8
+), runs AS (
+    SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{C0}-\\x{FF}]+')) AS r
+    FROM documents WHERE text IS NOT NULL
+), counted AS (
+    SELECT d, r, count(*) AS times, hex(encode(d || ':' || r)) AS digits FROM runs GROUP BY d, r
+), hashed AS (
+    SELECT r, times, xor(list_reduce(
+        list_transform(range(0, length(digits) // 2), lambda i: ('0x' || substr(digits, 2 * i + 1, 2))::BIGINT),
+        lambda h, byte: xor(h >> 8, steps[(xor(h, byte) & 255) + 1]), 4294967295), 4294967295) AS h
+    FROM counted, crc
+), made AS (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word,
+        times
+    FROM hashed
+), words AS (
+    SELECT word, sum(times)::BIGINT AS n, translate(word, 'ACCENTED', 'FREE') AS bytes
+    FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2
+), near AS (
+    SELECT a.word, a.n, b.word AS other, b.n AS other_n
+    FROM words AS a JOIN words AS b ON length(b.word) BETWEEN length(a.word) - 1 AND length(a.word) + 1
+    WHERE a.word <> b.word AND levenshtein(a.bytes, b.bytes) = 1
+), best AS (
+    SELECT word, n, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n
+    FROM near GROUP BY word, n
+), formed AS (
+    SELECT words.word, words.n, coalesce(n_near, 0) AS n_near,
+        CASE WHEN other_n >= 10 * words.n THEN other END AS form,
+        CASE WHEN other_n >= 10 * words.n THEN other_n END AS form_n
+    FROM words LEFT JOIN best USING (word)
+), chain AS (
+    SELECT word, word AS root FROM formed
+    UNION ALL
+    SELECT chain.word, formed.form FROM chain JOIN formed ON formed.word = chain.root WHERE formed.form IS NOT NULL
+), ends AS (
+    SELECT chain.word, root FROM chain JOIN formed ON formed.word = chain.root WHERE formed.form IS NULL
+)
+SELECT formed.word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n
+FROM formed JOIN ends USING (word)
+""".replace("ACCENTED", _ACCENTED).replace("FREE", _FREE_BYTES)
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_hard_negatives": OP11_SQL,
+    "op12_spelling_variants": OP12_SQL,
+    "op13_top_k": OP13_SQL,
     "op1_spot_signatures": OP1_SQL,
     "op7_decontamination": OP7_SQL,
     "op10_substrings": OP10_SQL,

@@ -20,7 +20,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables a
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(queries())
-    assert {re.match(r"op(\d+)_", q)[1] for q in QUERIES} == {str(n) for n in range(1, 11)}
+    assert {re.match(r"op(\d+)_", q)[1] for q in QUERIES} == {str(n) for n in range(1, 14)}
     assert set(ORACLE_SQL) <= set(oracle_sql())
     assert corpus_pipeline.ORACLE_SQL is None and "pipeline" not in oracle_sql()
 
