@@ -13,7 +13,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,46 +108,65 @@ def ordered_ids(docs: DataFrame, tokenizer: str | None = None, end_id: int = END
     """Written ids of whole texts, range-sorted by ``doc_id``, with their place in their part.
 
     Parts follow the ascending order; rows without ``doc_id`` come first, rows
-    with the same one in the order of their texts.
+    with the same one in the order of their texts, which also spreads them over
+    parts. The last row of a part has no place (``at`` -1): its ``ids`` are the
+    counts of the part's ids, as 64-bit integers by id.
     """
     path = tokenizer or default_tokenizer()
     end = as_bytes([end_id])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode_all
         part, before = TaskContext.get().partitionId(), 0
-        for pdf in slices(batches):
-            raw = [x + end for x in encode(pdf["_text"].tolist())]
+        total = np.zeros(0, dtype="<i8")
+        for batch in slices(batches):
+            raw = [x + end for x in encode(batch.column(1).to_pylist())]
             n = np.array([len(x) // 4 for x in raw], dtype=np.int64)
             ends = before + np.cumsum(n)
-            before = int(ends[-1]) if len(n) else before
-            yield pd.DataFrame(
-                {"part": part, "doc_id": pdf["_doc"].array, "at": ends - n, "n": n, "ids": raw}
-            )
+            before = int(ends[-1])
+            total = _added(total, np.bincount(as_ids(b"".join(raw))))
+            yield _ids_batch(part, batch.column(0), ends - n, n, raw)
+        yield _ids_batch(part, pa.nulls(1, pa.int64()), [-1], [0], [total.tobytes()])
 
     source = docs.select(
         F.col("doc_id").cast("long").alias("_doc"), F.coalesce("text", F.lit("")).alias("_text")
     )
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = source.repartitionByRange(parts, "_doc").sortWithinPartitions("_doc", "_text")
+    placed = source.repartitionByRange(parts, "_doc", "_text").sortWithinPartitions("_doc", "_text")
     schema = "part int, doc_id long, at long, n long, ids binary"
-    return materialise(placed.mapInPandas(run, schema), "token-ids")
+    return materialise(placed.mapInArrow(run, schema), "token-ids")
+
+
+def _added(total: np.ndarray, found: np.ndarray) -> np.ndarray:
+    if len(found) > len(total):
+        total, found = found.astype("<i8"), total
+    total[: len(found)] += found
+    return total
+
+
+def _ids_batch(part: int, docs: pa.Array, at, n, raw: list[bytes]) -> pa.RecordBatch:
+    columns = [
+        pa.array(np.full(len(raw), part, dtype=np.int32)),
+        docs,
+        pa.array(at, pa.int64()),
+        pa.array(n, pa.int64()),
+        pa.array(raw, pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "at", "n", "ids"])
 
 
 def id_counts(ids: DataFrame) -> DataFrame:
-    """Global counts: one partial count per task and id, then one row per id."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(0, dtype=np.int64)
-        for pdf in batches:
-            found = np.bincount(as_ids(b"".join(pdf["ids"])))
-            if len(found) > len(total):
-                total, found = found, total
-            total[: len(found)] += found
+    """Global counts (id, n) from the counts that ``ordered_ids`` leaves for each part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, dtype="<i8")
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                total = _added(total, np.frombuffer(raw, dtype="<i8"))
         seen = np.flatnonzero(total)
-        yield pd.DataFrame({"id": seen, "n": total[seen]})
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
-    partial = ids.select("ids").mapInPandas(run, "id long, n long")
+    partial = ids.filter("at < 0").select("ids").mapInArrow(run, "id long, n long")
     return partial.groupBy("id").agg(F.sum("n").alias("n"))
 
 
@@ -160,8 +179,9 @@ def write_ids(
     rows of documents. An empty table gives empty files.
     """
     spark = docs.sparkSession
-    ids = ordered_ids(docs, tokenizer, end_id)
-    counts = sorted((r.id, r.n) for r in id_counts(ids).collect())  # at most the vocabulary
+    written = ordered_ids(docs, tokenizer, end_id)
+    ids = written.filter("at >= 0")
+    counts = sorted((r.id, r.n) for r in id_counts(written).collect())  # at most the vocabulary
     symbols = np.array([c[0] for c in counts], dtype=np.int64)
     bits = code_lengths(np.array([c[1] for c in counts], dtype=np.int64))
     book = list(zip(symbols.tolist(), bits.tolist(), strict=True))
@@ -171,23 +191,22 @@ def write_ids(
         starts[part] = total
         total += n
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codebook(symbols, bits)
         held: list[tuple] = []
         size = 0
 
-        def block() -> pd.DataFrame:
+        def block() -> pa.RecordBatch:
             part, _, at, _, _ = held[0]
             joined = as_ids(b"".join(x[4] for x in held))
             packed, offsets = codes.encode(joined)
-            row = (part, starts[part] + at, [x[1] for x in held], [x[3] for x in held])
-            return pd.DataFrame([(*row, size, packed, offsets)], columns=_names(BLOCKS))
-
-        for pdf in batches:
-            docs_ = [None if pd.isna(d) else int(d) for d in pdf["doc_id"]]
-            for part, doc, at, n, raw in zip(
-                pdf["part"], docs_, pdf["at"], pdf["n"], pdf["ids"], strict=True
-            ):
+            row = (part, starts[part] + at, [x[1] for x in held], [x[3] for x in held], size, packed, offsets)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x], kind) for x, kind in zip(row, _BLOCK_KINDS, strict=True)], names=_names(BLOCKS)
+            )
+
+        for batch in batches:
+            for part, doc, at, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and (size >= BLOCK_IDS or held[0][0] != part or held[-1][2] + held[-1][3] != at):
                     yield block()
                     held, size = [], 0
@@ -196,39 +215,45 @@ def write_ids(
         if held:
             yield block()
 
-    ids.mapInPandas(run, BLOCKS).write.parquet(f"{folder}/blocks")
-    release(ids)
+    ids.mapInArrow(run, BLOCKS).write.parquet(f"{folder}/blocks")
+    release(written)
+
+
+_LONGS = pa.list_(pa.int64())
+_BLOCK_KINDS = (pa.int32(), pa.int64(), _LONGS, _LONGS, pa.int64(), pa.binary(), pa.binary())
 
 
 def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
-def read_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids, ids_crc32) of every document in the files."""
+def read_ids(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids on request, ids_crc32) of every document in the files."""
     book = spark.read.schema("id long, bits long").parquet(f"{folder}/codebook").collect()
     symbols = np.array([r.id for r in book], dtype=np.int64)
     bits = np.array([r.bits for r in book], dtype=np.int64)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codebook(symbols, bits)
-        for pdf in batches:
-            for start, docs, counts, n, packed, offsets in zip(
-                *(pdf[c] for c in _names(BLOCKS)[1:]), strict=True
-            ):
-                ids = codes.decode(packed, offsets, n)
-                ends = np.cumsum(np.asarray(counts, dtype=np.int64))
+        for batch in batches:
+            for row in range(batch.num_rows):
+                start, docs, counts, n, packed, offsets = (c[row] for c in batch.columns[1:])
+                ids = codes.decode(packed.as_py(), offsets.as_py(), n.as_py())
+                tokens = counts.values.to_numpy(zero_copy_only=False)
+                ends = np.cumsum(tokens)
                 raw = [x.tobytes() for x in np.split(ids, ends[:-1])]
-                yield pd.DataFrame(
-                    {
-                        "doc_id": pd.array([None if d is None or d != d else int(d) for d in docs], "Int64"),
-                        "start": start + np.concatenate([[0], ends[:-1]]),
-                        "n_tokens": np.asarray(counts, dtype=np.int64),
-                        "ids": raw,
-                        "ids_crc32": [zlib.crc32(x) for x in raw],
-                    }
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        docs.values,
+                        pa.array(start.as_py() + ends - tokens),
+                        pa.array(tokens),
+                        *([pa.array(raw, pa.binary())] if with_ids else []),
+                        pa.array([zlib.crc32(x) for x in raw], pa.int64()),
+                    ],
+                    names=_names(schema),
                 )
 
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
-    schema = "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long"
-    return blocks.mapInPandas(run, schema)
+    kept = "ids binary, " if with_ids else ""
+    schema = f"doc_id long, start long, n_tokens long, {kept}ids_crc32 long"
+    return blocks.mapInArrow(run, schema)

@@ -14,9 +14,10 @@ A task that is run again sees the same rows and gives the same windows.
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +31,10 @@ PIECE = 512
 BATCH_WINDOWS = 64
 FILL = 0.995
 END_ID = 1
+#: Rows sent back at once.
+ROWS = 4096
 SCHEMA = (
-    "doc_id long, start long, length long, ids binary, doc_tokens long, "
+    "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
     "sequence_id long, offset long, sequence_length long, capacity long"
 )
 
@@ -104,63 +107,76 @@ def pack(
     window: int = WINDOW,
     piece: int = PIECE,
     end_id: int = END_ID,
+    with_ids: bool = True,
 ) -> DataFrame:
-    """One row per piece with its ids, its window and its place there.
+    """One row per piece with its ids (on request) and their CRC-32, its window and its place there.
 
     A window's real length is ``sequence_length``; ``capacity`` is the length
     it is padded to (``window``, or its own length where that is a power of
     two). A null text is empty and gives the end id alone; rows with the same
     or no ``doc_id`` are packed each for itself; an empty table gives no rows;
-    other columns are not read.
+    other columns are not read. A very long text fills windows of its own but for
+    its end; ids of any size stay exact.
     """
     path = tokenizer or default_tokenizer()
     end = as_bytes([end_id])
     goal = int(BATCH_WINDOWS * window * FILL)
+    schema = SCHEMA + (", ids binary" if with_ids else "")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode_all
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 36
+        names = [c.split()[0] for c in schema.split(", ")]
+        kinds = [pa.int64()] * 9 + [pa.binary()] * with_ids
+        ready: list[tuple] = []
         pool: list[tuple] = []
         held = 0
 
-        def place(groups: list[list[tuple]]) -> pd.DataFrame:
+        def place(group: list[tuple]) -> None:
             nonlocal sequence
-            rows = []
-            for group in groups:
-                total = sum(p[2] for p in group)
-                full = total if total & (total - 1) == 0 else window
-                offset = 0
-                for p in group:
-                    rows.append((*p, sequence, offset, total, full))
-                    offset += p[2]
-                sequence += 1
-            return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-        def pooled() -> pd.DataFrame:
-            return place([[pool[i] for i in g] for g in fill_windows([p[2] for p in pool], window)])
-
-        for pdf in slices(batches):
-            for doc, raw in zip(pdf["_doc"], encode(pdf["_text"].tolist()), strict=True):
+            total = sum(p[2] for p in group)
+            full = total if total & (total - 1) == 0 else window
+            offset = 0
+            for p in group:
+                ready.append((*p[:5], sequence, offset, total, full, *p[5:]))
+                offset += p[2]
+            sequence += 1
+
+        def place_pool() -> None:
+            for group in fill_windows([p[2] for p in pool], window):
+                place([pool[i] for i in group])
+            pool.clear()
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(ready), ROWS):
+                columns = zip(*ready[at : at + ROWS], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            ready.clear()
+
+        for batch in slices(batches):
+            numbers, texts = (c.to_pylist() for c in batch.columns)
+            for doc, raw in zip(numbers, encode(texts), strict=True):
                 raw += end
                 n = len(raw) // 4
-                whole = []
                 for at, size in cut(n, window, piece):
-                    p = (None if pd.isna(doc) else int(doc), at, size, raw[4 * at : 4 * (at + size)], n)
+                    own = raw[4 * at : 4 * (at + size)]
+                    p = (doc, at, size, zlib.crc32(own), n, own) if with_ids else (doc, at, size, zlib.crc32(own), n)
                     if size == window:
-                        whole.append([p])
+                        place([p])
                         continue
                     if held + size > goal:
-                        yield pooled()
-                        pool, held = [], 0
+                        place_pool()
+                        held = 0
                     pool.append(p)
                     held += size
-                if whole:
-                    yield place(whole)
+                if len(ready) >= ROWS:
+                    yield from sent()
         if pool:
-            yield pooled()
+            place_pool()
+        yield from sent()
 
     source = docs.select(
         F.col("doc_id").cast("long").alias("_doc"), F.coalesce("text", F.lit("")).alias("_text")
     )
-    return source.mapInPandas(run, SCHEMA)
+    return source.mapInArrow(run, schema)

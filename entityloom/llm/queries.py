@@ -63,25 +63,14 @@ def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document, with the checksum of its ids and its place in a window."""
-    pieces = packing.pack(_documents(spark, folder))
-    return pieces.select(
-        "doc_id",
-        "start",
-        "length",
-        F.crc32("ids").alias("ids_crc32"),
-        "doc_tokens",
-        "sequence_id",
-        "offset",
-        "sequence_length",
-        "capacity",
-    )
+    return packing.pack(_documents(spark, folder), with_ids=False)
 
 
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document as read back from the Huffman files."""
     target = f"{shared_folder(spark)}/huffman-{uuid.uuid4().hex}"
     huffman.write_ids(_documents(spark, folder), target)
-    return huffman.read_ids(spark, target).drop("ids")
+    return huffman.read_ids(spark, target, with_ids=False)
 
 
 def op5_language(spark: SparkSession, folder: str) -> DataFrame:

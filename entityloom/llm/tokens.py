@@ -20,11 +20,11 @@ import numpy as np
 from entityloom.llm.workers import kept
 
 WORD_TOKENIZER = "word_bpe_49k.json"
-#: Words kept in memory per worker before the memory is emptied.
+#: Words kept in memory per worker, in two generations: words met lately stay.
 MEMORY_WORDS = 400_000
 #: Texts whose new words are asked for together.
 BATCH_TEXTS = 256
-UNSURE = re.compile("[\x1c-\x1f]")
+UNSURE = "\x1c\x1d\x1e\x1f"
 #: A word that is one piece to the library, which ends with a token of its own kind.
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 WORD_END = "</w>"
@@ -52,6 +52,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.memory: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
         self.memory_words = memory_words
 
     def _ask(self, texts: list[str]) -> list[bytes]:
@@ -76,15 +77,21 @@ class WordEncoder:
         return [found[w] for w in words]
 
     def _learn(self, words: set[str]) -> None:
-        memory = self.memory
-        missing = words.difference(memory)
-        if len(memory) + 2 * len(missing) > self.memory_words:
-            memory.clear()
-            missing = words
+        """Have all ``words`` in memory; what was not met since the last change of generation goes."""
+        missing = words.difference(self.memory)
+        if len(self.memory) + 2 * len(missing) > self.memory_words // 2:
+            self.earlier, self.memory, missing = self.memory, {}, words
+        memory, earlier = self.memory, self.earlier
+        known = [w for w in missing if w in earlier]
+        memory.update((w, earlier[w]) for w in known)
+        missing = missing.difference(known)
         pairs = {w: m.groups() for w in missing if (m := LETTERS_MARKS.fullmatch(w))}
         plain = missing.difference(pairs)
-        for pair in pairs.values():
-            plain.update(x for x in pair if x not in memory)
+        for x in {x for pair in pairs.values() for x in pair}:
+            if x in earlier:
+                memory[x] = earlier[x]
+            elif x not in memory:
+                plain.add(x)
         if plain:
             asked = list(plain)
             memory.update(zip(asked, self._ask_words(asked), strict=True))
@@ -98,7 +105,7 @@ class WordEncoder:
             part = texts[first : first + BATCH_TEXTS]
             # Lower case unites words; a text with a special token's marks keeps its case.
             split = [
-                None if UNSURE.search(t) else (t if "<|" in t or not t.isascii() else t.lower()).split()
+                None if any(c in t for c in UNSURE) else (t if "<|" in t or not t.isascii() else t.lower()).split()
                 for t in part
             ]
             self._learn(set().union(*(w for w in split if w)))
@@ -108,10 +115,10 @@ class WordEncoder:
 
 
 def slices(batches, rows: int = 1000):
-    """Data frames of at most so many rows, so that what is made of them stays small."""
-    for pdf in batches:
-        for first in range(0, len(pdf), rows):
-            yield pdf.iloc[first : first + rows]
+    """Record batches of at most so many rows, so that what is made of them stays small."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
 
 
 def encoder(path: str) -> WordEncoder:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from entityloom.llm import huffman, merges, packing
 from entityloom.llm.tokens import WordEncoder, as_bytes, default_tokenizer
+from entityloom.llm.workers import share_path
 from tests.llm.conftest import edge_rows
 
 TEXTS = [t or "" for _, t, _ in edge_rows()]
@@ -134,3 +135,47 @@ def test_token_files(spark, edges, empty, tmp_path, monkeypatch):
             assert ids[doc] == as_bytes([*library(default_tokenizer(), text or ""), 1])
     huffman.write_ids(empty, str(tmp_path / "b"))
     assert huffman.read_ids(spark, str(tmp_path / "b")).count() == 0
+
+
+BIG = [(2**53 + 1, "one big number"), (None, "none"), (2**53 + 2, "another"), (-(2**62) - 1, "least"), (2**53 + 1, "again")]
+
+
+def big_ids(spark):
+    """Ids that no double holds, beside a missing one in the same batch."""
+    share_path(spark)
+    return spark.createDataFrame(BIG, "doc_id long, text string").coalesce(1)
+
+
+def test_large_ids_stay_exact_beside_missing_ones(spark, tmp_path):
+    asked = sorted(i for i, _ in BIG if i is not None)
+    pieces = packing.pack(big_ids(spark)).collect()
+    assert sorted(p.doc_id for p in pieces if p.doc_id is not None) == asked and len(pieces) == len(BIG)
+    huffman.write_ids(big_ids(spark), str(tmp_path / "a"))
+    found = sorted(huffman.read_ids(spark, str(tmp_path / "a")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == [None, *asked]
+
+
+def test_counts_of_parts_are_those_of_all_ids(spark, edges):
+    written = huffman.ordered_ids(edges)
+    raw = b"".join(bytes(r.ids) for r in written.filter("at >= 0").collect())
+    seen, counts = np.unique(np.frombuffer(raw, "<u4"), return_counts=True)
+    assert sorted(map(tuple, huffman.id_counts(written).collect())) == list(zip(seen, counts, strict=True))
+
+
+def test_checksums_without_ids(spark, edges):
+    place = lambda r: (r.sequence_id, r.offset, r.length, r.ids_crc32)
+    whole = packing.pack(edges).collect()
+    bare = packing.pack(edges, with_ids=False)
+    assert "ids" not in bare.columns
+    assert sorted(map(place, bare.collect())) == sorted(map(place, whole))
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 for r in whole)
+
+
+def test_words_of_an_earlier_generation_are_known(monkeypatch):
+    word = WordEncoder(default_tokenizer(), memory_words=40)
+    texts = [" ".join(f"{'abc'[k % 3]}w{(i * k) % 23}!" for k in range(30)) for i in range(1, 60)]
+    for first in range(0, len(texts), 3):
+        part = texts[first : first + 3]
+        expected = [as_bytes(library(default_tokenizer(), t)) for t in part]
+        assert word.encode_all(part) == expected
+        assert len(word.memory) <= 40 + 120
