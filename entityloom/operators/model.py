@@ -1,58 +1,55 @@
 """Fold-wise training and scoring on a feature table.
 
-Training itself is Spark ML's distributed gradient-boosted trees; the driver
-loops over folds, ten at once. Each fold stops early on its held-out rows.
-
-Spark ML's own early stopping ends at the first tree whose gain is small, which
-with small steps is the first or second one. Here a fold ends when its held-out
-error has not fallen for ``PATIENCE`` trees, and keeps the trees up to its least
-error, as the original learner does.
+The learner is histogram boosting of all folds at once (``boosting``). A fold
+ends when its held-out AUC has not risen for ``PATIENCE`` trees and keeps the
+trees up to its best, as the original learner does. A missing value is a branch
+of its own in every split.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import SparkContext, inheritable_thread_target
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from entityloom.operators import boosting
 from entityloom.operators.ordering import kfold, stratified_kfold
-from entityloom.session import materialise, shared_folder
+from entityloom.operators.stage import content_fingerprint, load_stage, read_completion, write_stage
+from entityloom.session import materialise
 
-MISSING = -999_999.0
-# The original learner's parameters, as far as Spark's has them.
+# The original learner's parameters, and its library's default of
+# the least rows in a leaf. It names a share of rows per tree as well, but never
+# turns row sampling on.
 TREES = 10_000
+LEAVES = 34
 DEPTH = 8
 STEP = 0.02
-ROW_SHARE = 0.8715623
 FEATURE_SHARE = 0.9497036
+L1 = 0.041545473
+L2 = 0.0735294
+LEAST_GAIN = 0.0222415
+LEAST_WEIGHT = 39.3259775
+LEAST_ROWS = 20
 PATIENCE = 200
-#: Folds trained at once: small tables wait for the driver more than for executors.
-AT_ONCE = 10
+# Fixed value: the library's default of the least weight in a leaf, for tables so
+# small that the original's value would allow no split at all.
+SMALL_LEAST_WEIGHT = 1e-3
 
 
 @dataclass(frozen=True)
 class FoldResult:
-    """Out-of-fold scores, mean scores of unlabelled rows, importances per fold."""
+    """Out-of-fold scores, mean scores of unlabelled rows, importances per fold.
+
+    ``trees`` holds the models as a table.
+    """
 
     out_of_fold: DataFrame
     scores: DataFrame
     importance: DataFrame
-
-
-def with_missing_flags(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Trees here have no branch for missing values: fill a marker and add a 0/1 flag."""
-    filled = {
-        c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(MISSING)) for c in features
-    }
-    flags = {f"{c}_missing": F.col(f"`{c}`").isNull().cast("double") for c in features}
-    return df.withColumns({**flags, **filled}), [*features, *flags]
+    trees: DataFrame | None = None
 
 
 def train_folds(
@@ -66,109 +63,80 @@ def train_folds(
     trees: int = TREES,
     depth: int = DEPTH,
     step: float = STEP,
-    row_share: float = ROW_SHARE,
     feature_share: float = FEATURE_SHARE,
     patience: int = PATIENCE,
-    least_rows: int = 1,
+    leaves: int = LEAVES,
+    l1: float = L1,
+    l2: float = L2,
+    least_gain: float = LEAST_GAIN,
+    least_weight: float = SMALL_LEAST_WEIGHT,
+    least_rows: int = LEAST_ROWS,
+    stages: str | None = None,
 ) -> FoldResult:
     """Train one classifier per fold on the other folds.
 
     ``trees`` is an upper bound: a fold stops when ``patience`` trees have not
-    lowered the error on its held-out rows, and keeps those up to the least.
+    raised the AUC of its held-out rows, and keeps those up to the highest.
     Every labelled row gets one score, from the model that has not seen it;
     every unlabelled row gets the mean of all models' scores, in one pass over
-    these rows.
+    these rows. Importance is a feature's share of a model's splits.
+
+    With ``stages`` the models are kept below that folder as a stage named by the
+    content of the table and the parameters; the same training is then loaded.
     """
     spark = df.sparkSession
-    ready, names = with_missing_flags(df.select(key, target, *features), features)
-    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(ready)
-    vectors = vectors.select(key, F.col(target).cast("double").alias("label"), "features")
-    # Written once: all folds read the same rows, and no fold repeats the feature plan.
-    labelled = vectors.filter(F.col("label").isNotNull())
+    rules = boosting.Rules(
+        trees, leaves, depth, step, patience, feature_share, l1, l2, least_gain, least_weight, least_rows, seed
+    )
+    numbers = [F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(features)]
+    names = [f"f{i}" for i in range(len(features))]
+    # Written once: bounds, bins and folds read the same rows without the feature plan.
+    ready = materialise(
+        df.select(F.col(f"`{key}`").alias(key), F.col(f"`{target}`").cast("double").alias("label"), *numbers), "rows"
+    )
+    known = ready.filter(F.col("label").isNotNull())
+    bounds = boosting.quantile_bounds(known, names)
+    binned = boosting.with_bins(ready, names, bounds)
+    labelled = binned.filter(F.col("label").isNotNull())
     foldwise = (
         stratified_kfold(labelled, key, "label", folds, seed)
         if stratified
         else kfold(labelled, key, folds, seed)
     )
     labelled = materialise(foldwise, "labelled")
-    unlabelled = materialise(vectors.filter(F.col("label").isNull()).drop("label"), "unlabelled")
-
-    if spark.sparkContext.getCheckpointDir() is None:  # else lineage grows with every tree
-        spark.sparkContext.setCheckpointDir(f"{shared_folder(spark)}/boosting")
-
-    def train(fold: int) -> GBTClassificationModel:
-        learner = GBTClassifier(
-            labelCol="label",
-            maxDepth=depth,
-            stepSize=step,
-            subsamplingRate=row_share,
-            featureSubsetStrategy=str(feature_share) if feature_share < 1 else "all",
-            minInstancesPerNode=least_rows,
-            seed=seed + fold,
-        )
-        others, own = (labelled.filter(x) for x in (F.col("fold") != fold, F.col("fold") == fold))
-        return fit_early(learner, others, own, trees, patience)
-
-    with ThreadPool(min(AT_ONCE, folds)) as pool:
-        models = pool.map(inheritable_thread_target(spark)(train), range(folds))
-
-    held_out, importance = [], []
-    scored, per_fold = unlabelled, []
-    for fold, fitted in enumerate(models):
-        mine = fitted.transform(labelled.filter(F.col("fold") == fold))
-        score = vector_to_array("probability")[1].alias("score")
-        held_out.append(mine.select(key, "label", "fold", score))
-        per_fold.append(f"score_{fold}")
-        made = vector_to_array("probability")[1].alias(per_fold[-1])
-        scored = fitted.transform(scored).select(key, "features", *per_fold[:-1], made)
-        weights = fitted.featureImportances.toArray()
-        importance += [(name, float(w), fold + 1) for name, w in zip(names, weights)]
 
+    def fitted() -> DataFrame:
+        models = boosting.boost(labelled, len(features), folds, rules)
+        return spark.createDataFrame(boosting.as_rows(models), boosting.TREES).coalesce(1)
+
+    if stages is None:
+        kept = materialise(fitted(), "trees")
+    else:
+        named = repr((tuple(content_fingerprint(ready)), key, target, tuple(features), folds, stratified, rules))
+        path = f"{stages}/folds-{hashlib.sha256(named.encode()).hexdigest()[:32]}"
+        complete = read_completion(spark, path) is not None
+        kept = load_stage(spark, path) if complete else write_stage(fitted(), path, "folds")
+    models = boosting.from_rows(kept.collect())  # at most ``folds`` times ``trees`` times twice ``leaves`` nodes
+
+    out_of_fold = boosting.scored(labelled.select(key, "label", "fold", "bins"), models, own=True)
+    unlabelled = binned.filter(F.col("label").isNull()).select(key, "bins")
+    importance = split_shares(models, features)
     table = spark.createDataFrame(importance, "feature string, importance double, fold int")
-    mean_score = scored.select(key, mean_of(per_fold).alias("score"))
-    return FoldResult(reduce(DataFrame.unionByName, held_out), mean_score, table)
-
-
-def stop_at(errors: Sequence[float], patience: int) -> tuple[int, bool]:
-    """Trees up to the least error, and whether ``patience`` trees behind it brought no gain."""
-    best = 0
-    for i, error in enumerate(errors):
-        if error < errors[best]:
-            best = i
-        elif i - best >= patience:
-            return best + 1, True
-    return best + 1, False
-
-
-def fit_early(
-    learner: GBTClassifier, rows: DataFrame, held_out: DataFrame, trees: int, patience: int
-) -> GBTClassificationModel:
-    """Fit on ``rows`` until ``held_out`` gains nothing; the trees up to the least error.
-
-    Spark ML cannot go on with a fitted model, so a fold that has not ended is
-    fitted anew with twice the trees, which costs at most as much again.
-    """
-    n = min(trees, patience + patience // 4 + 1)
-    while True:
-        fitted = learner.copy({learner.maxIter: n}).fit(rows)
-        best, ended = stop_at(fitted.evaluateEachIteration(held_out), patience)
-        if ended or n >= trees:
-            return first_trees(fitted, best)
-        n = min(trees, 2 * n)
-
-
-def first_trees(fitted: GBTClassificationModel, n: int) -> GBTClassificationModel:
-    """The same model with its first ``n`` trees only."""
-    java = fitted._java_obj
-    gateway = SparkContext._gateway
-    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
-    weights = gateway.new_array(gateway.jvm.double, n)
-    for i, (tree, weight) in enumerate(zip(fitted.trees[:n], fitted.treeWeights)):
-        trees[i], weights[i] = tree._java_obj, weight
-    kept = gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel(
-        java.uid(), trees, weights, java.numFeatures(), java.numClasses()
-    )
-    return GBTClassificationModel(kept)
+    return FoldResult(out_of_fold, boosting.scored(unlabelled, models, own=False), table, kept)
+
+
+def split_shares(models: Sequence[boosting.Model], features: Sequence[str]) -> list[tuple]:
+    """(feature, share of the model's splits, fold from 1); 0 for a model without splits."""
+    out = []
+    for model in models:
+        counts = [0] * len(features)
+        for tree in model.trees:
+            for feature in tree.feature:
+                if feature >= 0:
+                    counts[feature] += 1
+        total = max(sum(counts), 1)
+        out += [(name, n / total, model.fold + 1) for name, n in zip(features, counts, strict=True)]
+    return out
 
 
 def mean_of(columns: Sequence[str]) -> Column:

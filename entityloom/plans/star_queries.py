@@ -783,20 +783,16 @@ def bundle_compatibility(t):
 # --- model and stages -----------------------------------------------------------------------
 
 
-_folds: dict[tuple[str, str], model.FoldResult] = {}
-
-
 def _trained(t) -> model.FoldResult:
-    """Ten folds over the labelled documents, trained once per session and table."""
+    """Ten folds over the labelled documents; the models are a stage named by their data."""
     rows, languages = encode.one_hot(
         labelled_documents(t), {"lang": ("de", "en", "es", "fr")}, True
     )
-    place = (rows.sparkSession.sparkContext.applicationId, ",".join(sorted(rows.inputFiles())))
-    if place not in _folds:
-        rows = rows.withColumn("source_number", F.expr("try_cast(substring(source, 4) AS double)"))
-        features = ["n_chars", "source_number", *languages]
-        _folds[place] = model.train_folds(rows, "doc_id", "target", features, FOLDS)
-    return _folds[place]
+    rows = rows.withColumn("source_number", F.expr("try_cast(substring(source, 4) AS double)"))
+    features = ["n_chars", "source_number", *languages]
+    return model.train_folds(
+        rows, "doc_id", "target", features, FOLDS, stages=f"{shared_folder(rows.sparkSession)}/models"
+    )
 
 
 @query

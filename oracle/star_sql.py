@@ -768,7 +768,7 @@ ORACLE_SQL: dict[str, str] = {
         for name in ("orders", "events")
     ),
     "fold_importance_totals": """
-      SELECT (i + 1)::INT AS fold, 14::BIGINT AS features, 1.0::DOUBLE AS importance FROM range(10) AS t(i)""",
+      SELECT (i + 1)::INT AS fold, 7::BIGINT AS features, 1.0::DOUBLE AS importance FROM range(10) AS t(i)""",
     "mean_of_given_scores": "SELECT doc_id, ("
     + " + ".join(f"((n_chars * {i + 3}) % 101) / 128.0::DOUBLE" for i in range(10))
     + ") / 10.0::DOUBLE AS score FROM documents",

@@ -48,7 +48,7 @@ def test_run(spark, tmp_path):
     make_tables(tmp_path)
     tables = credit_run.read_tables(spark, str(tmp_path))
     assert credit_run.read_tables(spark, str(tmp_path), 5)["bureau"].count() == 5
-    made = credit_run.run(tables, str(tmp_path / "submission"), folds=2, trees=2, depth=2)
+    made = credit_run.run(tables, str(tmp_path / "submission"), folds=2, trees=2, depth=2, least_rows=5, step=1.0)
     # application; bureau 27 x 3 + shares; previous 30 x 3 + shares; POS; instalments; card 20 x 5 + count
     expected = 18 + (81 + 3 + 4) + (90 + 3) + (7 + 2 + 1) + (25 + 1) + (100 + 1)
     assert made.features.count() == 75 and len(made.features.columns) == expected
