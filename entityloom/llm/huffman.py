@@ -108,8 +108,8 @@ def ordered_ids(docs: DataFrame, tokenizer: str | None = None, end_id: int = END
     """Written ids of whole texts, range-sorted by ``doc_id``, with their place in their part.
 
     Parts follow the ascending order; rows without ``doc_id`` come first, rows
-    with the same one in the order of their texts, which also spreads them over
-    parts. The last row of a part has no place (``at`` -1): its ``ids`` are the
+    with the same one in the order of a hash of their texts, which also spreads
+    them over parts. Ids below 2^16 take two bytes each, others four. The last row of a part has no place (``at`` -1): its ``ids`` are the
     counts of the part's ids, as 64-bit integers by id.
     """
     path = tokenizer or default_tokenizer()
@@ -120,23 +120,35 @@ def ordered_ids(docs: DataFrame, tokenizer: str | None = None, end_id: int = END
         part, before = TaskContext.get().partitionId(), 0
         total = np.zeros(0, dtype="<i8")
         for batch in slices(batches):
-            raw = [x + end for x in encode(batch.column(1).to_pylist())]
+            raw = [x + end for x in encode(batch.column(2).to_pylist())]
             n = np.array([len(x) // 4 for x in raw], dtype=np.int64)
             ends = before + np.cumsum(n)
             before = int(ends[-1])
-            total = _added(total, np.bincount(as_ids(b"".join(raw))))
+            ids = as_ids(b"".join(raw))
+            total = _added(total, np.bincount(ids))
+            if ids.max() < 1 << 16:
+                short = ids.astype("<u2").tobytes()
+                cuts = 2 * np.concatenate([[0], np.cumsum(n)])
+                raw = [short[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
             yield _ids_batch(part, batch.column(0), ends - n, n, raw)
         yield _ids_batch(part, pa.nulls(1, pa.int64()), [-1], [0], [total.tobytes()])
 
+    text = F.coalesce("text", F.lit(""))
+    # Bounds of ranges are sampled from ids and hashes: texts may be long.
     source = docs.select(
-        F.col("doc_id").cast("long").alias("_doc"), F.coalesce("text", F.lit("")).alias("_text")
+        F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(text).alias("_hash"), text.alias("_text")
     )
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = source.repartitionByRange(parts, "_doc", "_text").sortWithinPartitions("_doc", "_text")
+    placed = source.repartitionByRange(parts, "_doc", "_hash").sortWithinPartitions("_doc", "_hash")
     schema = "part int, doc_id long, at long, n long, ids binary"
     return materialise(placed.mapInArrow(run, schema), "token-ids")
 
 
+def short_ids(raw: bytes, n: int) -> np.ndarray:
+    """``n`` ids of two or four bytes each."""
+    return np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * n else "<u4")
+
+
 def _added(total: np.ndarray, found: np.ndarray) -> np.ndarray:
     if len(found) > len(total):
         total, found = found.astype("<i8"), total
@@ -198,7 +210,7 @@ def write_ids(
 
         def block() -> pa.RecordBatch:
             part, _, at, _, _ = held[0]
-            joined = as_ids(b"".join(x[4] for x in held))
+            joined = short_ids(b"".join(x[4] for x in held), size)
             packed, offsets = codes.encode(joined)
             row = (part, starts[part] + at, [x[1] for x in held], [x[3] for x in held], size, packed, offsets)
             return pa.RecordBatch.from_arrays(
@@ -207,7 +219,9 @@ def write_ids(
 
         for batch in batches:
             for part, doc, at, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and (size >= BLOCK_IDS or held[0][0] != part or held[-1][2] + held[-1][3] != at):
+                follows = held and held[0][0] == part and held[-1][2] + held[-1][3] == at
+                same = held and len(held[-1][4]) * n == len(raw) * held[-1][3]  # bytes an id
+                if held and (size >= BLOCK_IDS or not follows or not same):
                     yield block()
                     held, size = [], 0
                 held.append((part, doc, at, n, raw))

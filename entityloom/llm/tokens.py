@@ -28,8 +28,8 @@ UNSURE = "\x1c\x1d\x1e\x1f"
 #: A word that is one piece to the library, which ends with a token of its own kind.
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 WORD_END = "</w>"
-#: Letters followed by marks (but no apostrophe): the library always cuts between them.
-LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+#: Marks behind letters (but no apostrophe): the library always cuts between them.
+MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
 
 
 def default_tokenizer(name: str = WORD_TOKENIZER) -> str:
@@ -59,22 +59,14 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [as_bytes(x.ids) for x in found]
 
-    def _ask_words(self, words: list[str]) -> list[bytes]:
-        """As ``_ask``; words of letters go as one text, which spares an answer for each."""
-        letters = [w for w in words if LETTERS.fullmatch(w)]
-        rest = [w for w in words if not LETTERS.fullmatch(w)]
-        found = dict(zip(rest, self._ask(rest), strict=True)) if rest else {}
-        if letters:
-            raw = self._ask([" ".join(letters)])[0]
-            ends = 4 * (np.flatnonzero(self.ends[as_ids(raw)]) + 1)
-            if len(ends) == len(letters):
-                cuts = [0, *ends.tolist()]
-                found.update(
-                    (w, raw[a:b]) for w, a, b in zip(letters, cuts[:-1], cuts[1:], strict=True)
-                )
-            else:
-                found.update(zip(letters, self._ask(letters), strict=True))
-        return [found[w] for w in words]
+    def _ask_letters(self, words: list[str]) -> list[bytes]:
+        """Words of letters go as one text, which spares an answer for each."""
+        raw = self._ask([" ".join(words)])[0]
+        ends = 4 * (np.flatnonzero(self.ends[as_ids(raw)]) + 1)
+        if len(ends) != len(words):
+            return self._ask(words)
+        cuts = [0, *ends.tolist()]
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def _learn(self, words: set[str]) -> None:
         """Have all ``words`` in memory; what was not met since the last change of generation goes."""
@@ -82,20 +74,28 @@ class WordEncoder:
         if len(self.memory) + 2 * len(missing) > self.memory_words // 2:
             self.earlier, self.memory, missing = self.memory, {}, words
         memory, earlier = self.memory, self.earlier
-        known = [w for w in missing if w in earlier]
-        memory.update((w, earlier[w]) for w in known)
-        missing = missing.difference(known)
-        pairs = {w: m.groups() for w in missing if (m := LETTERS_MARKS.fullmatch(w))}
-        plain = missing.difference(pairs)
-        for x in {x for pair in pairs.values() for x in pair}:
-            if x in earlier:
-                memory[x] = earlier[x]
-            elif x not in memory:
-                plain.add(x)
-        if plain:
-            asked = list(plain)
-            memory.update(zip(asked, self._ask_words(asked), strict=True))
-        memory.update((w, memory[a] + memory[b]) for w, (a, b) in pairs.items())
+        known = missing.intersection(earlier)
+        memory.update(zip(known, map(earlier.__getitem__, known)))  # noqa: B905 - of one length
+        letters: set[str] = set()
+        others: set[str] = set()
+        pairs = []
+        for w in missing.difference(known):
+            core = w.rstrip(MARKS)
+            if not core.isalpha() or not (core.isascii() or LETTERS.fullmatch(core)):
+                others.add(w)
+            elif len(core) == len(w):
+                letters.add(w)
+            else:
+                tail = w[len(core) :]
+                pairs.append((w, core, tail))
+                letters.add(core)
+                others.add(tail)
+        for asked, ask in ((letters, self._ask_letters), (others, self._ask)):
+            here = [w for w in asked if w not in memory]
+            if here:
+                memory.update(zip(here, ask(here)))  # noqa: B905 - of one length
+        for w, core, tail in pairs:
+            memory[w] = memory[core] + memory[tail]
 
     def encode_all(self, texts: Sequence[str]) -> list[bytes]:
         """One value per text; the texts of a batch ask for their new words together."""

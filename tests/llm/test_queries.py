@@ -95,3 +95,37 @@ def test_pipeline_over_an_empty_table(spark, tmp_path):
     table(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def words(seed, n=70):
+    return " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 5000, n))
+
+
+def test_unlike_texts_of_one_id_both_stay(spark):
+    a, b = words(1), words(2)
+    rows = [(7, a, "en"), (7, b, "en"), (7, a, "de"), (8, a, "en"), (None, a, "en"), (None, words(3), "en"), (5, b + " x", "en")]
+    kept = corpus_pipeline.drop_near_duplicates(spark, table(spark, rows), "").collect()
+    found = sorted((r.doc_id or -1, r.text) for r in kept)
+    linked = (simhash.simhash(b) ^ simhash.simhash(b + " x")).bit_count() <= 3
+    expected = [(7, a), (-1, words(3)), (5, b + " x")] + ([] if linked else [(7, b)])
+    assert found == sorted(expected)
+
+
+def test_stages_take_any_other_column_names(spark, tmp_path):
+    docs = table(spark, [(1, words(1), "en"), (2, words(1) + " and " + words(2), "en"), (3, None, None), (3, "", "en")])
+    for name in ("_removed", "_found_blocks", corpus_pipeline.ROW, "_language", "extra_0", "hash", "hashed", "row_hash"):
+        docs = docs.withColumn(name, docs["doc_id"])
+    spark.createDataFrame([(1, "one two")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == names
+    assert {r["_removed"] for r in docs.collect()} == {1, 2}
+
+
+def test_the_identified_language_is_kept(spark):
+    english, german = words(1).replace("w", "the "), words(2).replace("w", "der ü ")
+    rows = [(i, f"{english} {i}", "en") for i in range(40)] + [(100 + i, f"{german} {i}", "de") for i in range(40)]
+    rows += [(500, english, None), (501, german, "en"), (502, "12 34", "en")]
+    found = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, table(spark, rows), "").collect()}
+    assert (found[500], found[501]) == ("en", "de") and 502 not in found
