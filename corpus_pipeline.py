@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,35 +14,75 @@ from entityloom.llm.workers import share_path
 from entityloom.session import shared_folder
 
 ROW = "_pipeline_row"
+#: Columns that stages read; all others only pass through.
+OWN = ("doc_id", "text", "lang", "n_chars")
+#: Languages whose documents stay; empty: all that the samples teach.
+WANTED: tuple[str, ...] = ()
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+
+def _passing_through(stage: Stage) -> Stage:
+    """Other columns get neutral names within the stage, so that none clashes with its own."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        plain = docs.toDF(*(c if c in OWN else f"extra_{i}" for i, c in enumerate(names)))
+        return stage(spark, plain, sf_dir).toDF(*names)
+
+    return run
+
+
+@_passing_through
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without a letter."""
+    """Names the language of every document in ``lang``; drops what has none or an unwanted one.
+
+    Without a language are null texts and texts without a letter, at any length
+    and whatever their id; no text goes for a low score. ``WANTED`` is empty by
+    default, so every learned language stays. A table without a labelled text
+    keeps its ``lang`` and loses only texts without a letter.
+    """
     share_path(spark)
     samples = language.learn(docs)
-    if not samples:  # nothing to learn from: only the rule on letters holds
+    if not samples:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    return docs.filter(language.identify(F.col("text"), samples)["lang"] != language.UNKNOWN)
+    found = docs.withColumn("_language", language.identify(F.col("text"), samples)["lang"])
+    kept = F.col("_language").isin(*WANTED) if WANTED else F.col("_language") != language.UNKNOWN
+    return found.filter(kept).withColumn("lang", F.col("_language")).select(*docs.columns)
 
 
+@_passing_through
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash component: that with the smallest id.
+    """Keeps one document of each SimHash component: that with the smallest id, then text hash.
 
-    Rows that share an id count as one document. A row without id stands behind
-    all that have one, by the hash of its text.
+    A row is its id and text: unlike texts under one id are documents of their
+    own, equal ones are one. Rows without id stand behind all that have one.
+    Texts without words, null ones included, are one component.
     """
     share_path(spark)
-    missing = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
-    rows = docs.withColumn(ROW, F.coalesce(F.col("doc_id").cast("long"), missing))
+    key = F.struct(
+        F.col("doc_id").isNull().alias("nameless"),
+        F.col("doc_id").cast("long").alias("id"),
+        F.xxhash64("text").alias("first"),
+        F.xxhash64(F.reverse("text")).alias("second"),
+    )
+    rows = docs.withColumn(ROW, key)
     found = simhash.near_duplicates(rows, row=ROW)
-    first = found.filter(F.col(ROW) == F.col("component")).select(ROW).distinct()
-    return rows.join(first, ROW, "left_semi").dropDuplicates([ROW]).select(*docs.columns)
+    least = found.filter(F.col(ROW).eqNullSafe(F.col("component"))).select(F.xxhash64(ROW).alias("hash"), ROW)
+    chosen = least.distinct().select("hash", F.col(ROW).alias("chosen"))
+    same = (F.col("hashed") == F.col("hash")) & F.col(ROW).eqNullSafe(F.col("chosen"))
+    hashed = rows.withColumn("hashed", F.xxhash64(ROW))
+    return hashed.join(chosen, same, "left_semi").dropDuplicates([ROW]).select(*docs.columns)
 
 
+@_passing_through
 def drop_duplicate_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated passages out of the texts; a document of which nothing is left goes.
 
-    Texts without a repeated passage stay as they are.
+    Texts without a repeated passage stay as they are, null and empty ones too;
+    very long texts are cut word by word like others. Rows without id come
+    behind all others, rows with one id share its place.
     """
     share_path(spark)
     found = substrings.with_removal(docs, "_removed")
@@ -54,14 +96,22 @@ def drop_duplicate_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return kept.select(*(changed[c].alias(c) if c in changed else c for c in docs.columns))
 
 
+@_passing_through
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold ten consecutive words of a benchmark item."""
+    """Drops documents that hold ten consecutive words of a benchmark item.
+
+    Ids do not matter, missing and repeated ones included; null texts stay.
+    """
     share_path(spark)
     return winnowing.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: every remaining document in windows of 2,048 tokens."""
+    """The last stage: every remaining document in windows of 2,048 tokens.
+
+    Rows with one id, or none, are packed each for itself; a null text gives the
+    end id alone, a very long one fills windows of its own. Other columns go.
+    """
     share_path(spark)
     return packing.pack(docs)
 
