@@ -17,9 +17,9 @@ def masked_moments(df: DataFrame, key: str, value: Column, mask: Column, scale:
         sums = {"count": "sum(_m)", "sum": "sum(_m * _x)", "sum_squares": "sum(_m * _x * _x)"}
         return rows.groupBy(key).agg(*[F.expr(e).alias(n) for n, e in sums.items()])
     rows = df.select(key, F.when(mask == 1.0, fx.to_units(value, scale)).alias("_u"))
-    parts = {"n": "count(_u)", "s": f"coalesce({fx.exact_sum('_u')}, 0)", **fx.square_sums("_u")}
+    parts = {"n": "count(_u)", "s": f"coalesce({fx.exact_sum('_u')}, 0.0D)", **fx.square_sums("_u", *fx.limbs("_u"))}
     sums = rows.groupBy(key).agg(*[F.expr(e).alias(f"_{n}") for n, e in parts.items()])
-    squares = fx.combined_squares("_hi", "_lo", "_ssw")
+    squares = fx.combined_squares("_hi", "_lo", "_ssw", "_ssd")
     return sums.selectExpr(
         key,
         "cast(_n AS double) AS count",
@@ -54,9 +54,10 @@ def chunked_dot_product(
     chunk = F.floor(F.col(position) / F.lit(size)).alias("chunk")
     units = fx.to_units(left.cast("double") * right.cast("double"), scale)
     products = cells.select(key, chunk, units.alias("_u"))
-    partial = products.groupBy(key, "chunk").agg(F.expr(fx.exact_sum("_u")).alias("_partial"))
+    partial = products.groupBy(key, "chunk").agg(*[F.expr(e).alias(n) for n, e in fx.sums(*fx.limbs("_u")).items()])
+    whole = fx.total("sum(s)", "sum(wh)")
     return partial.groupBy(key).agg(
-        F.count(F.lit(1)).alias("chunks"), F.expr(fx.from_units("sum(_partial)", scale)).alias("dot")
+        F.count(F.lit(1)).alias("chunks"), F.expr(fx.from_units(f"({whole})", scale)).alias("dot")
     )
 
 

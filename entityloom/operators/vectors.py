@@ -3,7 +3,8 @@
 A vector is cut into chunks of at most ``size`` cells, one row per slot and
 chunk, so that no row holds a whole large group. Only cells that are present
 are stored: the zeros up to the width follow from the one row of ``shape``, so
-one hot key makes no other slot's vector larger.
+one hot key makes no other slot's vector larger. Moments and inner products are
+taken from the stored cells alone.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, functions as F
 
 from entityloom.functions import scalars
+from entityloom.operators.moments import dot_product, masked_moments
 from entityloom.operators.ordering import largest_group, slot_positions
 from entityloom.plans.compile import feature_value
 from entityloom.plans.spec import Component, Feature
@@ -80,7 +82,7 @@ def pack_vectors(
 ) -> DataFrame:
     """``(index, chunk, <values>, mask)`` with one array of present cells per value column.
 
-    ``rows`` are the present rows of the history (missing ones compacted
+    A slot without history has one row, chunk 0, with empty arrays. ``rows`` are the present rows of the history (missing ones compacted
     before); ``mask`` is 1.0 for a present cell unless ``values`` names a
     ``mask`` column of its own. ``order`` must be unique inside a key.
     """
@@ -92,9 +94,46 @@ def pack_vectors(
         F.struct("_slot", *[F.col(n).cast("double").alias(n) for n in names]).alias("_cell"),
     )
     packed = placed.groupBy(key, "chunk").agg(F.array_sort(F.collect_list("_cell")).alias("_cells"))
-    return slots.select(index, key).join(packed, key).select(
-        index, "chunk", *[F.col("_cells").getField(n).alias(n) for n in names]
-    )
+    stored = [F.coalesce(F.col("_cells").getField(n), F.array().cast("array<double>")).alias(n) for n in names]
+    first = F.coalesce("chunk", F.lit(0)).alias("chunk")
+    return slots.select(index, key).join(packed, key, "left").select(index, first, *stored)
+
+
+def padded(packed: DataFrame, names: Sequence[str], width: int, size: int = CHUNK_CELLS) -> DataFrame:
+    """The stored chunks with their zeros written out, up to ``size`` cells or the end of the vector.
+
+    Chunks behind a slot's last cell hold nothing but zeros and are not made.
+    """
+    cells = F.least(F.lit(size), F.lit(width) - F.col("chunk") * F.lit(size))
+    filled = {n: F.concat(n, F.array_repeat(F.lit(0.0), (cells - F.size(n)).cast("int"))) for n in names}
+    return packed.withColumns(filled)
+
+
+def packed_cells(packed: DataFrame, names: Sequence[str], index: str = "app_index") -> DataFrame:
+    """One row per present cell; a slot without one has a row of missing values."""
+    return packed.select(index, F.inline_outer(F.arrays_zip(*names)))
+
+
+def packed_moments(
+    packed: DataFrame, value: str, scale: int | None = None, index: str = "app_index", right: str | None = None
+) -> DataFrame:
+    """``(index, count, sum, sum_squares)`` of every slot's vector under its mask, ``right`` taken off if given.
+
+    Zeros of the padding have mask 0 and add nothing, so only stored cells are read.
+    """
+    names = [value, "mask", *([right] if right else [])]
+    cells = packed_cells(packed, names, index)
+    values = F.col(value) - F.col(right) if right else F.col(value)
+    found = masked_moments(cells, index, values, F.col("mask"), scale)
+    return found.na.fill(0.0, ["count", "sum", "sum_squares"])
+
+
+def packed_dot(
+    packed: DataFrame, left: str, right: str, scale: int | None = None, index: str = "app_index"
+) -> DataFrame:
+    """``(index, dot)``: the inner product of two vectors of every slot, 0 without history."""
+    cells = packed_cells(packed, [left, right], index)
+    return dot_product(cells, index, F.col(left), F.col(right), scale).na.fill(0.0, ["dot"])
 
 
 def manifest(packed: DataFrame, names: Sequence[str], shape_: DataFrame) -> DataFrame:

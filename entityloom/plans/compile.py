@@ -19,7 +19,7 @@ Aggregates and outputs are SQL text over generated column names.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -28,9 +28,11 @@ from entityloom.functions import fixedpoint as fx, scalars
 from entityloom.plans.spec import Feature, HistoryFunction
 from entityloom.sources.readers import require_columns
 
-WHOLE_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-MERGE = {"min": "min", "max": "max"}  # every other statistic merges by addition
+SMALL_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType)
+WHOLE_NUMBERS = (*SMALL_NUMBERS, T.LongType)
+MERGE = {"min": "min", "max": "max", "ssw": "try_sum"}  # every other statistic merges by addition
 COUNTS = ("n", "size", "hits")
+WIDE_PARTS = ("wh", "ssw", "ssd")  # of units of more than 31 bits
 # Spark leaves generated code for rows wider than 100 fields; beyond
 # the second width merging per branch value measured faster than conditionals.
 MAX_BUFFERS = 95
@@ -74,11 +76,16 @@ def feature_value(df: DataFrame, feature: Feature) -> Column:
     return scalars.positive_difference(*values, missing=missing)
 
 
+def _is_of(df: DataFrame, feature: Feature, types: tuple) -> bool:
+    """Whether a feature is a column of one of the types as it stands."""
+    same = feature.transform == "identity" and feature.scale == 0
+    return same and isinstance(df.schema[feature.columns[0]].dataType, types)
+
+
 def feature_units(df: DataFrame, feature: Feature) -> Column:
-    whole = feature.transform == "identity" and isinstance(
-        df.schema[feature.columns[0]].dataType, WHOLE_NUMBERS
-    )
-    if whole and feature.scale == 0:
+    if _is_of(df, feature, SMALL_NUMBERS):
+        return column(feature.columns[0]).cast("int")
+    if _is_of(df, feature, WHOLE_NUMBERS):
         return column(feature.columns[0]).cast("bigint")
     return fx.to_units(feature_value(df, feature), feature.scale)
 
@@ -90,14 +97,24 @@ class _Plan:
         self.df = df.filter(column(key).isNotNull())
         self.key = key
         self.rows: dict[tuple, tuple[str, Column]] = {}
+        self.limbs: dict[str, str] = {}  # text over row columns -> name
         self.base: dict[str, tuple[str, str]] = {}  # aggregate text -> name, kind
         self.wanted: dict[tuple[str, Branch], str] = {}  # base name, branch -> name
         self.distinct: dict[str, str] = {}  # row column -> name
+        # Texts that are used repeatedly -> name: over the statistics, and over these and the statistics.
+        self.derived: tuple[dict[str, str], dict[str, str]] = ({}, {})
         self.branches = sorted({c.branch for fn in functions for c in fn.components if c.branch})
         features = [f for fn in functions for c in fn.components for f in c.features]
         mergeable = all(f.scale is not None or "var" not in f.operations for f in features)
         one_column = len({name for name, _ in self.branches}) == 1
-        self.two_levels = one_column and mergeable and _conditional_width(functions) > MAX_CONDITIONAL_BUFFERS
+        width = _conditional_width(functions, self.kind)
+        self.two_levels = one_column and mergeable and width > MAX_CONDITIONAL_BUFFERS
+
+    def kind(self, feature: Feature) -> str:
+        """Type of the units of an exact feature."""
+        if _is_of(self.df, feature, SMALL_NUMBERS):
+            return "int"
+        return "long" if _is_of(self.df, feature, WHOLE_NUMBERS) else "double"
 
     def row(self, signature: tuple, make) -> str:
         if signature not in self.rows:
@@ -118,6 +135,10 @@ class _Plan:
         signature = (feature.transform, feature.columns, feature.scale)
         return self._within(None if self.two_levels else branch, signature, make)
 
+    def limb(self, text: str) -> str:
+        """Row column made from other row columns, once for all aggregates that read it."""
+        return text if text == "NULL" else self.limbs.setdefault(text, f"l{len(self.limbs)}")
+
     def mark(self) -> str:
         """Row column with the branch value, missing outside all branches."""
         name = self.branches[0][0]
@@ -131,6 +152,10 @@ class _Plan:
             return base
         return self.wanted.setdefault((base, branch), f"w{len(self.wanted)}")
 
+    def derive(self, text: str, level: int) -> str:
+        """Name of a column made once per key, behind the grouping."""
+        return self.derived[level].setdefault(text, f"x{level}_{len(self.derived[level])}")
+
     def size(self, branch: Branch) -> str:
         if branch is None or self.two_levels:
             return self.aggregate("size", "count(1)", branch)
@@ -151,9 +176,12 @@ class _Plan:
         if self.two_levels:
             self.mark()
         rows = self.df.select(column(self.key).alias("k"), *[c.alias(n) for n, c in self.rows.values()])
-        parts = [self._aggregated(rows, part) for part in self._parts()]
+        split = rows.selectExpr("*", *[f"{text} AS {name}" for text, name in self.limbs.items()])
+        parts = [self._aggregated(split, part) for part in self._parts()]
         parts += [_group(rows, ["k"], {name: f"count(DISTINCT {of})"}) for of, name in self.distinct.items()]
         joined = reduce(lambda left, right: left.join(right, "k"), parts)
+        for texts in self.derived:
+            joined = joined.selectExpr("*", *[f"{text} AS {name}" for text, name in texts.items()])
         return joined.withColumnRenamed("k", self.key)
 
     def _parts(self) -> list[dict[str, str]]:
@@ -191,13 +219,13 @@ class _Plan:
         return merged
 
 
-def _conditional_width(functions: Sequence[HistoryFunction]) -> int:
+def _conditional_width(functions: Sequence[HistoryFunction], kind_of: Callable[[Feature], str]) -> int:
     """Buffers of a single grouping with one conditional aggregate per branch."""
     needs = {
         "count": "n",
-        "sum": "s sw",
-        "mean": "n s sw",
-        "var": "n s sw hi lo ssw",
+        "sum": "s wh",
+        "mean": "n s wh",
+        "var": "n s wh hi lo ssw ssd",
         "min": "min",
         "max": "max",
         "size": "size",
@@ -210,6 +238,7 @@ def _conditional_width(functions: Sequence[HistoryFunction]) -> int:
         for f in c.features
         for op in f.operations
         for kind in needs[op].split()
+        if not (kind in WIDE_PARTS and kind_of(f) == "int")
     }
     hits = sum(len(share.outputs()) for function in functions for share in function.shares)
     return len(buffers) + hits + len({c.branch for fn in functions for c in fn.components})
@@ -221,17 +250,31 @@ def _group(rows: DataFrame, keys: Sequence[str], aggregates: Mapping[str, str])
     return rows.sparkSession.sql(f"SELECT {items} FROM {{rows}} GROUP BY {', '.join(keys)}", rows=rows)
 
 
+def _parts(plan: _Plan, feature: Feature, branch: Branch, squares: bool) -> tuple[str, ...]:
+    """Names of the parts of an exact sum or sum of squares."""
+    units = plan.value(feature, branch)
+    limbs = [plan.limb(text) for text in fx.limbs(units, plan.kind(feature))]
+    made = fx.square_sums(units, *limbs) if squares else fx.sums(*limbs)
+    return tuple(plan.aggregate(part, text, branch) for part, text in made.items())
+
+
+def _exact(plan: _Plan, feature: Feature, branch: Branch, squares: bool) -> tuple[str, str]:
+    """Columns with the exact sum, or sum of squares, and with the same as a double."""
+    parts = _parts(plan, feature, branch, squares)
+    exact = plan.derive(fx.exact_squares(*parts) if squares else fx.exact_total(*parts), 0)
+    whole = fx.combined_squares if squares else fx.total
+    return exact, plan.derive(whole(*parts, exact=exact), 1)
+
+
 def _statistic(plan: _Plan, feature: Feature, kind: str, branch: Branch) -> str:
     """Name or text of one statistic: n, s, ss, min, max, var."""
     of = plan.value(feature, branch)
     if kind == "ss":
         if feature.scale is None:
             return plan.aggregate("ss", f"sum({of} * {of})", branch)
-        parts = fx.square_sums(of)
-        return fx.combined_squares(*[plan.aggregate(p, text, branch) for p, text in parts.items()])
+        return _exact(plan, feature, branch, True)[1]
     if kind == "s" and feature.scale is not None:
-        parts = fx.sums(of)
-        return f"({fx.combined_sum(*[plan.aggregate(p, text, branch) for p, text in parts.items()])})"
+        return _exact(plan, feature, branch, False)[1]
     name = {"n": "count", "s": "sum", "min": "min", "max": "max", "var": "var_samp"}[kind]
     return plan.aggregate(kind, f"{name}({of})", branch)
 
@@ -256,7 +299,9 @@ def _operation(plan: _Plan, feature: Feature, operation: str, branch: Branch) ->
     if operation == "mean":
         return fx.mean(get("n"), get("s"), feature.scale or 0)
     if exact:
-        return fx.sample_variance(get("n"), get("s"), get("ss"), feature.scale)
+        (whole, total), (squares, rounded) = (_exact(plan, feature, branch, x) for x in (False, True))
+        doubles = None if plan.kind(feature) == "int" else (total, rounded)
+        return fx.sample_variance(get("n"), whole, squares, doubles, feature.scale)
     return get("var")
 
 
@@ -342,29 +387,55 @@ def long_features(
     and with ``present`` a 0/1 column of that name: does any feature of the
     slot have a value in the history?
     """
-    plan = _plan(df, [function])
-    texts = dict(_outputs(plan, function, "zero"))
-    additive = set(function.additive_columns())
-    entries = []
-    for c, f, op, name in function.outputs():
-        value = f"cast({texts[name]} AS double)"
-        value = f"coalesce({value}, 0.0D)" if name in additive else value
-        entries.append([_text(c.id), _text(c.title), _text(f.name), _text(op), value])
-    keep = [index]
+    long = _long(entity, df, [function], index, present or "_present").drop("function")
+    return long if present else long.drop("_present")
+
+
+def bundle_features(
+    entity: DataFrame,
+    histories: Mapping[str, DataFrame],
+    functions: Sequence[HistoryFunction],
+    index: str = "app_index",
+    present: str = "source_present",
+) -> DataFrame:
+    """The long features of several functions in one table, with a ``function`` column.
+
+    Functions over one history share its scan, its grouping and one join to the
+    slots; ``histories`` are named by the functions' ``table``.
+    """
+    by_table: dict[str, list[HistoryFunction]] = {}
+    for function in functions:
+        by_table.setdefault(function.table, []).append(function)
+    parts = [_long(entity, histories[table], group, index, present) for table, group in by_table.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _long(
+    entity: DataFrame, df: DataFrame, functions: Sequence[HistoryFunction], index: str, present: str
+) -> DataFrame:
+    plan = _plan(df, functions)
+    entries: list[list[str]] = []
     marks = {}
-    if present:
-        keep.append(present)
+    for number, function in enumerate(functions):
+        texts = dict(_outputs(plan, function, "zero"))
+        additive = set(function.additive_columns())
         counts = [
             plan.size(c.branch) if f.transform == "rows" else _statistic(plan, f, "n", c.branch)
             for c in function.components
             for f in c.features
         ]
-        marks[present] = F.expr(f"cast(coalesce({' > 0 OR '.join(counts)} > 0, false) AS int)")
-    slots = entity.select(index, function.key)
-    joined = slots.join(plan.grouped(), function.key, "left").withColumns(marks)
-    names = ["component_id", "component", "feature", "operation", "value"]
-    return _inline(joined, keep, names, entries).select(
-        "component_id", "component", index, "feature", "operation", "value", *keep[1:]
+        mark = f"_present{number}"
+        marks[mark] = F.expr(f"cast(coalesce({' > 0 OR '.join(counts)} > 0, false) AS int)")
+        for c, f, op, name in function.outputs():
+            value = f"cast({texts[name]} AS double)"
+            value = f"coalesce({value}, 0.0D)" if name in additive else value
+            labels = [_text(x) for x in (function.name, c.id, c.title, f.name, op)]
+            entries.append([*labels, value, mark])
+    slots = entity.select(index, plan.key)
+    joined = slots.join(plan.grouped(), plan.key, "left").withColumns(marks)
+    names = ["function", "component_id", "component", "feature", "operation", "value", present]
+    return _inline(joined, [index], names, entries).select(
+        "function", "component_id", "component", index, "feature", "operation", "value", present
     )
 
 

@@ -14,6 +14,7 @@ from entityloom.plans import star
 from entityloom.plans.compile import (
     aggregate_history,
     attach,
+    bundle_features,
     feature_columns,
     long_features,
     missing_counts,
@@ -23,7 +24,7 @@ from entityloom.plans.spec import CategoryShare, Component, HistoryFunction, fin
 from entityloom.plans.star import KEY, f, rows_as
 from entityloom.sources import sinks
 from entityloom.sources.readers import append, first_rows, read_csv, read_csv_text, require_columns, split_labelled
-from entityloom.session import shared_folder
+from entityloom.session import materialise, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -519,16 +520,12 @@ def alignment_counts(t):
 
 @query
 def bundle_join(t):
-    """All functions' long features in one table, tagged with function and presence."""
-    layout = _layout(t)
-    parts = []
-    for function in star.DECLARED:
-        long = long_features(layout, star.HISTORY[function.table](t), function, present="source_present")
-        parts.append(long.select(F.lit(function.name).alias("function"), "*"))
-    bundle = parts[0]
-    for part in parts[1:]:
-        bundle = bundle.unionByName(part)
-    return bundle
+    """All functions' long features in one table, tagged with function and presence.
+
+    The slots are written once; each history table is grouped and joined once.
+    """
+    histories = {name: rows(t) for name, rows in star.HISTORY.items()}
+    return bundle_features(materialise(_layout(t), "layout"), histories, star.DECLARED)
 
 
 # --- ordering, folds, ranking ---------------------------------------------------------------
@@ -676,6 +673,19 @@ def flatten_vectors(t):
     return vectors.flatten_vectors(packed, "value", width, size=CHUNK)
 
 
+@query
+def packed_moments(t):
+    """Count, sum and sum of squares under the mask, from stored chunks; every slot has a row."""
+    packed, _ = _packed(t, CHUNK)
+    return vectors.packed_moments(packed, "value", 2)
+
+
+@query
+def packed_dot(t):
+    packed, _ = _packed(t, CHUNK)
+    return vectors.packed_dot(packed, "value", "hour", 2)
+
+
 @query
 def vector_manifest(t):
     """Element and present counts of every packed vector."""

@@ -685,7 +685,17 @@ ORACLE_SQL: dict[str, str] = {
       WITH {CELLS}
       SELECT app_index, (cell // {CHUNK})::INT AS chunk, count(*)::INT AS cells,
              {cents("value")}, {cents("hour")}, {cents("mask")}
-      FROM cells GROUP BY app_index, cell // {CHUNK}""",
+      FROM cells GROUP BY app_index, cell // {CHUNK}
+      UNION ALL SELECT app_index, 0, 0, '', '', '' FROM layout WHERE app_index NOT IN (SELECT app_index FROM cells)""",
+    "packed_moments": f"""
+      WITH {CELLS}, m AS (SELECT app_index, {units("value", 2)}::HUGEINT AS u FROM cells WHERE mask = 1)
+      SELECT layout.app_index, count(u)::DOUBLE AS count, coalesce(sum(u), 0)::DOUBLE / 100.0 AS sum,
+             coalesce(sum(u * u), 0)::DOUBLE / 10000.0 AS sum_squares
+      FROM layout LEFT JOIN m USING (app_index) GROUP BY layout.app_index""",
+    "packed_dot": f"""
+      WITH {CELLS}, m AS (SELECT app_index, {units("value * hour::DOUBLE", 2)} AS u FROM cells)
+      SELECT layout.app_index, coalesce(sum(u), 0)::DOUBLE / 100.0 AS dot
+      FROM layout LEFT JOIN m USING (app_index) GROUP BY layout.app_index""",
     "pack_difference_vectors": f"""
       WITH {HISTORY}, {LAYOUT}, placed AS (
         SELECT c_custkey, amount_due AS value, amount_paid AS right_side, (l_returnflag = 'R')::INT AS mask,
@@ -697,7 +707,8 @@ ORACLE_SQL: dict[str, str] = {
         FROM layout JOIN placed ON placed.c_custkey = layout.c_custkey)
       SELECT app_index, (cell // {CHUNK})::INT AS chunk, {cents("value")},
              {cents("right_side").replace("right_side_cents", "right_cents")}, {cents("mask")}
-      FROM cells GROUP BY app_index, cell // {CHUNK}""",
+      FROM cells GROUP BY app_index, cell // {CHUNK}
+      UNION ALL SELECT app_index, 0, '', '', '' FROM layout WHERE app_index NOT IN (SELECT app_index FROM cells)""",
     "pack_width": """
       WITH g AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), c AS (SELECT count(*) AS slots FROM customer)
       SELECT slots, max(n) AS width, sum(n)::BIGINT AS matched, (slots * max(n) - sum(n))::BIGINT AS padding

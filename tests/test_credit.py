@@ -185,7 +185,9 @@ def test_feature_vectors(slots, bureau, installments):
         wanted = next(f for f in part.features if f.name == feature)
         made = vectors.feature_rows(history, credit.KEY, part, wanted, order)
         names = [c for c in made.columns if c in ("value", "right", "mask")]
-        return rows(vectors.pack_vectors(slots, made, credit.KEY, names, order, size=size), "app_index")
+        stored = vectors.pack_vectors(slots, made, credit.KEY, names, order, size=size)
+        # Only present cells are stored; the zeros up to the width are written out to be seen.
+        return rows(vectors.padded(stored, names, vectors.pack_width(made, credit.KEY), size), "app_index")
 
     first, _, third = packed(installments, "installments", "I03", "PAYMENT_DIFF", ["DAYS_INSTALMENT"])
     assert (first["value"], first["right"], first["mask"]) == ([100.0, 50.0], [80.0, 60.0], [1.0, 1.0])

@@ -209,6 +209,31 @@ def test_pack_stores_present_cells_only(spark, skewed, size):
     assert flat == expected
 
 
+@pytest.mark.parametrize("size", [3, 8192])
+def test_sparse_chunks_equal_dense_vectors(spark, size):
+    slots = spark.createDataFrame([(0, 101), (1, 102), (2, 103), (3, None)], "app_index int, k int")
+    lines = [(101, i, 1.5 * i, 2.0 * i - 3, float(i % 2)) for i in range(8)] + [(102, 0, -4.25, 2.0, 1.0)]
+    history = spark.createDataFrame([*lines, (999, 0, 1.0, 1.0, 1.0)], "k int, o int, v double, w double, mask double")
+    packed = vectors.pack_vectors(slots, history, "k", ["v", "w", "mask"], ["o"], size=size)
+    assert packed.filter("app_index >= 2 AND chunk = 0 AND size(v) = 0").count() == 2
+    width = 8
+    dense = {i: ([0.0] * width, [0.0] * width, [0.0] * width) for i in range(4)}
+    for r in rows(vectors.padded(packed, ["v", "w", "mask"], width, size)):
+        assert len(r["v"]) == len(r["mask"]) == min(size, width - r["chunk"] * size)
+        for column, name in zip(dense[r["app_index"]], ("v", "w", "mask"), strict=True):
+            column[r["chunk"] * size : (r["chunk"] + 1) * size] = r[name]
+    for scale in (None, 3):
+        plain = {r["app_index"]: r for r in rows(vectors.packed_moments(packed, "v", scale))}
+        gap = {r["app_index"]: r for r in rows(vectors.packed_moments(packed, "v", scale, right="w"))}
+        dots = {r["app_index"]: r["dot"] for r in rows(vectors.packed_dot(packed, "v", "w", scale))}
+        for i, (v, w, m) in dense.items():
+            assert dots[i] == sum(a * b for a, b in zip(v, w, strict=True))
+            for found, xs in ((plain[i], v), (gap[i], [a - b for a, b in zip(v, w, strict=True)])):
+                kept = [x for x, y in zip(xs, m, strict=True) if y]
+                assert (found["count"], found["sum"]) == (len(kept), sum(kept))
+                assert found["sum_squares"] == sum(x * x for x in kept)
+
+
 # --- checks -----------------------------------------------------------------------------------
 
 
