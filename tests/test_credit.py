@@ -127,7 +127,7 @@ def test_thirteen_components_and_their_outputs():
 
 
 def test_unknown_function_is_refused():
-    with pytest.raises(ValueError, match="unknown function"):
+    with pytest.raises(ValueError, match="not among the declared functions"):
         find_function(credit.DECLARED_FUNCTIONS, "nothing")
     assert find_function(credit.DECLARED_FUNCTIONS, "BUREAU").name == "bureau"
 
