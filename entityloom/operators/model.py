@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from entityloom.operators import boosting
 from entityloom.operators.ordering import kfold, stratified_kfold
 from entityloom.operators.stage import content_fingerprint, load_stage, read_completion, write_stage
-from entityloom.session import materialise
+from entityloom.session import materialise, share_package
 
 # The original learner's parameters, and its library's default of
 # the least rows in a leaf. It names a share of rows per tree as well, but never
@@ -85,6 +85,7 @@ def train_folds(
     content of the table and the parameters; the same training is then loaded.
     """
     spark = df.sparkSession
+    share_package(spark)
     rules = boosting.Rules(
         trees, leaves, depth, step, patience, feature_share, l1, l2, least_gain, least_weight, least_rows, seed
     )

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = str(Path(__file__).resolve().parents[1])
+
 _own_folders: set[str] = set()
 
 
@@ -61,6 +65,18 @@ def remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers find this package where it is not installed.
+
+    On a cluster it is installed or sent along; the extra entry of the workers'
+    path is then a folder that does not exist there, which Python ignores.
+    """
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([ROOT, *(p for p in known if p)])
+
+
 def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
