@@ -61,19 +61,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Texts without words, null ones included, are one component.
     """
     share_path(spark)
-    key = F.struct(
+    key = F.struct(  # nothing in it is missing, so keys compare by plain equality
         F.col("doc_id").isNull().alias("nameless"),
-        F.col("doc_id").cast("long").alias("id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
         F.xxhash64("text").alias("first"),
         F.xxhash64(F.reverse("text")).alias("second"),
     )
     rows = docs.withColumn(ROW, key)
     found = simhash.near_duplicates(rows, row=ROW)
-    least = found.filter(F.col(ROW).eqNullSafe(F.col("component"))).select(F.xxhash64(ROW).alias("hash"), ROW)
-    chosen = least.distinct().select("hash", F.col(ROW).alias("chosen"))
-    same = (F.col("hashed") == F.col("hash")) & F.col(ROW).eqNullSafe(F.col("chosen"))
-    hashed = rows.withColumn("hashed", F.xxhash64(ROW))
-    return hashed.join(chosen, same, "left_semi").dropDuplicates([ROW]).select(*docs.columns)
+    first = found.filter(F.col(ROW) == F.col("component")).select(ROW).distinct()
+    return rows.join(first, ROW, "left_semi").dropDuplicates([ROW]).select(*docs.columns)
 
 
 @_passing_through
