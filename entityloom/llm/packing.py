@@ -32,7 +32,7 @@ BATCH_WINDOWS = 64
 FILL = 0.995
 END_ID = 1
 #: Rows sent back at once.
-ROWS = 4096
+ROWS = 512
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
     "sequence_id long, offset long, sequence_length long, capacity long"
