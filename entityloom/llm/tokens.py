@@ -3,8 +3,10 @@
 For the vocabulary ``word_bpe_49k.json`` no token spans white space and no rule
 of its normaliser looks across it, so a text's ids are those of its words in
 turn. Words repeat, so each task asks the library once per word it has not met
-lately. A text with control characters that Python but not the library takes
-for white space goes to the library whole.
+lately. A text of ASCII and Latin letters is cut further, into the pieces that
+the library cuts it into: words with and without a comma behind them are then
+one. A text with control characters that Python but not the library takes for
+white space goes to the library whole.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import re
 import sys
 from array import array
 from collections.abc import Sequence
+from functools import partial
 
 import numpy as np
 
@@ -28,6 +31,10 @@ UNSURE = "\x1c\x1d\x1e\x1f"
 #: A word that is one piece to the library, which ends with a token of its own kind.
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 WORD_END = "</w>"
+#: Texts whose lower case and pieces are beyond doubt: ASCII and composed Latin letters.
+SIMPLE = re.compile(r"[\x00-\x7FÀ-ÖØ-öø-ÿ]*")
+#: Fixed values, the vocabulary's own rule of cutting, for lower-case texts of that kind.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+", re.ASCII)
 #: Marks behind letters (but no apostrophe): the library always cuts between them.
 MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
 
@@ -38,16 +45,30 @@ def default_tokenizer(name: str = WORD_TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _pieces(text: str) -> list[str] | None:
+    """What a text's ids can be joined from; a text that must go whole has none."""
+    if any(c in text for c in UNSURE):
+        return None
+    # A special token's marks are looked for before the case is changed.
+    if "<|" in text or not (text.isascii() or SIMPLE.fullmatch(text)):
+        return text.split()
+    return PIECES.findall(text.lower())
+
+
 class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str, memory_words: int = MEMORY_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        # The same model for lower-case ASCII letters, which no rule of the vocabulary changes or cuts.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
@@ -59,9 +80,10 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [as_bytes(x.ids) for x in found]
 
-    def _ask_letters(self, words: list[str]) -> list[bytes]:
+    def _ask_letters(self, words: list[str], plain: bool = False) -> list[bytes]:
         """Words of letters go as one text, which spares an answer for each."""
-        raw = self._ask([" ".join(words)])[0]
+        tokenizer = self.plain if plain else self.tokenizer
+        raw = as_bytes(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids)
         ends = 4 * (np.flatnonzero(self.ends[as_ids(raw)]) + 1)
         if len(ends) != len(words):
             return self._ask(words)
@@ -76,10 +98,14 @@ class WordEncoder:
         memory, earlier = self.memory, self.earlier
         known = missing.intersection(earlier)
         memory.update(zip(known, map(earlier.__getitem__, known)))  # noqa: B905 - of one length
+        plain: set[str] = set()
         letters: set[str] = set()
         others: set[str] = set()
         pairs = []
         for w in missing.difference(known):
+            if w.isascii() and w.isalpha() and w.islower():
+                plain.add(w)
+                continue
             core = w.rstrip(MARKS)
             if not core.isalpha() or not (core.isascii() or LETTERS.fullmatch(core)):
                 others.add(w)
@@ -90,7 +116,11 @@ class WordEncoder:
                 pairs.append((w, core, tail))
                 letters.add(core)
                 others.add(tail)
-        for asked, ask in ((letters, self._ask_letters), (others, self._ask)):
+        for asked, ask in (
+            (plain, partial(self._ask_letters, plain=True)),
+            (letters, self._ask_letters),
+            (others, self._ask),
+        ):
             here = [w for w in asked if w not in memory]
             if here:
                 memory.update(zip(here, ask(here)))  # noqa: B905 - of one length
@@ -102,11 +132,7 @@ class WordEncoder:
         out = []
         for first in range(0, len(texts), BATCH_TEXTS):
             part = texts[first : first + BATCH_TEXTS]
-            # Lower case unites words; a text with a special token's marks keeps its case.
-            split = [
-                None if any(c in t for c in UNSURE) else (t if "<|" in t or not t.isascii() else t.lower()).split()
-                for t in part
-            ]
+            split = [_pieces(t) for t in part]
             self._learn(set().union(*(w for w in split if w)))
             known = self.memory.__getitem__
             for text, words in zip(part, split, strict=True):

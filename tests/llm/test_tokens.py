@@ -1,5 +1,6 @@
 """Token counts, packing and Huffman files against the tokenizers library itself."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -9,7 +10,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from entityloom.llm import huffman, merges, packing
-from entityloom.llm.tokens import WordEncoder, as_bytes, default_tokenizer
+from entityloom.llm.tokens import WordEncoder, as_bytes, as_ids, default_tokenizer
 from entityloom.llm.workers import share_path
 from tests.llm.conftest import edge_rows
 
@@ -179,3 +180,14 @@ def test_words_of_an_earlier_generation_are_known(monkeypatch):
         expected = [as_bytes(library(default_tokenizer(), t)) for t in part]
         assert word.encode_all(part) == expected
         assert len(word.memory) <= 40 + 120
+
+
+def test_pieces_are_cut_as_the_library_cuts(word):
+    parts = (
+        "a b Sun t é É ß ÿ Ÿ × ÷ ' 's 'LL 're 1 ٣ ² ª µ <| <|endoftext|> </w> - , . ’ é İ ſ 中 _ ’s".split()
+        + list(" \t\n\x0b\x00\x7f\x1c\x85\xa0")
+    )
+    chosen = random.Random(3)
+    texts = ["".join(chosen.choices(parts, k=chosen.randint(0, 14))) for _ in range(4000)]
+    library = word.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [as_ids(raw).tolist() for raw in word.encode_all(texts)] == [x.ids for x in library]
