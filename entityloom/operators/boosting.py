@@ -13,6 +13,10 @@ which grows all below it. Folds do not wait for each other: one may open its
 third level while another starts its next tree. Gradients are scaled integers, so the sums, and
 with them the trees, do not depend on how the rows lie on tasks.
 
+A table whose bins take at most ``FOLD_BYTES`` is trained fold by fold, each fold
+to its end by a task of its own: on so few rows a job for every tree costs far more
+than the tree. The trees are the same.
+
 Trees grow best split first up to ``leaves``. A split's gain does not depend on
 other leaves, so a level can be evaluated at once; nodes that ``leaves - 1``
 others already precede are not opened. The job that starts a tree also
@@ -27,6 +31,7 @@ planning a DataFrame anew for each takes several times as long as its work.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -55,6 +60,10 @@ MERGE_BYTES = 8 << 20
 AT_ONCE = 512
 #: Nodes of at most so many rows are grown to their end by the one task that gets their rows.
 LOCAL_ROWS = 4096
+#: Tables of at most so many bytes of bins are trained by one task for each fold.
+FOLD_BYTES = 16 << 20
+#: Cells that are added up in one call.
+CALL_CELLS = 1 << 20
 CELLS = BINS + 2  # of one histogram: missing, the bins, and one for even division
 BLOCKS = "label binary, fold binary, bins binary, margins binary"
 
@@ -231,8 +240,9 @@ class Model:
     trees: list[Tree]
 
 
-def _applied(trees: Sequence[tuple], bins: np.ndarray) -> np.ndarray:
-    total = np.zeros(bins.shape[1])
+def _applied(trees: Sequence[tuple], bins: np.ndarray, start: np.ndarray | float = 0.0) -> np.ndarray:
+    """``start`` and the trees' values, added up one by one: the sum does not depend on when margins are written."""
+    total = np.zeros(bins.shape[1]) + start
     for tree in trees:
         total += tree[5][reach(tree, bins)]
     return total
@@ -305,7 +315,7 @@ class _Job:
                     _, _, bins, margins = _open_block(block, folds)
                     margins = margins.copy()
                     for fold, trees in pending.items():
-                        margins[fold] += _applied(trees, bins)
+                        margins[fold] = _applied(trees, bins, margins[fold])
                     yield _block_batch(*block[:3], margins.tobytes())
 
         following = materialise(self.written.mapInArrow(run, BLOCKS), "margins")
@@ -330,7 +340,7 @@ class _Job:
             for block in blocks:
                 label, own, bins, margins = _open_block(block, folds)
                 for fold, trees in pending.items():
-                    margin = margins[fold] + _applied(trees, bins)
+                    margin = _applied(trees, bins, margins[fold])
                     if fold in judged:
                         scores[fold] += _by_score(margin, label, own == fold, *judged[fold])
                     if fold in growing:
@@ -439,22 +449,97 @@ def _add(held: np.ndarray, slot: np.ndarray, features: Sequence[int], bins: np.n
 
 def _subtree(features: Sequence[int], depth: int, bins: np.ndarray, sums: np.ndarray, rules: Rules) -> dict:
     """All splits below a node from its rows: node -> (split, left, right), the node itself being 0."""
-    growth = _Growth(list(features), depth)
-    while growth.open:
-        slot = np.full(len(growth.tree.feature), -1)
-        slot[growth.open] = np.arange(len(growth.open))
-        held = np.zeros((len(features), 3, len(growth.open) * CELLS))
-        _add(held, slot[reach(growth.tree.arrays(), bins)], features, bins, *sums)
-        best: dict[int, tuple] = {}
-        for k, node in enumerate(growth.open):
-            found = [((0, node, f), held[i].reshape(3, -1, CELLS)[:, k]) for i, f in enumerate(features)]
-            best[node] = max(_chosen(found, rules))
-        growth.take({n: Split(x[0], -x[1], *x[2:]) for n, x in best.items()}, rules)
+    growth = _grown(features, depth, bins, np.arange(bins.shape[1]), *sums, rules)
     tree = growth.tree
     whole = {n: (s, tree.left[n], tree.right[n]) for n, s in growth.known.items() if tree.feature[n] >= 0}
     return whole or {0: (growth.first, 0, 0)}
 
 
+def _by_width(features: Sequence[int], bins: np.ndarray) -> list[tuple[int, list[int]]]:
+    """(cells, places in ``features``) of features with about as many bins."""
+    found: dict[int, list[int]] = {}
+    for place, feature in enumerate(features):
+        most = int(bins[feature].max()) if bins.shape[1] else 0
+        found.setdefault(1 << most.bit_length(), []).append(place)
+    return sorted(found.items())
+
+
+def _histograms(features: Sequence[int], width: int, bins: np.ndarray, parts: Sequence[np.ndarray], g, h) -> np.ndarray:
+    """Gradient, weight and rows by [part of the rows, feature, sum, bin]."""
+    rows = np.concatenate(parts)
+    at = np.repeat(np.arange(len(parts)), [len(p) for p in parts]) * width
+    weights = g[rows], h[rows], None
+    out = np.empty((len(parts), len(features), 3, width))
+    size = len(parts) * width
+    step = max(1, CALL_CELLS // max(len(rows), 1))
+    for first in range(0, len(features), step):
+        some = features[first : first + step]
+        cell = (bins[np.asarray(some)[:, None], rows] + at + size * np.arange(len(some))[:, None]).ravel()
+        for k, w in enumerate(weights):
+            total = np.bincount(cell, w if w is None else np.tile(w, len(some)), size * len(some))
+            out[:, first : first + step, k] = total.reshape(len(some), len(parts), width).transpose(1, 0, 2)
+    return out
+
+
+def _best_splits(features: Sequence[int], classes: list[tuple[int, list[int]]], sums: list[np.ndarray], rules: Rules):
+    """The best split of each node; the smaller feature of equal gains. ``sums`` holds one array per class."""
+    found: list[np.ndarray] = []
+    nodes = len(sums[0])
+    order = [place for _, places in classes for place in places]
+    for held in sums:
+        scaled = held.reshape(-1, 3, held.shape[3]).copy()
+        scaled[:, :2] /= UNIT
+        cut, side, gain, left, total = best_cuts(scaled, rules)
+        found.append(np.column_stack([gain, cut, side, left, total]).reshape(nodes, -1, 9))
+    every = np.concatenate(found, axis=1)[:, np.argsort(order)]
+    best = every[:, :, 0].argmax(axis=1)
+    lines = every[np.arange(nodes), best].tolist()
+    return [
+        Split(x[0], int(features[i]), int(x[1]), bool(x[2]), *x[3:]) for i, x in zip(best.tolist(), lines, strict=True)
+    ]
+
+
+def _grown(features: Sequence[int], depth: int, bins: np.ndarray, rows: np.ndarray, g, h, rules: Rules) -> _Growth:
+    """The tree, or part of one, that the numbered ``rows`` grow.
+
+    Of two children only the smaller is counted; the sums are whole numbers, so
+    those of the other are exactly the rest.
+    """
+    growth = _Growth(list(features), depth)
+    classes = _by_width(features, bins)
+    inside = {0: rows}
+    held: dict[int, list[np.ndarray]] = {}
+    counted, rest = [0], {}
+    while growth.open:
+        made = [
+            _histograms([features[i] for i in places], width, bins, [inside[n] for n in counted], g, h)
+            for width, places in classes
+        ]
+        now = {n: [x[i] for x in made] for i, n in enumerate(counted)}
+        now |= {n: [a - b for a, b in zip(held[up], now[other], strict=True)] for n, (up, other) in rest.items()}
+        together = [np.stack(x) for x in zip(*(now[n] for n in growth.open), strict=True)]
+        opened = growth.open
+        found = _best_splits(features, classes, together, rules)
+        growth.take(dict(zip(opened, found, strict=True)), rules)
+        held, counted, rest, wanted = now, [], {}, set(growth.open)
+        tree = growth.tree
+        for node in opened:
+            if tree.feature[node] < 0:
+                continue
+            own = inside.pop(node)
+            children = tree.left[node], tree.right[node]
+            if not wanted.intersection(children):
+                continue
+            value = bins[tree.feature[node], own]
+            left = np.where(value == 0, tree.missing_left[node], value <= tree.cut[node])
+            inside[children[0]], inside[children[1]] = own[left], own[~left]
+            less, more = sorted(children, key=lambda c: len(inside[c]))
+            counted.append(less)
+            if more in wanted:
+                rest[more] = node, less
+    return growth
+
+
 class Split(NamedTuple):
     """The best split of a node: sums of the left side and of all its rows."""
 
@@ -481,7 +566,7 @@ def _chosen(found: Sequence[tuple], rules: Rules) -> list[tuple]:
 
 def auc_of(counts: np.ndarray) -> float:
     """AUC of counts of 0 and 1 labels by ascending score; 0.5 where a class is absent."""
-    zeros, ones = (x.astype(object) for x in counts)
+    zeros, ones = (x.astype(object) for x in counts[:, counts.any(axis=0)])
     if not zeros.sum() or not ones.sum():
         return 0.5
     below = np.cumsum(zeros) - zeros
@@ -550,15 +635,14 @@ class _Growth:
     def best_first(self, rules: Rules) -> set[int]:
         """The first ``leaves - 1`` splits by gain; those still unknown can only put others off."""
         chosen: set[int] = set()
-        border = [0]
-        while len(chosen) < rules.leaves - 1:
-            ready = [n for n in border if n in self.known]
-            if not ready:
-                break
-            node = min(ready, key=lambda n: (-self.known[n].gain, n))
+        ready = [(-self.known[0].gain, 0)] if 0 in self.known else []
+        while ready and len(chosen) < rules.leaves - 1:
+            node = heapq.heappop(ready)[1]
             chosen.add(node)
-            border.remove(node)
-            border += [self.tree.left[node], self.tree.right[node]] if self.tree.feature[node] >= 0 else []
+            if self.tree.feature[node] >= 0:
+                for child in (self.tree.left[node], self.tree.right[node]):
+                    if child in self.known:
+                        heapq.heappush(ready, (-self.known[child].gain, child))
         return chosen
 
     def finished(self, rules: Rules) -> Tree:
@@ -608,7 +692,10 @@ def boost(rows: DataFrame, width: int, folds: int, rules: Rules) -> list[Model]:
         share = min(max(ones / n if n else 0.5, 1e-12), 1 - 1e-12)
         margin = math.log(share / (1 - share))
         state.append(_Fold(fold, margin, margin, margin, ended=not n))
-    job = _Job(rows, np.array([s.margin for s in state]), rules)
+    start = np.array([s.margin for s in state])
+    if sum(counts.values()) * width <= FOLD_BYTES:
+        return _each_fold_at_once(rows, width, start, rules)
+    job = _Job(rows, start, rules)
     growths: dict[int, _Growth] = {}
     while going := [s for s in state if not s.ended]:
         for group in _group(going, width, rules):
@@ -641,6 +728,45 @@ def boost(rows: DataFrame, width: int, folds: int, rules: Rules) -> list[Model]:
     return [Model(s.number, s.margin, s.trees[: s.best]) for s in state]
 
 
+def _each_fold_at_once(rows: DataFrame, width: int, start: np.ndarray, rules: Rules) -> list[Model]:
+    """The models of a table of bounded size: one task grows all trees of a fold."""
+    folds = len(start)
+    written = materialise(_in_blocks(rows, start[:0]), "blocks")
+
+    def whole(blocks: Iterator[tuple]) -> Iterator[Model]:
+        held: dict[int, list] = {}
+        for fold, block in blocks:
+            held.setdefault(fold, []).append(_open_block(block, 0)[:3])
+        for fold, opened in held.items():
+            label, own, bins = (np.concatenate(x, axis=-1) for x in zip(*opened, strict=True))
+            yield _whole_fold(fold, float(start[fold]), label, own == fold, bins, rules)
+
+    copies = written.rdd.map(tuple).flatMap(lambda block: [(fold, block) for fold in range(folds)])
+    models = copies.partitionBy(folds, int).mapPartitions(whole).collect()  # one per fold
+    release(written)
+    made = {m.fold: m for m in models}
+    return [made.get(f, Model(f, float(start[f]), [])) for f in range(folds)]
+
+
+def _whole_fold(fold: int, margin: float, label, held_out, bins: np.ndarray, rules: Rules) -> Model:
+    """All trees of one fold up to its best."""
+    learning = np.flatnonzero(~held_out)
+    s = _Fold(fold, margin, margin, margin, ended=not len(learning))
+    margins = np.full(len(label), margin)
+    while not s.ended:
+        if s.trees:
+            s.judge(auc_of(_by_score(margins, label, held_out, s.low, s.high)), rules.patience)
+        if s.ended or len(s.trees) >= rules.trees:
+            break
+        features = tried_features(len(bins), rules, fold, len(s.trees))
+        tree = _grown(features, 0, bins, learning, *_gradients(margins, label), rules).finished(rules)
+        if not tree.splits():
+            break
+        s.add(tree)
+        margins = _applied([tree.arrays()], bins, margins)
+    return Model(fold, margin, s.trees[: s.best])
+
+
 def scored(rows: DataFrame, models: Sequence[Model], own: bool) -> DataFrame:
     """``bins`` replaced by ``score``: of the model of the row's ``fold``, or the mean of all."""
     ready = {m.fold: (m.margin, [t.arrays() for t in m.trees]) for m in models}
@@ -655,9 +781,9 @@ def scored(rows: DataFrame, models: Sequence[Model], own: bool) -> DataFrame:
                 if own:
                     number = batch.column(batch.schema.get_field_index("fold")).to_numpy(zero_copy_only=False)
                     mine = np.flatnonzero(number == fold)
-                    score[mine] = _chance(margin + _applied(trees, bins[:, mine]))
+                    score[mine] = _chance(_applied(trees, bins[:, mine], margin))
                 else:
-                    score += _chance(margin + _applied(trees, bins))
+                    score += _chance(_applied(trees, bins, margin))
             data = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             done = pa.array(score if own else score / len(ready), pa.float64())
             yield pa.RecordBatch.from_arrays([*data, done], names=[*kept, "score"])

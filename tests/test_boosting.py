@@ -189,3 +189,39 @@ def test_a_trained_stage_is_loaded_again(spark, tmp_path, monkeypatch):
     assert rows(train(df).out_of_fold, "id") == first
     with pytest.raises(pytest.fail.Exception, match="trained again"):
         train(df.withColumn("a", F.col("a") + 1))
+
+
+@pytest.mark.parametrize(("parts", "local"), [(1, 4096), (4, 4096), (4, 40), (4, 0), (1, 0)])
+def test_folds_grown_whole_equal_folds_grown_by_levels(spark, parts, local, monkeypatch):
+    monkeypatch.setattr(boosting, "WRITE_EVERY", 3)
+    monkeypatch.setattr(boosting, "LOCAL_ROWS", local)
+    x, y, own = table(260, 5)
+    data = frame(spark, x, y, own, parts)
+    rules = replace(RULES, trees=8, feature_share=0.7)
+    whole = boosting.as_rows(boosting.boost(data, 3, 3, rules))
+    monkeypatch.setattr(boosting, "FOLD_BYTES", 0)
+    assert boosting.as_rows(boosting.boost(data, 3, 3, rules)) == whole
+
+
+def test_small_tables_are_trained_without_a_job_for_each_tree(spark):
+    x, y, own = table(200, 6)
+    data = frame(spark, x, y, own)
+    spark.sparkContext.setJobGroup("few jobs", "")
+    try:
+        models = boosting.boost(data, 3, 3, replace(RULES, trees=40, patience=1000))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [m.fold for m in models] == [0, 1, 2]
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few jobs")) < 10
+
+
+def test_histograms_of_features_of_any_width(monkeypatch):
+    rng = np.random.default_rng(8)
+    bins = np.array([rng.integers(0, n, 500) for n in (1, 2, 255, 7, 40)]).astype(np.uint8)
+    label = rng.integers(0, 2, 500).astype(np.uint8)
+    sums = boosting._gradients(rng.normal(size=500), label)
+    rules = replace(RULES, leaves=20, depth=6, least_rows=3, least_weight=0.01)
+    one = boosting._grown([0, 1, 2, 3, 4], 0, bins, np.arange(500), *sums, rules).finished(rules)
+    assert one.splits() > 5
+    monkeypatch.setattr(boosting, "CALL_CELLS", 1)
+    assert boosting._grown([0, 1, 2, 3, 4], 0, bins, np.arange(500), *sums, rules).finished(rules) == one
