@@ -794,12 +794,17 @@ def bundle_compatibility(t):
 
 
 def _trained(t) -> model.FoldResult:
-    """Ten folds over the labelled documents; the models are a stage named by their data."""
+    """Ten folds over the labelled documents; the models are a stage named by their data.
+
+    Each feature comes with a 0/1 feature that tells whether it is missing.
+    """
     rows, languages = encode.one_hot(
         labelled_documents(t), {"lang": ("de", "en", "es", "fr")}, True
     )
     rows = rows.withColumn("source_number", F.expr("try_cast(substring(source, 4) AS double)"))
     features = ["n_chars", "source_number", *languages]
+    flags = {f"{c}_missing": F.col(f"`{c}`").isNull().cast("double") for c in features}
+    rows, features = rows.withColumns(flags), [*features, *flags]
     return model.train_folds(
         rows, "doc_id", "target", features, FOLDS, stages=f"{shared_folder(rows.sparkSession)}/models"
     )

@@ -40,6 +40,12 @@ def test_scans_of_the_largest_table(spark, name, scans):
     assert plan.count("l_extendedprice") and plan.count("lineitem.parquet") <= scans
 
 
+def test_importances_cover_the_missing_flags(spark):
+    found = {r["feature"] for r in QUERIES["fold_importance"](spark, FOLDER).collect()}
+    plain = {"n_chars", "source_number", "lang_de", "lang_en", "lang_es", "lang_fr", "lang_nan"}
+    assert found == plain | {f"{c}_missing" for c in plain}
+
+
 def test_entry(spark):
     df = entry(spark)
     assert df.count() > 0 and len(df.columns) > 200
