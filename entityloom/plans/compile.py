@@ -1,16 +1,18 @@
 """Compiles feature functions to grouped aggregates.
 
-All components of a function share one scan, up to the width at which Spark
-would leave generated code; wider functions are cut into parts that read their
-own columns each and meet on the key they are already partitioned by.
+All components of a function share one scan. Where a grouping has many aggregates,
+a row is narrower than its buffers: rows are moved to their key once, and one
+grouping behind that holds all buffers without a second shuffle. A table with a
+key of very many rows is not moved but merged by map tasks, in parts that stay
+within Spark's generated code and read their own columns each.
 
 Branches are never filtered copies joined back. They are conditional aggregates
 of the same grouping as long as its buffers stay within that width. Beyond it,
 rows are first merged per key and branch value, with one set of buffers however
 many branches there are, and the few merged rows are combined per key.
 
-Every aggregate but ``nunique`` is algebraic, so map tasks merge the rows of a
-key before any shuffle, and a key that holds a large part of the table costs
+Every aggregate but ``nunique`` is algebraic, so map tasks can merge the rows of a
+key before any shuffle, and then a key that holds a large part of the table costs
 one buffer per map task. Distinct counts are grouped on their own: Spark then
 merges equal values before it counts, and the wide buffers stay out of it.
 
@@ -25,6 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from entityloom.functions import fixedpoint as fx, scalars
+from entityloom.operators.ordering import largest_group
 from entityloom.plans.spec import Feature, HistoryFunction
 from entityloom.sources.readers import require_columns
 
@@ -37,6 +40,10 @@ WIDE_PARTS = ("wh", "ssw", "ssd")  # of units of more than 31 bits
 # the second width merging per branch value measured faster than conditionals.
 MAX_BUFFERS = 95
 MAX_CONDITIONAL_BUFFERS = 80
+# Groupings of more aggregates get their rows by key first, unless a
+# key has more rows than one task should take.
+MAX_UNMOVED_AGGREGATES = 40
+MAX_MOVED_ROWS = 1 << 20
 Branch = tuple[str, str] | None
 
 
@@ -175,17 +182,19 @@ class _Plan:
             self.size(None)
         if self.two_levels:
             self.mark()
-        rows = self.df.select(column(self.key).alias("k"), *[c.alias(n) for n, c in self.rows.values()])
+        moved = len(self.base) > MAX_UNMOVED_AGGREGATES and largest_group(self.df, self.key) <= MAX_MOVED_ROWS
+        source = self.df.hint("rebalance", column(self.key)) if moved else self.df
+        rows = source.select(column(self.key).alias("k"), *[c.alias(n) for n, c in self.rows.values()])
         split = rows.selectExpr("*", *[f"{text} AS {name}" for text, name in self.limbs.items()])
-        parts = [self._aggregated(split, part) for part in self._parts()]
+        parts = [self._aggregated(split, part) for part in self._parts(None if moved else MAX_BUFFERS)]
         parts += [_group(rows, ["k"], {name: f"count(DISTINCT {of})"}) for of, name in self.distinct.items()]
         joined = reduce(lambda left, right: left.join(right, "k"), parts)
         for texts in self.derived:
             joined = joined.selectExpr("*", *[f"{text} AS {name}" for text, name in texts.items()])
         return joined.withColumnRenamed("k", self.key)
 
-    def _parts(self) -> list[dict[str, str]]:
-        """Aggregates ``name -> text`` in parts that stay within generated code.
+    def _parts(self, widest: int | None) -> list[dict[str, str]]:
+        """Aggregates ``name -> text`` in parts of at most ``widest`` buffers.
 
         Parts are cut in feature order, so each reads its own columns only.
         """
@@ -193,7 +202,7 @@ class _Plan:
         width = 0
         for text, (name, kind) in self.base.items():
             fields = 3 if kind == "var" else 1
-            if width + fields > MAX_BUFFERS:
+            if widest and width + fields > widest:
                 parts.append({})
                 width = 0
             parts[-1][name] = text

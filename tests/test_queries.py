@@ -40,6 +40,16 @@ def test_scans_of_the_largest_table(spark, name, scans):
     assert plan.count("l_extendedprice") and plan.count("lineitem.parquet") <= scans
 
 
+@pytest.mark.parametrize(("rows", "moved"), [(1 << 20, True), (3, False)])
+def test_wide_groupings_move_narrow_rows_unless_a_key_is_large(spark, database, monkeypatch, rows, moved):
+    monkeypatch.setattr("entityloom.plans.compile.MAX_MOVED_ROWS", rows)
+    plan = QUERIES["end_to_end_features"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert ("REBALANCE" in plan) == moved
+    assert plan.count("lineitem.parquet") == (3 if moved else 4)
+    for name in ("end_to_end_features", "fn_two_level_segmented", "fn_wide_numeric"):
+        assert compare(spark, database, name, FOLDER).startswith("ok")
+
+
 def test_importances_cover_the_missing_flags(spark):
     found = {r["feature"] for r in QUERIES["fold_importance"](spark, FOLDER).collect()}
     plain = {"n_chars", "source_number", "lang_de", "lang_en", "lang_es", "lang_fr", "lang_nan"}
