@@ -1,6 +1,7 @@
 """Language, toxicity and licenses: rules, brute force and held-out accuracy."""
 
 import os
+import zlib
 
 import numpy as np
 import pytest
@@ -160,6 +161,43 @@ def test_toxicity_learns_a_planted_word(spark, edges):
     assert twice.score("horrid w1 w2") == model.score("horrid w1 w2")
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    """A word in a few labelled rows among very many, and shards of any number, teach the model."""
+    share_path(spark)
+    rows, labels = toxic_rows(7000)
+    rare = [i for i in range(7000) if not i % 3 and not i % 500]
+    rows = [(i, t.replace("horrid", "w1") + " vile" if i in rare else t, lang) for i, t, lang in rows]
+    docs = table(spark, rows)
+    given = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    usable = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 0]
+    seen = toxicity.word_counts(docs.join(given, "doc_id").filter("crc32(cast(doc_id as string)) % 3 = 0"))
+    found = {r.word: r.zeros + r.ones for r in seen.filter("word in ('vile', 'horrid')").collect()}
+    assert found == {w: sum(w in t.split() for _, t, _ in usable) for w in ("vile", "horrid")}
+    fitted, calibrated = [], []
+    fit, calibrate = toxicity.fit, toxicity.calibrate
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 600)
+    monkeypatch.setattr(toxicity, "fit", lambda d, *a: fitted.append(d.count()) or fit(d, *a))
+    monkeypatch.setattr(toxicity, "calibrate", lambda m, d: calibrated.append(d.count()) or calibrate(m, d))
+    model = toxicity.learn(docs, given)
+    assert fitted == [len(usable)]
+    assert calibrated == [sum(zlib.crc32(str(r[0]).encode()) % 3 == 2 for r in rows)]
+    assert model.score("horrid w1 w2") >= 0.7 > model.score("w1 w2 w3")
+
+
+def test_runs_of_unknown_words_keep_all_responses():
+    rng = np.random.default_rng(3)
+    tables = [[rng.normal(size=(5, toxicity.FILTERS)) for _ in range(w)] for w in toxicity.WIDTHS]
+    for own in tables:
+        for t in own:
+            t[0] = 0
+    bias = np.zeros(toxicity.FILTERS * len(toxicity.WIDTHS))
+    for n in [*range(9), 60, 300]:
+        ids = np.where(rng.random(n) < 0.15, rng.integers(1, 5, n), 0).astype(np.int32)
+        short = toxicity.squeezed(ids)
+        assert len(short) <= len(ids)
+        assert (toxicity.pooled(short, tables, bias)[0] == toxicity.pooled(ids, tables, bias)[0]).all()
+
+
 def test_toxicity_without_labels(spark, edges, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.learn(edges, none) is None
