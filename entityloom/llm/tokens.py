@@ -20,13 +20,15 @@ from functools import partial
 
 import numpy as np
 
-from entityloom.llm.workers import kept
+from entityloom.llm.workers import give_back, kept
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 #: Words kept in memory per worker, in two generations: words met lately stay.
 MEMORY_WORDS = 400_000
 #: Texts whose new words are asked for together.
 BATCH_TEXTS = 256
+#: Texts after which a worker returns what asking for words has left free.
+TRIM_TEXTS = 512
 UNSURE = "\x1c\x1d\x1e\x1f"
 #: A word that is one piece to the library, which ends with a token of its own kind.
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -75,6 +77,7 @@ class WordEncoder:
         self.memory: dict[str, bytes] = {}
         self.earlier: dict[str, bytes] = {}
         self.memory_words = memory_words
+        self.since_trim = 0
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -137,6 +140,10 @@ class WordEncoder:
             known = self.memory.__getitem__
             for text, words in zip(part, split, strict=True):
                 out.append(self._ask([text])[0] if words is None else b"".join(map(known, words)))
+        self.since_trim += len(texts)
+        if self.since_trim >= TRIM_TEXTS:
+            self.since_trim = 0
+            give_back()
         return out
 
 
