@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityloom.llm.tokens import as_bytes, as_ids, default_tokenizer, encoder, slices
+from entityloom.llm.tokens import default_tokenizer, encoder, slices
 from entityloom.session import materialise, release
 
 LIMIT = 16
@@ -113,25 +113,20 @@ def ordered_ids(docs: DataFrame, tokenizer: str | None = None, end_id: int = END
     counts of the part's ids, as 64-bit integers by id.
     """
     path = tokenizer or default_tokenizer()
-    end = as_bytes([end_id])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_all
+        encode = encoder(path).encode_column
         part, before = TaskContext.get().partitionId(), 0
         total = np.zeros(0, dtype="<i8")
         for batch in slices(batches):
-            raw = [x + end for x in encode(batch.column(2).to_pylist())]
-            n = np.array([len(x) // 4 for x in raw], dtype=np.int64)
+            ids, n = encode(batch.column(2), end_id)
             ends = before + np.cumsum(n)
             before = int(ends[-1])
-            ids = as_ids(b"".join(raw))
             total = _added(total, np.bincount(ids))
             if ids.max() < 1 << 16:
-                short = ids.astype("<u2").tobytes()
-                cuts = 2 * np.concatenate([[0], np.cumsum(n)])
-                raw = [short[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-            yield _ids_batch(part, batch.column(0), ends - n, n, raw)
-        yield _ids_batch(part, pa.nulls(1, pa.int64()), [-1], [0], [total.tobytes()])
+                ids = ids.astype("<u2")
+            yield _ids_batch(part, batch.column(0), ends - n, n, ids.itemsize * n, ids)
+        yield _ids_batch(part, pa.nulls(1, pa.int64()), [-1], [0], [total.nbytes], total)
 
     text = F.coalesce("text", F.lit(""))
     # Bounds of ranges are sampled from ids and hashes: texts may be long.
@@ -156,13 +151,14 @@ def _added(total: np.ndarray, found: np.ndarray) -> np.ndarray:
     return total
 
 
-def _ids_batch(part: int, docs: pa.Array, at, n, raw: list[bytes]) -> pa.RecordBatch:
+def _ids_batch(part: int, docs: pa.Array, at, n, sizes, values: np.ndarray) -> pa.RecordBatch:
+    cuts = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
     columns = [
-        pa.array(np.full(len(raw), part, dtype=np.int32)),
+        pa.array(np.full(len(docs), part, dtype=np.int32)),
         docs,
         pa.array(at, pa.int64()),
         pa.array(n, pa.int64()),
-        pa.array(raw, pa.binary()),
+        pa.Array.from_buffers(pa.binary(), len(docs), [None, cuts.buffers()[1], pa.py_buffer(values)]),
     ]
     return pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "at", "n", "ids"])
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entityloom.llm.tokens import as_bytes, default_tokenizer, encoder, slices
+from entityloom.llm.tokens import default_tokenizer, encoder, slices
 
 WINDOW = 2048
 #: Ends of documents are cut to pieces of at most this many ids.
@@ -119,7 +119,6 @@ def pack(
     its end; ids of any size stay exact.
     """
     path = tokenizer or default_tokenizer()
-    end = as_bytes([end_id])
     goal = int(BATCH_WINDOWS * window * FILL)
     schema = SCHEMA + (", ids binary" if with_ids else "")
 
@@ -155,9 +154,8 @@ def pack(
             ready.clear()
 
         for batch in slices(batches):
-            numbers, texts = (c.to_pylist() for c in batch.columns)
-            for doc, raw in zip(numbers, encode(texts), strict=True):
-                raw += end
+            numbers = batch.column(0).to_pylist()
+            for doc, raw in zip(numbers, encode(batch.column(1), end_id), strict=True):
                 n = len(raw) // 4
                 for at, size in cut(n, window, piece):
                     own = raw[4 * at : 4 * (at + size)]

@@ -34,8 +34,13 @@ def share_path(spark: SparkSession) -> None:
 
 
 def give_back() -> None:
-    """Return freed memory to the system, where the C library and Arrow can."""
+    """Return freed memory and cycles to the system, where the C library and Arrow can."""
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Return freed memory alone: a look for cycles goes through all that a worker has imported."""
     with contextlib.suppress(Exception):
         import pyarrow
 

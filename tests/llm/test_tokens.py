@@ -1,15 +1,17 @@
 """Token counts, packing and Huffman files against the tokenizers library itself."""
 
 import random
+import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from entityloom.llm import huffman, merges, packing
+from entityloom.llm import huffman, merges, packing, tokens
 from entityloom.llm.tokens import WordEncoder, as_bytes, as_ids, default_tokenizer
 from entityloom.llm.workers import share_path
 from tests.llm.conftest import edge_rows
@@ -191,3 +193,52 @@ def test_pieces_are_cut_as_the_library_cuts(word):
     texts = ["".join(chosen.choices(parts, k=chosen.randint(0, 14))) for _ in range(4000)]
     library = word.tokenizer.encode_batch(texts, add_special_tokens=False)
     assert [as_ids(raw).tolist() for raw in word.encode_all(texts)] == [x.ids for x in library]
+
+
+#: The vocabulary's rule of cutting, for lower-case texts of ASCII and Latin letters.
+RULE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+", re.ASCII)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="aStrEVlMd'9-,É ß\t\n×÷²<|日\x1c\x85", max_size=12), max_size=8))
+def test_a_chunk_is_cut_by_the_rule(texts):
+    data = [t.encode() for t in texts]
+    cuts = np.cumsum([0, *map(len, data)])
+    pieces, first, doubted = tokens._cut(np.frombuffer(b"".join(data), dtype=np.uint8), cuts)
+    pieces.validate(full=True)
+    for k, text in enumerate(texts):
+        found = pieces[first[k] : first[k + 1]].to_pylist()
+        if k in doubted:
+            assert not found
+        else:
+            assert found == RULE.findall(text.lower())
+            assert not any(c in text for c in "×÷²日\x1c\x85") and "<|" not in text
+    assert first[-1] == len(pieces)
+
+
+def test_each_piece_is_looked_up_once_a_chunk():
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    word = WordEncoder(default_tokenizer())
+    word.memory = Counted()
+    texts = ["again, and again; été 7's " * 200] * 20
+    raw = word.encode_all(texts)
+    assert raw == [as_bytes(library(default_tokenizer(), texts[0]))] * 20
+    assert Counted.asked <= 8
+
+
+@pytest.mark.parametrize("size", [1, 40, 1 << 21])
+def test_chunks_of_any_size_give_the_same_ids(monkeypatch, word, size):
+    monkeypatch.setattr(tokens, "CHUNK_BYTES", size)
+    texts = [None, "", *TEXTS[:40], " ", "日本 語's", "", "l'été d'un sot 's", "'", "s", "<|endoftext|>", ""]
+    whole = [[*library(default_tokenizer(), t or ""), 1] for t in texts]
+    column = pa.array(["cut off", *texts, "off"]).slice(1, len(texts))
+    ids, n = word.encode_column(column, 1)
+    assert n.tolist() == [len(x) for x in whole] and ids.tolist() == sum(whole, [])
+    assert word.encode_all([]) == [] and word.encode_all(["", " "]) == [b"", b""]
+    assert word.encode_all(pa.nulls(2, pa.string()), 1) == [as_bytes([1])] * 2
