@@ -2,7 +2,9 @@
 
 Features are cut once into at most ``BINS`` quantile bins; a row is then one
 byte per feature, and bin 0 stands for a missing value, which every split sends
-to the side that gains more. Rows are written once, as blocks with one array per
+to the side that gains more. Labelled rows with equal bins are alike to every tree:
+those of one fold and label are merged by a grouping into a line with their number,
+which weighs their gradients. Lines are written once, as blocks with one array per
 column, and kept by the executors.
 
 A level of a tree is one job for all folds: tasks add the gradients of their
@@ -13,9 +15,10 @@ which grows all below it. Folds do not wait for each other: one may open its
 third level while another starts its next tree. Gradients are scaled integers, so the sums, and
 with them the trees, do not depend on how the rows lie on tasks.
 
-A table whose bins take at most ``FOLD_BYTES`` is trained fold by fold, each fold
-to its end by a task of its own: on so few rows a job for every tree costs far more
-than the tree. The trees are the same.
+A table whose lines' bins take at most ``FOLD_BYTES`` is trained fold by fold, each fold
+to its end by a task of its own: on so few lines a job for every tree costs far more
+than the tree. The task merges lines with equal bins again, those of all other folds
+and both labels. The trees are the same.
 
 Trees grow best split first up to ``leaves``. A split's gain does not depend on
 other leaves, so a level can be evaluated at once; nodes that ``leaves - 1``
@@ -47,7 +50,7 @@ BINS = 254  # without the one for missing values; a bin is one byte
 PERCENTILE_ACCURACY = 2000
 #: Gradients become multiples of 2^-20: sums of 2^32 rows stay exact in a double.
 UNIT = float(1 << 20)
-#: Rows of a written block.
+#: Lines of a written block.
 BLOCK_ROWS = 1 << 16
 #: Score steps between a fold's least and largest possible margin; ties inside a step count half.
 AUC_STEPS = 1 << 14
@@ -60,12 +63,12 @@ MERGE_BYTES = 8 << 20
 AT_ONCE = 512
 #: Nodes of at most so many rows are grown to their end by the one task that gets their rows.
 LOCAL_ROWS = 4096
-#: Tables of at most so many bytes of bins are trained by one task for each fold.
+#: Tables whose lines have at most so many bytes of bins are trained by one task for each fold.
 FOLD_BYTES = 16 << 20
 #: Cells that are added up in one call.
 CALL_CELLS = 1 << 20
 CELLS = BINS + 2  # of one histogram: missing, the bins, and one for even division
-BLOCKS = "label binary, fold binary, bins binary, margins binary"
+BLOCKS = "label binary, fold binary, rows binary, bins binary, margins binary"
 
 
 @dataclass(frozen=True)
@@ -248,8 +251,13 @@ def _applied(trees: Sequence[tuple], bins: np.ndarray, start: np.ndarray | float
     return total
 
 
-def _in_blocks(rows: DataFrame, margins: np.ndarray) -> DataFrame:
-    """Blocks of rows with label, fold and bins; every row starts with the folds' ``margins``."""
+def merged_lines(rows: DataFrame) -> DataFrame:
+    """``rows`` of equal bins, fold and label as one line each, with their number in ``n``."""
+    return rows.groupBy("bins", "fold", "label").agg(F.count("*").alias("n"))
+
+
+def _in_blocks(lines: DataFrame, margins: np.ndarray) -> DataFrame:
+    """Blocks of lines with label, fold, rows and bins; every line starts with the folds' ``margins``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -258,9 +266,10 @@ def _in_blocks(rows: DataFrame, margins: np.ndarray) -> DataFrame:
             table = pa.Table.from_batches(held).combine_chunks()
             label = table["label"].to_numpy().astype(np.uint8)
             fold = table["fold"].to_numpy().astype(np.int32)
+            number = table["n"].to_numpy().astype(np.int64)
             bins = _lines(table["bins"])
             start = np.repeat(margins[:, None], len(label), axis=1)
-            return _block_batch(label.tobytes(), fold.tobytes(), bins.tobytes(), start.tobytes())
+            return _block_batch(label.tobytes(), fold.tobytes(), number.tobytes(), bins.tobytes(), start.tobytes())
 
         for batch in batches:
             held.append(batch)
@@ -270,7 +279,7 @@ def _in_blocks(rows: DataFrame, margins: np.ndarray) -> DataFrame:
         if sum(x.num_rows for x in held):
             yield block()
 
-    return rows.select("label", "fold", "bins").mapInArrow(run, BLOCKS)
+    return lines.select("label", "fold", "n", "bins").mapInArrow(run, BLOCKS)
 
 
 def _block_batch(*columns: bytes) -> pa.RecordBatch:
@@ -278,20 +287,21 @@ def _block_batch(*columns: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], names=names)
 
 
-def _open_block(block, folds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _open_block(block, folds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     label = np.frombuffer(block[0], dtype=np.uint8)
     fold = np.frombuffer(block[1], dtype=np.int32)
-    bins = np.frombuffer(block[2], dtype=np.uint8).reshape(-1, len(label))
-    return label, fold, bins, np.frombuffer(block[3], dtype=np.float64).reshape(folds, len(label))
+    number = np.frombuffer(block[2], dtype=np.int64)
+    bins = np.frombuffer(block[3], dtype=np.uint8).reshape(-1, len(label))
+    return label, fold, number, bins, np.frombuffer(block[4], dtype=np.float64).reshape(folds, len(label))
 
 
 class _Job:
     """The jobs over the written blocks."""
 
-    def __init__(self, rows: DataFrame, start: np.ndarray, rules: Rules):
+    def __init__(self, lines: DataFrame, start: np.ndarray, rules: Rules):
         self.folds, self.rules = len(start), rules
         self.pending: dict[int, list[tuple]] = {f: [] for f in range(self.folds)}
-        self._keep(materialise(_in_blocks(rows, start), "margins"))
+        self._keep(materialise(_in_blocks(lines, start), "margins"))
 
     def _keep(self, written: DataFrame) -> None:
         self.written = written
@@ -312,11 +322,11 @@ class _Job:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    _, _, bins, margins = _open_block(block, folds)
+                    *_, bins, margins = _open_block(block, folds)
                     margins = margins.copy()
                     for fold, trees in pending.items():
                         margins[fold] = _applied(trees, bins, margins[fold])
-                    yield _block_batch(*block[:3], margins.tobytes())
+                    yield _block_batch(*block[:4], margins.tobytes())
 
         following = materialise(self.written.mapInArrow(run, BLOCKS), "margins")
         self.done()
@@ -334,25 +344,25 @@ class _Job:
         pending = {f: self.pending[f] for f in growing.keys() | judged.keys()}
         folds = self.folds
 
-        def sums(blocks: Iterator[tuple]) -> Iterator[tuple]:
+        def summed(blocks: Iterator[tuple]) -> Iterator[tuple]:
             held = {f: np.zeros((len(g[2]), 3, len(g[1]) * CELLS)) for f, g in growing.items()}
             scores = {f: np.zeros((2, AUC_STEPS), dtype=np.int64) for f in judged}
             for block in blocks:
-                label, own, bins, margins = _open_block(block, folds)
+                label, own, number, bins, margins = _open_block(block, folds)
                 for fold, trees in pending.items():
                     margin = _applied(trees, bins, margins[fold])
                     if fold in judged:
-                        scores[fold] += _by_score(margin, label, own == fold, *judged[fold])
+                        scores[fold] += _by_score(margin, _by_label(label, number * (own == fold)), *judged[fold])
                     if fold in growing:
                         tree, nodes, features, small = growing[fold]
                         at = reach(tree, bins)
-                        g, h = _gradients(margin, label)
+                        sums = _line_sums(margin, _by_label(label, number))
                         slot = np.full(len(tree[0]), -1)
                         slot[nodes] = np.arange(len(nodes))
-                        _add(held[fold], np.where(own != fold, slot[at], -1), features, bins, g, h)
+                        _add(held[fold], np.where(own != fold, slot[at], -1), features, bins, sums)
                         for node in small:
-                            rows = np.flatnonzero((at == node) & (own != fold))
-                            yield (fold, node, SMALL), (bins[:, rows], np.array([g[rows], h[rows]]))
+                            lines = np.flatnonzero((at == node) & (own != fold))
+                            yield (fold, node, SMALL), (bins[:, lines], np.array(sums)[:, lines])
             for fold, counts in scores.items():
                 yield (fold, -1, -1), counts
             for fold, (_, nodes, features, _) in growing.items():
@@ -386,11 +396,11 @@ class _Job:
             yield from chosen.items()
 
         if self.parts == 1:
-            answers = self.blocks.mapPartitions(lambda x: best(_merged(sums(x))))
+            answers = self.blocks.mapPartitions(lambda x: best(_merged(summed(x))))
         else:
             cells = sum(len(g[1]) * len(g[2]) for g in growing.values()) * CELLS
             tasks = max(1, min(-(-cells * CELL_BYTES * self.parts // MERGE_BYTES), self.parts))
-            met = self.blocks.mapPartitions(sums).reduceByKey(_together, tasks, _by_node)
+            met = self.blocks.mapPartitions(summed).reduceByKey(_together, tasks, _by_node)
             answers = met.mapPartitions(best)
         found = dict(answers.collect())  # one entry per fold and open node
         splits = {
@@ -423,33 +433,45 @@ def _by_node(key: tuple) -> int:
     return key[0] * 8191 + key[1]
 
 
-def _by_score(margin: np.ndarray, label: np.ndarray, held_out: np.ndarray, low: float, high: float) -> np.ndarray:
-    """Held-out rows of label 0 and 1 per score step."""
-    place = np.floor((margin[held_out] - low) / max(high - low, 1e-300) * AUC_STEPS)
+def _by_label(label: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Rows of label 0 and of label 1 in each line."""
+    return np.array([number * (label == y) for y in (0, 1)])
+
+
+def _by_score(margin: np.ndarray, held_out: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Rows of label 0 and 1 per score step; ``held_out`` has those of each line."""
+    place = np.floor((margin - low) / max(high - low, 1e-300) * AUC_STEPS)
     place = np.clip(place, 0, AUC_STEPS - 1).astype(np.int64)
-    return np.array([np.bincount(place[label[held_out] == y], minlength=AUC_STEPS) for y in (0, 1)])
+    return np.array([np.bincount(place, n, AUC_STEPS) for n in held_out]).astype(np.int64)
 
 
-def _gradients(margin: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _gradients(margin: np.ndarray, label: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
     chance = _chance(margin)
     return np.rint((chance - label) * UNIT), np.rint(chance * (1.0 - chance) * UNIT)
 
 
-def _add(held: np.ndarray, slot: np.ndarray, features: Sequence[int], bins: np.ndarray, g, h) -> None:
-    """Add gradient, weight and row per (feature, node, bin) of the rows with a slot."""
+def _line_sums(margin: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradient and weight of all rows of each line, and their number; ``number`` has those of label 0 and 1."""
+    (zero, h), (one, _) = _gradients(margin, 0), _gradients(margin, 1)
+    n = number.sum(axis=0)
+    return number[0] * zero + number[1] * one, n * h, n
+
+
+def _add(held: np.ndarray, slot: np.ndarray, features: Sequence[int], bins: np.ndarray, sums: Sequence) -> None:
+    """Add gradient, weight and rows per (feature, node, bin) of the lines with a slot."""
     used = np.flatnonzero(slot >= 0)
     if not len(used):
         return
-    at, g, h = slot[used] * CELLS, g[used], h[used]
+    at, sums = slot[used] * CELLS, [x[used] for x in sums]
     for i, feature in enumerate(features):
         cell = at + bins[feature, used]
-        for k, weights in enumerate((g, h, None)):
+        for k, weights in enumerate(sums):
             held[i, k] += np.bincount(cell, weights, held.shape[2])
 
 
 def _subtree(features: Sequence[int], depth: int, bins: np.ndarray, sums: np.ndarray, rules: Rules) -> dict:
-    """All splits below a node from its rows: node -> (split, left, right), the node itself being 0."""
-    growth = _grown(features, depth, bins, np.arange(bins.shape[1]), *sums, rules)
+    """All splits below a node from its lines: node -> (split, left, right), the node itself being 0."""
+    growth = _grown(features, depth, bins, np.arange(bins.shape[1]), *sums[:2], rules, sums[2])
     tree = growth.tree
     whole = {n: (s, tree.left[n], tree.right[n]) for n, s in growth.known.items() if tree.feature[n] >= 0}
     return whole or {0: (growth.first, 0, 0)}
@@ -464,11 +486,13 @@ def _by_width(features: Sequence[int], bins: np.ndarray) -> list[tuple[int, list
     return sorted(found.items())
 
 
-def _histograms(features: Sequence[int], width: int, bins: np.ndarray, parts: Sequence[np.ndarray], g, h) -> np.ndarray:
-    """Gradient, weight and rows by [part of the rows, feature, sum, bin]."""
+def _histograms(
+    features: Sequence[int], width: int, bins: np.ndarray, parts: Sequence[np.ndarray], sums: Sequence
+) -> np.ndarray:
+    """Gradient, weight and rows by [part of the lines, feature, sum, bin]."""
     rows = np.concatenate(parts)
     at = np.repeat(np.arange(len(parts)), [len(p) for p in parts]) * width
-    weights = g[rows], h[rows], None
+    weights = [x[rows] for x in sums]
     out = np.empty((len(parts), len(features), 3, width))
     size = len(parts) * width
     step = max(1, CALL_CELLS // max(len(rows), 1))
@@ -476,7 +500,7 @@ def _histograms(features: Sequence[int], width: int, bins: np.ndarray, parts: Se
         some = features[first : first + step]
         cell = (bins[np.asarray(some)[:, None], rows] + at + size * np.arange(len(some))[:, None]).ravel()
         for k, w in enumerate(weights):
-            total = np.bincount(cell, w if w is None else np.tile(w, len(some)), size * len(some))
+            total = np.bincount(cell, np.tile(w, len(some)), size * len(some))
             out[:, first : first + step, k] = total.reshape(len(some), len(parts), width).transpose(1, 0, 2)
     return out
 
@@ -499,20 +523,26 @@ def _best_splits(features: Sequence[int], classes: list[tuple[int, list[int]]],
     ]
 
 
-def _grown(features: Sequence[int], depth: int, bins: np.ndarray, rows: np.ndarray, g, h, rules: Rules) -> _Growth:
-    """The tree, or part of one, that the numbered ``rows`` grow.
+def _grown(
+    features: Sequence[int], depth: int, bins: np.ndarray, rows: np.ndarray, g, h, rules: Rules, n=None
+) -> _Growth:
+    """The tree, or part of one, that the numbered lines ``rows`` grow; ``n`` has the rows of each line, else it is one.
+
+    A feature with one bin alone has no split and is not looked at.
 
     Of two children only the smaller is counted; the sums are whole numbers, so
     those of the other are exactly the rest.
     """
+    features = [f for f in features if bins[f].min(initial=255) < bins[f].max(initial=0)] or features[:1]
     growth = _Growth(list(features), depth)
+    sums = g, h, np.ones(len(g)) if n is None else n
     classes = _by_width(features, bins)
     inside = {0: rows}
     held: dict[int, list[np.ndarray]] = {}
     counted, rest = [0], {}
     while growth.open:
         made = [
-            _histograms([features[i] for i in places], width, bins, [inside[n] for n in counted], g, h)
+            _histograms([features[i] for i in places], width, bins, [inside[n] for n in counted], sums)
             for width, places in classes
         ]
         now = {n: [x[i] for x in made] for i, n in enumerate(counted)}
@@ -566,7 +596,8 @@ def _chosen(found: Sequence[tuple], rules: Rules) -> list[tuple]:
 
 def auc_of(counts: np.ndarray) -> float:
     """AUC of counts of 0 and 1 labels by ascending score; 0.5 where a class is absent."""
-    zeros, ones = (x.astype(object) for x in counts[:, counts.any(axis=0)])
+    kind = np.int64 if int(counts.sum()) < 1 << 31 else object  # products of rows stay exact
+    zeros, ones = (x.astype(kind) for x in counts[:, counts.any(axis=0)])
     if not zeros.sum() or not ones.sum():
         return 0.5
     below = np.cumsum(zeros) - zeros
@@ -682,7 +713,9 @@ def boost(rows: DataFrame, width: int, folds: int, rules: Rules) -> list[Model]:
     Fold ``f`` learns from the rows of other folds and ends when ``patience``
     trees have brought its own rows no higher AUC, or when no split is left.
     """
-    counts = {(r.fold, r.label): r.n for r in rows.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
+    lines = materialise(merged_lines(rows), "lines")
+    found = lines.groupBy("fold", "label").agg(F.sum("n").alias("n"), F.count("*").alias("lines")).collect()
+    counts = {(r.fold, r.label): r.n for r in found}
     state, learning = [], {}
     for fold in range(folds):
         n, ones = (
@@ -693,9 +726,12 @@ def boost(rows: DataFrame, width: int, folds: int, rules: Rules) -> list[Model]:
         margin = math.log(share / (1 - share))
         state.append(_Fold(fold, margin, margin, margin, ended=not n))
     start = np.array([s.margin for s in state])
-    if sum(counts.values()) * width <= FOLD_BYTES:
-        return _each_fold_at_once(rows, width, start, rules)
-    job = _Job(rows, start, rules)
+    if sum(r.lines for r in found) * width <= FOLD_BYTES:
+        models = _each_fold_at_once(lines, width, start, rules)
+        release(lines)
+        return models
+    job = _Job(lines, start, rules)
+    release(lines)
     growths: dict[int, _Growth] = {}
     while going := [s for s in state if not s.ended]:
         for group in _group(going, width, rules):
@@ -728,18 +764,18 @@ def boost(rows: DataFrame, width: int, folds: int, rules: Rules) -> list[Model]:
     return [Model(s.number, s.margin, s.trees[: s.best]) for s in state]
 
 
-def _each_fold_at_once(rows: DataFrame, width: int, start: np.ndarray, rules: Rules) -> list[Model]:
+def _each_fold_at_once(lines: DataFrame, width: int, start: np.ndarray, rules: Rules) -> list[Model]:
     """The models of a table of bounded size: one task grows all trees of a fold."""
     folds = len(start)
-    written = materialise(_in_blocks(rows, start[:0]), "blocks")
+    written = materialise(_in_blocks(lines, start[:0]), "blocks")
 
     def whole(blocks: Iterator[tuple]) -> Iterator[Model]:
         held: dict[int, list] = {}
         for fold, block in blocks:
-            held.setdefault(fold, []).append(_open_block(block, 0)[:3])
+            held.setdefault(fold, []).append(_open_block(block, 0)[:4])
         for fold, opened in held.items():
-            label, own, bins = (np.concatenate(x, axis=-1) for x in zip(*opened, strict=True))
-            yield _whole_fold(fold, float(start[fold]), label, own == fold, bins, rules)
+            label, own, number, bins = (np.concatenate(x, axis=-1) for x in zip(*opened, strict=True))
+            yield _whole_fold(fold, float(start[fold]), label, own == fold, number, bins, rules)
 
     copies = written.rdd.map(tuple).flatMap(lambda block: [(fold, block) for fold in range(folds)])
     models = copies.partitionBy(folds, int).mapPartitions(whole).collect()  # one per fold
@@ -748,18 +784,32 @@ def _each_fold_at_once(rows: DataFrame, width: int, start: np.ndarray, rules: Ru
     return [made.get(f, Model(f, float(start[f]), [])) for f in range(folds)]
 
 
-def _whole_fold(fold: int, margin: float, label, held_out, bins: np.ndarray, rules: Rules) -> Model:
+def _distinct(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different lines of ``bins``, and which of them each one is."""
+    lines = np.ascontiguousarray(bins.T)
+    whole = lines.view(np.dtype((np.void, lines.shape[1]))).ravel()
+    _, first, which = np.unique(whole, return_index=True, return_inverse=True)
+    return np.ascontiguousarray(bins[:, first]), which
+
+
+def _whole_fold(fold: int, margin: float, label, held_out, number, bins: np.ndarray, rules: Rules) -> Model:
     """All trees of one fold up to its best."""
-    learning = np.flatnonzero(~held_out)
-    s = _Fold(fold, margin, margin, margin, ended=not len(learning))
-    margins = np.full(len(label), margin)
+    bins, line = _distinct(bins)
+    learning, judging = (
+        np.array([np.bincount(line, n, bins.shape[1]) for n in _by_label(label, number * inside)])
+        for inside in (~held_out, held_out)
+    )
+    learnt = np.flatnonzero(learning.any(axis=0))
+    s = _Fold(fold, margin, margin, margin, ended=not len(learnt))
+    margins = np.full(bins.shape[1], margin)
     while not s.ended:
         if s.trees:
-            s.judge(auc_of(_by_score(margins, label, held_out, s.low, s.high)), rules.patience)
+            s.judge(auc_of(_by_score(margins, judging, s.low, s.high)), rules.patience)
         if s.ended or len(s.trees) >= rules.trees:
             break
         features = tried_features(len(bins), rules, fold, len(s.trees))
-        tree = _grown(features, 0, bins, learning, *_gradients(margins, label), rules).finished(rules)
+        g, h, n = _line_sums(margins, learning)
+        tree = _grown(features, 0, bins, learnt, g, h, rules, n).finished(rules)
         if not tree.splits():
             break
         s.add(tree)
@@ -767,57 +817,95 @@ def _whole_fold(fold: int, margin: float, label, held_out, bins: np.ndarray, rul
     return Model(fold, margin, s.trees[: s.best])
 
 
-def scored(rows: DataFrame, models: Sequence[Model], own: bool) -> DataFrame:
-    """``bins`` replaced by ``score``: of the model of the row's ``fold``, or the mean of all."""
-    ready = {m.fold: (m.margin, [t.arrays() for t in m.trees]) for m in models}
+class Forest(NamedTuple):
+    """The trees of one fold for scoring: the columns of all their nodes, and where each tree's nodes end."""
+
+    margin: float
+    ends: np.ndarray
+    nodes: tuple[np.ndarray, ...]
+
+    def trees(self) -> list[tuple[np.ndarray, ...]]:
+        starts = [0, *self.ends[:-1].tolist()]
+        return [tuple(x[a:b] for x in self.nodes) for a, b in zip(starts, self.ends.tolist(), strict=False)]
+
+
+def scored(rows: DataFrame, forests: dict[int, Forest], own: bool) -> DataFrame:
+    """``bins`` replaced by ``score``: of the model of the row's ``fold``, or the mean of all.
+
+    Rows with equal bins have equal scores, so every different line is scored once.
+    """
+    lines = ["fold", "bins"] if own else ["bins"]
     kept = [c for c in rows.columns if c != "bins"]
-    schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*[rows.schema[c] for c in lines], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bins = _lines(batch.column(batch.schema.get_field_index("bins")))
             score = np.zeros(batch.num_rows)
-            for fold, (margin, trees) in ready.items():
+            for fold, forest in forests.items():
                 if own:
                     number = batch.column(batch.schema.get_field_index("fold")).to_numpy(zero_copy_only=False)
                     mine = np.flatnonzero(number == fold)
-                    score[mine] = _chance(_applied(trees, bins[:, mine], margin))
+                    if len(mine):
+                        score[mine] = _chance(_applied(forest.trees(), bins[:, mine], forest.margin))
                 else:
-                    score += _chance(_applied(trees, bins, margin))
-            data = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            done = pa.array(score if own else score / len(ready), pa.float64())
-            yield pa.RecordBatch.from_arrays([*data, done], names=[*kept, "score"])
+                    score += _chance(_applied(forest.trees(), bins, forest.margin))
+            data = [batch.column(batch.schema.get_field_index(c)) for c in lines]
+            done = pa.array(score if own else score / len(forests), pa.float64())
+            yield pa.RecordBatch.from_arrays([*data, done], names=[*lines, "score"])
 
-    return rows.mapInArrow(run, schema)
+    parallel = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Lines of a fold lie side by side, so that a task works on few folds.
+    different = rows.select(*lines).distinct().repartitionByRange(parallel, *lines)
+    return rows.join(different.mapInArrow(run, schema), lines).select(*kept, "score")
 
 
 TREES = (
-    "fold int, margin double, tree int, node int, feature int, cut int, missing_left boolean, "
-    "left int, right int, value double, gain double"
+    "fold int, margin double, tree int, feature array<int>, cut array<int>, missing_left array<boolean>, "
+    "left array<int>, right array<int>, value array<double>, gain array<double>"
 )
+COLUMNS = ("feature", "cut", "missing_left", "left", "right", "value", "gain")
 
 
 def as_rows(models: Sequence[Model]) -> list[tuple]:
-    """Models as rows of TREES; a model without trees is one row with no tree."""
+    """Models as rows of TREES, a row for each tree; a model without trees is one row with no tree."""
     out = []
     for m in models:
-        out += [(m.fold, m.margin, *[None] * 9)] if not m.trees else []
-        for number, tree in enumerate(m.trees):
-            out += [(m.fold, m.margin, number, node, *x) for node, x in enumerate(zip(*tree.columns(), strict=True))]
+        out += [(m.fold, m.margin, *[None] * 8)] if not m.trees else []
+        out += [(m.fold, m.margin, number, *tree.columns()) for number, tree in enumerate(m.trees)]
     return out
 
 
+def as_table(models: Sequence[Model]) -> pa.Table:
+    """``as_rows`` for Arrow, which takes nodes over column by column."""
+    kinds = [pa.int32(), pa.float64(), pa.int32()]
+    kinds += [pa.list_(k) for k in (pa.int32(), pa.int32(), pa.bool_(), *[pa.int32()] * 2, *[pa.float64()] * 2)]
+    columns = zip(*as_rows(models), strict=True)
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["fold", "margin", "tree", *COLUMNS])
+
+
 def from_rows(rows: Sequence) -> list[Model]:
     """The models of rows of TREES in any order."""
     models: dict[int, Model] = {}
-    for r in sorted(rows, key=lambda r: (r["fold"], r["tree"] or 0, r["node"] or 0)):
+    for r in sorted(rows, key=lambda r: (r["fold"], r["tree"] or 0)):
         model = models.setdefault(r["fold"], Model(r["fold"], r["margin"], []))
-        if r["tree"] is None:
-            continue
-        if r["node"] == 0:
-            model.trees.append(Tree(*[[] for _ in range(7)]))
-        for column, name in zip(
-            model.trees[-1].columns(), ("feature", "cut", "missing_left", "left", "right", "value", "gain"), strict=True
-        ):
-            column.append(r[name])
+        if r["tree"] is not None:
+            model.trees.append(Tree(*[list(r[name]) for name in COLUMNS]))
     return [models[f] for f in sorted(models)]
+
+
+def forests(table: pa.Table) -> dict[int, Forest]:
+    """The trees of each fold, from rows of TREES in any order."""
+    table = table.sort_by([("fold", "ascending"), ("tree", "ascending")])
+    number = table["fold"].to_numpy()
+    found = {}
+    for fold in np.unique(number).tolist():
+        first, end = np.searchsorted(number, [fold, fold + 1]).tolist()
+        own = table.slice(first, end - first)
+        grown = own.filter(own["tree"].is_valid())
+        columns = [grown[c].combine_chunks() for c in COLUMNS[:6]]
+        kinds = (np.int32, np.int16, bool, np.int32, np.int32, np.float64)
+        nodes = tuple(c.flatten().to_numpy(zero_copy_only=False).astype(k) for c, k in zip(columns, kinds, strict=True))
+        ends = np.cumsum(columns[0].value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+        found[fold] = Forest(own["margin"][0].as_py(), ends, nodes)
+    return found

@@ -9,10 +9,11 @@ of its own in every split.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from entityloom.operators import boosting
@@ -108,7 +109,7 @@ def train_folds(
 
     def fitted() -> DataFrame:
         models = boosting.boost(labelled, len(features), folds, rules)
-        return spark.createDataFrame(boosting.as_rows(models), boosting.TREES).coalesce(1)
+        return spark.createDataFrame(boosting.as_table(models), boosting.TREES).coalesce(1)
 
     if stages is None:
         kept = materialise(fitted(), "trees")
@@ -117,26 +118,23 @@ def train_folds(
         path = f"{stages}/folds-{hashlib.sha256(named.encode()).hexdigest()[:32]}"
         complete = read_completion(spark, path) is not None
         kept = load_stage(spark, path) if complete else write_stage(fitted(), path, "folds")
-    models = boosting.from_rows(kept.collect())  # at most ``folds`` times ``trees`` times twice ``leaves`` nodes
+    forests = boosting.forests(kept.toArrow())  # at most ``folds`` times ``trees`` times twice ``leaves`` nodes
 
-    out_of_fold = boosting.scored(labelled.select(key, "label", "fold", "bins"), models, own=True)
+    out_of_fold = boosting.scored(labelled.select(key, "label", "fold", "bins"), forests, own=True)
     unlabelled = binned.filter(F.col("label").isNull()).select(key, "bins")
-    importance = split_shares(models, features)
+    importance = split_shares(forests, features)
     table = spark.createDataFrame(importance, "feature string, importance double, fold int")
-    return FoldResult(out_of_fold, boosting.scored(unlabelled, models, own=False), table, kept)
+    return FoldResult(out_of_fold, boosting.scored(unlabelled, forests, own=False), table, kept)
 
 
-def split_shares(models: Sequence[boosting.Model], features: Sequence[str]) -> list[tuple]:
+def split_shares(forests: Mapping[int, boosting.Forest], features: Sequence[str]) -> list[tuple]:
     """(feature, share of the model's splits, fold from 1); 0 for a model without splits."""
     out = []
-    for model in models:
-        counts = [0] * len(features)
-        for tree in model.trees:
-            for feature in tree.feature:
-                if feature >= 0:
-                    counts[feature] += 1
+    for fold, forest in forests.items():
+        split_on = forest.nodes[0]
+        counts = np.bincount(split_on[split_on >= 0], minlength=len(features)).tolist()
         total = max(sum(counts), 1)
-        out += [(name, n / total, model.fold + 1) for name, n in zip(features, counts, strict=True)]
+        out += [(name, n / total, fold + 1) for name, n in zip(features, counts, strict=True)]
     return out
 
 

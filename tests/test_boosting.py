@@ -225,3 +225,56 @@ def test_histograms_of_features_of_any_width(monkeypatch):
     assert one.splits() > 5
     monkeypatch.setattr(boosting, "CALL_CELLS", 1)
     assert boosting._grown([0, 1, 2, 3, 4], 0, bins, np.arange(500), *sums, rules).finished(rules) == one
+
+
+@pytest.mark.parametrize("local", [4096, 40, 0])
+def test_equal_rows_are_one_line_of_their_weight(spark, local, monkeypatch):
+    monkeypatch.setattr(boosting, "LOCAL_ROWS", local)
+    x, y, own = table(120, 9)
+    x, y, own = np.tile(x, (3, 1)), np.tile(y, 3), np.tile(own, 3)
+    data = frame(spark, x, y, own, 4)
+    lines = rows(boosting.merged_lines(data))
+    assert sum(r["n"] for r in lines) == len(y) and len(lines) <= len(y) / 3
+    rules = replace(RULES, patience=1000)
+    whole = boosting.boost(data, 3, 3, rules)
+    bins = {r.id: np.frombuffer(r.bins, np.uint8) for r in data.select("id", "bins").collect()}
+    bins = np.array([bins[i] for i in range(len(y))]).T
+    for m in whole:
+        margin = m.margin + boosting._applied([t.arrays() for t in m.trees], bins)
+        assert margin == pytest.approx(plain_margins(x, y, own, m.fold, RULES)[len(m.trees) - 1], abs=1e-9)
+    monkeypatch.setattr(boosting, "FOLD_BYTES", 0)
+    assert boosting.as_rows(boosting.boost(data, 3, 3, rules)) == boosting.as_rows(whole)
+
+
+def test_many_equal_rows_are_trained_without_a_job_for_each_tree(spark, monkeypatch):
+    x, y, own = table(150, 10)
+    data = frame(spark, np.tile(x, (4, 1)), np.tile(y, 4), np.tile(own, 4))
+    monkeypatch.setattr(boosting, "FOLD_BYTES", 3 * len(y))  # the lines' bins, but not the rows'
+    spark.sparkContext.setJobGroup("equal rows", "")
+    try:
+        boosting.boost(data, 3, 3, replace(RULES, trees=40, patience=1000))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("equal rows")) < 12
+
+
+def test_forests_hold_the_trees_of_their_rows(spark):
+    x, y, own = table(120, 11)
+    models = [*boosting.boost(frame(spark, x, y, own), 3, 3, RULES), boosting.Model(3, 0.25, [])]
+    stored = spark.createDataFrame(boosting.as_table(models), boosting.TREES).repartition(4)
+    found = boosting.forests(stored.toArrow())
+    for m in models:
+        trees = found[m.fold].trees()
+        assert found[m.fold].margin == m.margin and len(trees) == len(m.trees)
+        for tree, kept in zip(m.trees, trees, strict=True):
+            assert [a.tolist() for a in tree.arrays()] == [a.tolist() for a in kept]
+
+
+def test_every_different_line_is_scored_once(spark):
+    df = spark.range(400).select("id", (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 5).cast("double").alias("a"))
+    df = df.withColumn("y", F.when(F.col("id") < 300, F.col("y")))
+    result = model.train_folds(df, "id", "y", ["a"], folds=2, trees=2, patience=5)
+    for scores, n in ((result.out_of_fold, 300), (result.scores, 100)):
+        assert scores.count() == n
+        plan = scores._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" in plan and plan.index("MapInArrow") < plan.index("Aggregate")  # distinct lines come first
