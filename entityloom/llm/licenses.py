@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -147,8 +147,8 @@ TEMPLATES: list[tuple[str, str]] = [
     ),
 ]
 
-WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-UPPER = {c: c + 32 for c in range(65, 91)}
+#: For each byte of UTF-8: A to Z become small letters, what is in no word a space; bytes from 128 on are of letters.
+FOLDED = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256)).lower()
 
 
 @dataclass
@@ -183,7 +183,8 @@ class Automaton:
         self.needed = max(1, sum(self.mandatory))
         self.start = self._closed({0})
         self.memory: dict[tuple[frozenset, str], frozenset] = {}
-        self.words = {w for w, _ in self.moves if w is not None}
+        written = [w for w, _ in self.moves if w is not None]
+        self.words = {w: w for w in written} | {w.encode(): w for w in written}
 
     def _closed(self, states: set[int]) -> frozenset:
         left, seen = list(states), set(states)
@@ -197,15 +198,19 @@ class Automaton:
     def first_words(self) -> set[str]:
         return {self.moves[s][0] for s in self.start if s < self.final and self.moves[s][0]}
 
-    def step(self, states: frozenset, word: str) -> frozenset:
-        key = (states, word if word in self.words else "")
+    def step(self, states: frozenset, word: str | bytes) -> frozenset:
+        word = self.words.get(word, "")
+        key = (states, word)
         if key not in self.memory:
             on = {self.moves[s][1] for s in states if s < self.final and self.moves[s][0] in (None, word)}
             self.memory[key] = self._closed(on)
         return self.memory[key]
 
-    def run(self, words: list[str], at: int) -> tuple[int, float]:
-        """End of the longest accepted run from ``at`` (else -1); share of mandatory words read."""
+    def run(self, words: list[str] | list[bytes], at: int) -> tuple[int, float]:
+        """End of the longest accepted run from ``at`` (else -1); share of mandatory words read.
+
+        Words come as text or as UTF-8.
+        """
         states, end, best = self.start, -1, 0
         for i in range(at, len(words)):
             states = self.step(states, words[i])
@@ -219,17 +224,17 @@ class Automaton:
 
 class Scanner:
     def __init__(self, templates: list[tuple[str, str]], base: dict[str, str]):
-        self.base = [(p.split(), label) for p, label in base.items()]
+        self.base = [(p.encode().split(), label) for p, label in base.items()]
         self.by_word: dict[str, list[Automaton]] = {}
         for label, markup in templates:
             automaton = Automaton(label, markup)
             for word in automaton.first_words():
                 self.by_word.setdefault(word, []).append(automaton)
-        self.firsts = {p[0] for p, _ in self.base} | self.by_word.keys()
+        self.firsts = {p[0] for p, _ in self.base} | {w.encode() for w in self.by_word}
 
-    def scan(self, text: str) -> tuple:
-        text = text.translate(UPPER) if not text.isascii() else text.lower()
-        words = WORDS.findall(text)
+    def scan(self, text: str | bytes) -> tuple:
+        """Words stay UTF-8: a text is folded and cut as bytes, whatever its letters."""
+        words = (text.encode() if isinstance(text, str) else text).translate(FOLDED).split()
         n = len(words)
         starts, base, found, spans, score = [], set(), set(), [], 0.0
         for at in [i for i, w in enumerate(words) if w in self.firsts]:
@@ -238,7 +243,7 @@ class Scanner:
                 if word == phrase[0] and words[at : at + len(phrase)] == phrase:
                     starts.append(at)
                     base.add(label)
-            for automaton in self.by_word.get(word, ()):
+            for automaton in self.by_word.get(word.decode(), ()):
                 end, share = automaton.run(words, at)
                 score = max(score, share if end < 0 else 1.0)
                 if end > 0:
@@ -251,7 +256,11 @@ class Scanner:
         return n, len(starts), first, last, join(base), join(base | found), score, spans
 
 
-COLUMNS = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
+SPAN = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+COLUMNS = {
+    "n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(),
+    "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64(), "spans": pa.list_(SPAN),
+}
 SCHEMA = (
     "n_words long, n_base long, first_word long, last_word long, base_labels string, "
     "labels string, score double, spans array<struct<label:string,start:long,end:long>>"
@@ -272,17 +281,13 @@ def scan_licenses(
     own = TEMPLATES if templates is None else templates
     phrases = BASE if base is None else base
 
-    @F.pandas_udf(SCHEMA)
-    def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(SCHEMA)
+    def scanned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scanner = kept(("licenses", str(own), str(phrases)), lambda: Scanner(own, phrases))
         for texts in batches:
-            rows = [scanner.scan(t) for t in texts]
-            out = pd.DataFrame(rows, columns=COLUMNS)
-            for c in ("first_word", "last_word"):
-                out[c] = out[c].astype("Int64")
-            out["spans"] = [
-                [{"label": a, "start": b, "end": c} for a, b, c in spans] for spans in out["spans"]
-            ]
-            yield out
+            *plain, spans = zip(*map(scanner.scan, texts.to_pylist()), strict=True) if len(texts) else [()] * len(COLUMNS)
+            named = [[dict(zip(("label", "start", "end"), x, strict=True)) for x in found] for found in spans]
+            columns = [pa.array(x, kind) for x, kind in zip([*plain, named], COLUMNS.values(), strict=True)]
+            yield pa.StructArray.from_arrays(columns, names=list(COLUMNS))
 
-    return scanned(F.coalesce(text, F.lit("")))
+    return scanned(F.coalesce(text, F.lit("")).cast("binary"))

@@ -1,6 +1,7 @@
 """Language, toxicity and licenses: rules, brute force and held-out accuracy."""
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -293,6 +294,25 @@ def test_automaton_takes_optional_and_any_words():
     assert all(a.run(t.split(), 0)[0] < 0 for t in refused)
 
 
+def test_license_words_are_cut_from_utf8():
+    """Any character in or between words: bytes give what a pattern over characters gives."""
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.BASE)
+    odd = [*map(chr, range(0x120)), "\u0130", "\u0301", "\u2028", "\u3000", "\ud7ff", "\uffff", "\U0001f600"]
+    for c in odd:
+        text = f"x{c}Under{c}the MIT{c} license, under the mit license{c}"
+        small = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", small)
+        starts = [i for i in range(len(words)) if words[i : i + 4] == "under the mit license".split()]
+        found = scanner.scan(text.encode())
+        assert found[:4] == (len(words), len(starts), *((starts[0], starts[-1]) if starts else (None, None)))
+        assert found == scanner.scan(text)
+
+
+def test_license_texts_reach_the_scanner_as_bytes(spark, edges):
+    plan = edges.select(licenses.scan_licenses(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "as binary" in plan and "ArrowEvalPython" in plan
+
+
 def test_licenses_over_a_table(spark, edges, empty):
     docs = edges.select("doc_id", F.concat_ws(" ", F.lit("under the MIT license"), "text", F.lit("Under The Mit License")).alias("text"))
     found = docs.select("text", licenses.scan_licenses(F.col("text")).alias("f")).collect()
