@@ -6,7 +6,8 @@ heaviest first. A row is indexed in its leading dimensions only: what follows
 is left out as soon as the norms of the rest, of the row and of every anchor,
 cannot reach a threshold. Partial scores are accumulated over this index,
 pairs are dropped when partial score and product of remaining norms stay below
-the threshold, and the few left are computed whole.
+the threshold, and the few left are computed whole. Cells of a step are multiplied
+as one matrix product, and so is what is left when many pairs are.
 
 An anchor whose window holds too few rows asks again with a lower threshold, in
 a further round of Spark jobs for such anchors only; the last round has none
@@ -31,10 +32,12 @@ TILE_ANCHORS = 256
 TILE_CELLS = 1 << 17
 #: Norms are rounded: a pair is dropped only where its bound is below by this share.
 SLACK = 1e-5
+#: Bounds have the scores' type: they are rounded by less than this share of the norms' product.
+ROUNDING = 1e-6
 #: Dimensions between two looks at the bounds.
 STEP = 16
 #: Pairs that are left are computed one by one once so few of all are.
-FEW = 1 / 16
+FEW = 1 / 256
 #: Thresholds of the rounds for positives, as a share of the anchor's squared norm.
 POSITIVE_STEPS = (0.75, 0.5, 0.25, 0.0, None)
 #: Thresholds for negatives, as a share of the least ceiling; the last is the window's floor.
@@ -68,28 +71,46 @@ def threshold_scores(
     if n and least.min() > 0:
         reach = (of_anchor / least[:, None]).max(axis=0)
         indexed = (reach * of_row >= 1).sum(axis=1)
-    scores = np.zeros((n, m), dtype=anchors.dtype)
-    done = 0
+    lowest = (least - ROUNDING * of_anchor[:, 0] * of_row[:, 0].max(initial=0.0))[:, None].astype(anchors.dtype)
+    of_anchor, of_row = of_anchor.astype(anchors.dtype), of_row.astype(anchors.dtype)
+    scores, room = np.zeros((n, m), dtype=anchors.dtype), np.empty((n, m), dtype=anchors.dtype)
+    dimensions = np.arange(width)
+
+    def add(start: int, end: int, cells: np.ndarray) -> None:
+        """Scores of these dimensions, of the rows' ``cells`` alone."""
+        part = np.where(cells, rows[:, start:end], 0)
+        posting = np.flatnonzero(part.any(axis=1))
+        if 2 * len(posting) >= m:
+            np.add(scores, np.matmul(anchors[:, start:end], part.T, out=room), out=scores)
+        elif len(posting):
+            scores[:, posting] += anchors[:, start:end] @ part[posting].T
+
+    def possible(upto: np.ndarray) -> np.ndarray:
+        """Pairs that what lies behind the dimensions read so far can bring to the threshold."""
+        if len(upto) and upto.min() == upto.max():
+            np.multiply(of_anchor[:, upto[0], None], of_row[:, upto[0]], out=room)
+        else:
+            np.take(of_anchor, upto, axis=1, out=room, mode="clip")
+            np.multiply(room, of_row[np.arange(m), upto], out=room)
+        return np.add(room, scores, out=room) >= lowest
+
+    read, alive = np.zeros(m, dtype=np.int64), np.ones((n, m), dtype=bool)
     for start in range(0, int(indexed.max(initial=0)), STEP):
         done = min(start + STEP, width)
-        for d in range(start, done):
-            posting = np.flatnonzero((indexed > d) & (rows[:, d] != 0))
-            if 2 * len(posting) >= m:
-                scores += anchors[:, d, None] * np.where(indexed > d, rows[:, d], 0)
-            elif len(posting):
-                scores[:, posting] += anchors[:, d, None] * rows[posting, d]
-        if start + STEP < width:
-            upto = np.minimum(done, indexed)
-            bound = scores + of_anchor[:, upto] * of_row[np.arange(m), upto]
-            alive = bound >= least[:, None]
-            if alive.sum() <= FEW * alive.size:
-                break
+        add(start, done, dimensions[start:done] < indexed[:, None])
+        read = np.minimum(done, indexed)
+        alive = possible(read)
+        if np.count_nonzero(alive) <= FEW * alive.size:
+            break
     else:
-        upto = np.minimum(done, indexed)
-        alive = scores + of_anchor[:, upto] * of_row[np.arange(m), upto] >= least[:, None]
+        if not indexed.any():
+            alive = possible(read)
+        if np.count_nonzero(alive) > FEW * alive.size:
+            add(0, width, dimensions >= read[:, None])
+            read, alive = np.full(m, width), scores >= lowest
     a, r = np.nonzero(alive)
     exact = scores[a, r]
-    unread = np.flatnonzero(np.minimum(done, indexed)[r] < width)
+    unread = np.flatnonzero(read[r] < width)
     for at in range(0, len(unread), 1 << 14):
         part = unread[at : at + (1 << 14)]
         exact[part] = np.einsum("ij,ij->i", anchors[a[part]], rows[r[part]])
@@ -148,6 +169,19 @@ def _first(group: np.ndarray, place: np.ndarray, score: np.ndarray, k: int) -> n
     return order[rank < k]
 
 
+def _windows(floors: list, ceilings: list) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Least and largest score of each window, by anchor; nothing lies in a window that an anchor has not."""
+
+    def bound(x: list | None, window: int, absent: int) -> int:
+        return x[window] if x and window < len(x) else absent
+
+    most = max((len(x or ()) for x in floors), default=0)
+    return [
+        tuple(np.array([bound(x, window, absent) for x in side]) for side, absent in ((floors, 1), (ceilings, 0)))
+        for window in range(most)
+    ]
+
+
 def _join(group: blocks.Group, factor: float, k: int, same_label: bool) -> Iterator[pa.RecordBatch]:
     """The first k rows of each window of each anchor that reach its threshold, of this block."""
     anchors, rows = _Block(group.queries, "q", factor), _Block(group.rows, "r", factor)
@@ -159,8 +193,9 @@ def _join(group: blocks.Group, factor: float, k: int, same_label: bool) -> Itera
     floors, ceilings = (anchors.table[c].to_pylist() for c in ("q_floors", "q_ceilings"))
     size = max(1, TILE_CELLS // max(width, 1))
     row_tiles = rows.tiles(size, same_label)
-    for a, b in anchors.tiles(min(TILE_ANCHORS, size), True):
-        left, label = anchors.part(a, b, width, kind), anchors.label[a]
+    for a, b in anchors.tiles(min(TILE_ANCHORS, size), same_label):
+        left, label = anchors.part(a, b, width, kind), anchors.label[a:b]
+        windows = _windows(floors[a:b], ceilings[a:b])
         kept: list[tuple] = []
         held = 0
 
@@ -170,18 +205,14 @@ def _join(group: blocks.Group, factor: float, k: int, same_label: bool) -> Itera
             return [tuple(x[best] for x in whole)]
 
         for c, d in row_tiles:
-            if same_label and rows.label[c] != label:
+            if same_label and rows.label[c] != label[0]:
                 continue
             anchor, row, score = threshold_scores(left, rows.part(c, d, width, kind), least[a:b])
             row = row + c
             own = (rows.id[row] == anchors.id[a + anchor]) & ~rows.absent[row] & ~anchors.absent[a + anchor]
-            wanted = ~own & ((rows.label[row] == label) == same_label)
+            wanted = ~own & ((rows.label[row] == label[anchor]) == same_label)
             anchor, row, score = anchor[wanted], row[wanted], score[wanted]
-            for window in range(max((len(floors[a + i] or ()) for i in range(b - a)), default=0)):
-                low, high = (
-                    np.array([(x[a + i] or ())[window] if window < len(x[a + i] or ()) else y for i in range(b - a)])
-                    for x, y in ((floors, 1), (ceilings, 0))
-                )
+            for window, (low, high) in enumerate(windows):
                 inside = np.flatnonzero((score >= low[anchor]) & (score <= high[anchor]))
                 inside = inside[_first(anchor[inside], rows.place[row[inside]], score[inside], k)]
                 kept.append((anchor[inside], np.full(len(inside), window), row[inside], score[inside]))

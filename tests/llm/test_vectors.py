@@ -152,6 +152,22 @@ def test_threshold_scores_lose_no_pair():
         assert {(i, j): x for i, j, x in zip(a, r, s, strict=True)} == expected
 
 
+@pytest.mark.parametrize("share", [0.2, 0.35, 0.5, 0.8])
+def test_few_pairs_are_multiplied_one_by_one(monkeypatch, share):
+    """Norms of random vectors prune little: what is left of many pairs is one matrix product."""
+    rng = np.random.default_rng(6)
+    anchors, rows = (rng.normal(size=(n, 64)) for n in (50, 400))
+    anchors, rows = (np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True)) for x in (anchors, rows))
+    single, einsum = [], np.einsum
+    monkeypatch.setattr(negatives.np, "einsum", lambda form, a, b: single.append(len(a)) or einsum(form, a, b))
+    least = share * (anchors**2).sum(axis=1)
+    a, r, s = negatives.threshold_scores(anchors.astype(np.float32), rows.astype(np.float32), least)
+    scores = anchors @ rows.T
+    expected = {(i, j): scores[i, j] for i, j in zip(*np.nonzero(scores >= least[:, None]), strict=True)}
+    assert {(i, j): x for i, j, x in zip(a, r, s, strict=True)} == expected
+    assert sum(single) <= scores.size / 100
+
+
 def test_postings_scatter_equals_products():
     rng = np.random.default_rng(4)
     left, right = (rng.integers(-5, 6, (n, 30)) * (rng.random((n, 30)) < 0.3) for n in (17, 40))
