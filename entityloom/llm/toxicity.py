@@ -4,7 +4,8 @@ Words are hashed to embeddings; filters one, two and three words wide run over
 the whole text, each keeps its maximum, and a logistic layer weighs the maxima.
 Words that are rare in the training sample, or as usual with one label as with
 the other, share the zero embedding, so that they cannot collide with telling ones. A filter's response is a sum of one table
-row per word, which makes scoring a text a matter of table look-ups.
+row per word, which makes scoring a text a matter of table look-ups. Texts are looked
+up together: Arrow splits them into one column of words and finds these in the vocabulary.
 
 All labelled rows take part that are not held out. Words are counted in tasks;
 a pass over the fitting rows is one job, in which every shard of them goes on
@@ -20,11 +21,13 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +57,11 @@ BATCH = 64
 DECISION = 0.7
 #: Rows of each label that a language needs for a threshold of its own.
 LEAST_LABELS = 20
+#: Characters of texts whose words are looked up together.
+CHUNK_CHARACTERS = 1 << 21
 WORDS = re.compile(r"[^\W\d_]+")
+#: For each character of Latin-1: itself if it is in words, else a space.
+LETTERS = bytes(b if WORDS.fullmatch(chr(b)) else 32 for b in range(256))
 #: Common words by which the language of a text is told; texts without any are "other".
 COMMON = {
     "de": "der die das und ist von ein eine nicht mit auf für zu dem den sich auch",
@@ -64,8 +71,17 @@ COMMON = {
 }
 
 
+def spaced(text: str) -> str:
+    """The words of a text in small letters, with spaces around them."""
+    small = text.lower()
+    try:
+        return small.encode("latin-1").translate(LETTERS).decode("latin-1")
+    except UnicodeEncodeError:  # other letters
+        return " ".join(WORDS.findall(small))
+
+
 def words_of(text: str) -> list[str]:
-    return WORDS.findall(text.lower())
+    return spaced(text).split()
 
 
 def profile(words: list[str]) -> str:
@@ -79,6 +95,59 @@ def profile(words: list[str]) -> str:
     return best
 
 
+def chunks(texts: Sequence[str]) -> Iterator[list[str]]:
+    """The texts in turn, up to ``CHUNK_CHARACTERS`` at once, or one that is longer."""
+    held: list[str] = []
+    size = 0
+    for text in texts:
+        if held and size + len(text) > CHUNK_CHARACTERS:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
+def looked_up(texts: list[str], buckets: dict[str, int]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """``squeezed`` ids of the texts' words one after the other, the number of each text, and its ``profile``."""
+    lists = pc.ascii_split_whitespace(pa.array([spaced(t) for t in texts], pa.string()))
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    words = lists.flatten()
+    there = pc.greater(pc.binary_length(words), 0)
+    text = np.repeat(np.arange(len(texts)), sizes)[there.to_numpy(zero_copy_only=False)]
+    words = words.filter(there)
+    sizes = np.bincount(text, minlength=len(texts))
+
+    names = list(dict.fromkeys([*buckets, *(w for common in COMMON.values() for w in common.split())]))
+    vocabulary, unknown = pa.array(names, pa.string()), len(names)
+    number = np.array([*(buckets.get(w, 0) for w in names), 0], dtype=np.int32)
+    place = pc.index_in(words, vocabulary).fill_null(unknown).to_numpy()
+    ids = number[place]
+    longer = np.flatnonzero((ids == 0) & (pc.utf8_length(words).to_numpy() > STEM))
+    stems = pc.binary_join_element_wise(pc.utf8_slice_codeunits(words.take(pa.array(longer)), 0, STEM), "*", "")
+    ids[longer] = number[pc.index_in(stems, vocabulary).fill_null(unknown).to_numpy()]
+
+    at = {w: i for i, w in enumerate(names)}
+    counts = [np.zeros(len(texts))]  # no common word at all comes first of equals
+    for common in COMMON.values():
+        times = np.bincount([at[w] for w in common.split()], minlength=unknown + 1)
+        counts.append(np.bincount(text, times[place], len(texts)))
+    languages = ["other", *COMMON]
+    best = np.argmax(counts, axis=0)
+    near = _near(ids, np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+    return ids[near], np.bincount(text[near], minlength=len(texts)), [languages[i] for i in best]
+
+
+def _near(ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which words ``squeezed`` leaves; ``place`` is the word's number in its text."""
+    width = max(WIDTHS)
+    near = place < width
+    for back in range(width + 1):
+        near[back:] |= (ids[: len(ids) - back] != 0) & (place[back:] >= back)
+    return near
+
+
 @dataclass
 class Model:
     buckets: dict[str, int]  # known words; 0 is every other word
@@ -88,16 +157,27 @@ class Model:
     base: float
     thresholds: dict[str, float]
 
-    def raw(self, ids: np.ndarray) -> float:
-        return float(_logistic(pooled(ids, self.tables, self.bias)[0] @ self.weights + self.base))
+    def raw(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The logistic layer's answer for each text; ``sizes`` cuts ``ids`` into texts."""
+        pool, _ = pooled_texts(*padded(ids, sizes), self.tables, self.bias)
+        return _logistic(np.array([line @ self.weights for line in pool]) + self.base)
+
+    def scores(self, texts: Sequence[str]) -> list[float]:
+        found = []
+        for chunk in chunks(texts):
+            ids, sizes, languages = looked_up(chunk, self.buckets)
+            for raw, language in zip(self.raw(ids, sizes).tolist(), languages, strict=True):
+                found.append(_scaled(raw, self.thresholds.get(language, self.thresholds[""])))
+        return found
 
     def score(self, text: str) -> float:
-        words = words_of(text)
-        raw = self.raw(squeezed(ids_of(words, self.buckets)))
-        at = self.thresholds.get(profile(words), self.thresholds[""])
-        if raw < at:
-            return min(DECISION * raw / at, np.nextafter(DECISION, 0))
-        return min(1.0, DECISION + (1 - DECISION) * (raw - at) / (1 - at))
+        return self.scores([text])[0]
+
+
+def _scaled(raw: float, at: float) -> float:
+    if raw < at:
+        return min(DECISION * raw / at, np.nextafter(DECISION, 0))
+    return min(1.0, DECISION + (1 - DECISION) * (raw - at) / (1 - at))
 
 
 def _logistic(x):
@@ -120,6 +200,36 @@ def pooled(ids: np.ndarray, tables, bias: np.ndarray) -> tuple[np.ndarray, list[
     return np.concatenate(best) + bias, places
 
 
+def padded(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``ids`` and ``sizes`` with each text padded to the widest filter with word 0."""
+    whole = np.maximum(sizes, max(WIDTHS))
+    first = np.cumsum(whole) - whole
+    out = np.zeros(whole.sum(), dtype=ids.dtype)
+    out[np.arange(len(ids)) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)] = ids
+    return out, whole
+
+
+def pooled_texts(
+    ids: np.ndarray, sizes: np.ndarray, tables, bias: np.ndarray, places: bool = False
+) -> tuple[np.ndarray, list[np.ndarray]]:
+    """``pooled`` for padded texts one after the other: a line for each text; places are those in ``ids``."""
+    starts = np.cumsum(sizes) - sizes
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    best, found = [], []
+    for own in tables:
+        n = len(ids) - len(own) + 1
+        response = own[0][ids[:n]]
+        for j in range(1, len(own)):
+            response = response + own[j][ids[j : n + j]]
+        # Windows over two texts lie between the end of one and the start of the next.
+        cuts = np.column_stack([starts, starts + sizes - len(own) + 1]).ravel()[:-1]
+        best.append(np.maximum.reduceat(response, cuts, axis=0)[::2])
+        if places:
+            place = np.where(response == best[-1][text[:n]], np.arange(n)[:, None], n)
+            found.append(np.minimum.reduceat(place, cuts, axis=0)[::2])
+    return np.concatenate(best, axis=1) + bias, found
+
+
 def stem(word: str) -> str:
     """What stands in for a longer word that is not known itself."""
     return word[:STEM] + "*" if len(word) > STEM else ""
@@ -188,9 +298,12 @@ def encoded(rows: DataFrame, buckets: dict[str, int]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            words = [words_of(t) for t in batch.pop("text")]
-            batch["language"] = [profile(w) for w in words]
-            batch["ids"] = [squeezed(ids_of(w, buckets)).astype("<i4").tobytes() for w in words]
+            held, languages = [], []
+            for chunk in chunks(batch.pop("text")):
+                ids, sizes, told = looked_up(chunk, buckets)
+                held += [x.astype("<i4").tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+                languages += told
+            batch["language"], batch["ids"] = languages, held
             yield batch
 
     return rows.mapInPandas(run, "doc_id string, toxic int, rest int, language string, ids binary")
@@ -218,13 +331,14 @@ def one_pass(state: dict, ids: list[np.ndarray], labels: np.ndarray, share: floa
     parameters, mean, square = ({k: p.copy() for k, p in state[n].items()} for n in ("parameters", "mean", "square"))
     step = state["step"]
     weight = np.where(labels == 1, 0.5 / share, 0.5 / max(1 - share, 1e-9))
-    ids = [np.concatenate([x, np.zeros(max(0, max(WIDTHS) - len(x)), np.int32)]) for x in ids]
+    whole, lengths = padded(np.concatenate(ids), np.array([len(x) for x in ids]))
+    ids = np.split(whole, np.cumsum(lengths)[:-1])
     order = rng.permutation(len(ids))
     for at in range(0, len(order), BATCH):
         part = order[at : at + BATCH]
         now = _tables(parameters)
-        results = [pooled(ids[i], now, parameters["b"]) for i in part]
-        pool = np.array([r[0] for r in results])
+        words = np.concatenate([ids[i] for i in part])
+        pool, places = pooled_texts(words, lengths[part], now, parameters["b"], places=True)
         error = _logistic(pool @ parameters["v"] + parameters["c"][0]) - labels[part]
         error *= weight[part] / len(part)
         grads = {k: np.zeros_like(p) for k, p in parameters.items()}
@@ -235,7 +349,7 @@ def one_pass(state: dict, ids: list[np.ndarray], labels: np.ndarray, share: floa
         for n, w in enumerate(WIDTHS):
             own = back[:, n * FILTERS : (n + 1) * FILTERS]
             for j in range(w):
-                rows = np.array([ids[i][r[1][n] + j] for i, r in zip(part, results, strict=True)])
+                rows = words[places[n] + j]
                 grads[f"w{w}"][j] = np.einsum("bf,bfd->df", own, parameters["e"][rows])
                 np.add.at(grads["e"], rows, own[:, :, None] * parameters[f"w{w}"][j].T)
         grads["e"][0] = 0
@@ -303,8 +417,10 @@ def calibrate(model: Model, rows: DataFrame) -> None:
 
     @F.pandas_udf("int")
     def step(ids: pd.Series) -> pd.Series:
-        raw = [model.raw(np.frombuffer(x, dtype="<i4")) for x in ids]
-        return pd.Series([min(int(x * SCORE_STEPS), SCORE_STEPS - 1) for x in raw], dtype="int32")
+        if not len(ids):
+            return pd.Series([], dtype="int32")
+        raw = model.raw(np.frombuffer(b"".join(ids), dtype="<i4"), ids.map(len).to_numpy() // 4)
+        return pd.Series([min(int(x * SCORE_STEPS), SCORE_STEPS - 1) for x in raw.tolist()], dtype="int32")
 
     counted = rows.select("language", "toxic", step("ids").alias("step")).groupBy("language", "toxic", "step")
     found: dict[str, np.ndarray] = {}
@@ -355,6 +471,6 @@ def toxicity(text: Column, model: Model | None) -> Column:
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         kept("toxicity", dict)
         for texts in batches:
-            yield pd.Series([model.score(t) if model else 0.0 for t in texts], dtype="float64")
+            yield pd.Series(model.scores(texts) if model else np.zeros(len(texts)), dtype="float64")
 
     return scored(F.coalesce(text, F.lit("")))

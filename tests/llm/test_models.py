@@ -199,6 +199,55 @@ def test_runs_of_unknown_words_keep_all_responses():
         assert (toxicity.pooled(short, tables, bias)[0] == toxicity.pooled(ids, tables, bias)[0]).all()
 
 
+def toxic_model(rng, words):
+    buckets = {w: i % 40 + 1 for i, w in enumerate([*words, "planet*", "stra\u00dfen*"])}
+    tables = [[rng.normal(size=(41, toxicity.FILTERS)).astype(np.float32) for _ in range(w)] for w in toxicity.WIDTHS]
+    for own in tables:
+        for t in own:
+            t[0] = 0
+    n = toxicity.FILTERS * len(toxicity.WIDTHS)
+    return toxicity.Model(buckets, tables, rng.normal(size=n), rng.normal(size=n), -1.0, {"": 0.4, "en": 0.6, "de": 0.5})
+
+
+def test_texts_are_looked_up_together_as_one_by_one(monkeypatch):
+    rng = np.random.default_rng(12)
+    words = ["the", "und", "horrid", "\u00e9t\u00e9", "\u0142za", "planetary", "stra\u00dfenbahn", "planet", "der", "zz"]
+    ends = [" ", ", ", "_", "7", "\x85", "\u00a0", "\n", "\u3000", "\u00b2"]
+    texts = ["", " ", ".", "\u0130stanbul", "\u0391\u03a3 \u0392\u03a3", *words, *(w.upper() for w in words)]
+    for n in rng.integers(0, 60, 150):
+        texts.append("".join(rng.choice(words) + rng.choice(ends) for _ in range(n)))
+    texts += ["x " * 500 + "horrid " + "y " * 9, "the " * 700]
+    model = toxic_model(rng, words[:5])
+    for size in (1 << 21, 300):
+        monkeypatch.setattr(toxicity, "CHUNK_CHARACTERS", size)
+        assert [t for c in toxicity.chunks(texts) for t in c] == texts
+        scores = model.scores(texts)
+        for text, score in zip(texts, scores, strict=True):
+            plain = re.findall(r"[^\W\d_]+", text.lower())
+            assert toxicity.words_of(text) == plain
+            ids = toxicity.squeezed(toxicity.ids_of(plain, model.buckets))
+            found, sizes, languages = toxicity.looked_up([text], model.buckets)
+            assert (found.tolist(), sizes.tolist(), languages) == (ids.tolist(), [len(ids)], [toxicity.profile(plain)])
+            raw = toxicity._logistic(toxicity.pooled(ids, model.tables, model.bias)[0] @ model.weights + model.base)
+            at = model.thresholds.get(languages[0], model.thresholds[""])
+            assert score == toxicity._scaled(float(raw), at)
+    assert model.scores([]) == []
+
+
+def test_texts_are_pooled_together_with_their_places():
+    rng = np.random.default_rng(13)
+    tables = [[rng.integers(0, 4, (5, toxicity.FILTERS)).astype(float) for _ in range(w)] for w in toxicity.WIDTHS]
+    bias = rng.normal(size=toxicity.FILTERS * len(toxicity.WIDTHS))
+    ids = [rng.integers(0, 5, n).astype(np.int32) for n in [*range(9), 30, 0, 2]]
+    whole, sizes = toxicity.padded(np.concatenate(ids), np.array([len(x) for x in ids]))
+    pool, places = toxicity.pooled_texts(whole, sizes, tables, bias, places=True)
+    starts = np.cumsum(sizes) - sizes
+    for i, own in enumerate(ids):
+        expected, first = toxicity.pooled(own, tables, bias)
+        assert (pool[i] == expected).all()
+        assert all((p[i] - starts[i] == f).all() for p, f in zip(places, first, strict=True))
+
+
 def test_toxicity_without_labels(spark, edges, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.learn(edges, none) is None
