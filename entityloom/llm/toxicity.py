@@ -214,19 +214,20 @@ def pooled_texts(
 ) -> tuple[np.ndarray, list[np.ndarray]]:
     """``pooled`` for padded texts one after the other: a line for each text; places are those in ``ids``."""
     starts = np.cumsum(sizes) - sizes
-    text = np.repeat(np.arange(len(sizes)), sizes)
     best, found = [], []
     for own in tables:
         n = len(ids) - len(own) + 1
-        response = own[0][ids[:n]]
+        response = own[0].take(ids[:n], axis=0)
         for j in range(1, len(own)):
-            response = response + own[j][ids[j : n + j]]
-        # Windows over two texts lie between the end of one and the start of the next.
-        cuts = np.column_stack([starts, starts + sizes - len(own) + 1]).ravel()[:-1]
-        best.append(np.maximum.reduceat(response, cuts, axis=0)[::2])
+            response += own[j].take(ids[j : n + j], axis=0)
+        ends = starts + sizes - len(own) + 1
         if places:
-            place = np.where(response == best[-1][text[:n]], np.arange(n)[:, None], n)
-            found.append(np.minimum.reduceat(place, cuts, axis=0)[::2])
+            parts = zip(starts.tolist(), ends.tolist(), strict=True)
+            found.append(np.array([a + response[a:b].argmax(axis=0) for a, b in parts]))
+            best.append(response[found[-1], np.arange(response.shape[1])])
+        else:  # windows over two texts lie between the end of one and the start of the next
+            cuts = np.column_stack([starts, ends]).ravel()[:-1]
+            best.append(np.maximum.reduceat(response, cuts, axis=0)[::2])
     return np.concatenate(best, axis=1) + bias, found
 
 
